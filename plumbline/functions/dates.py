@@ -10,9 +10,9 @@ intermediate text is computed once and the generated code stays small.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame
 
-from plumbline.functions.text import collapse_whitespace, strip
+from plumbline.functions.text import collapse_whitespace, column as quoted, one_of, raw, strip
 
 # Markers meaning "no date supplied".
 DATE_MISSING = [
@@ -44,16 +44,16 @@ DATE_LIKE = (
 )
 
 
-def full_year(ymd: Column) -> Column:
+def full_year(ymd: str) -> str:
     """Spell out two-digit years of a y-m-d text: below 70 is 20yy, the others 19yy."""
-    recent = F.regexp_replace(ymd, r"^(?:00)?([0-6]\d)-", "20$1-")
-    return F.regexp_replace(recent, r"^(?:00)?([7-9]\d)-", "19$1-")
+    recent = f"regexp_replace({ymd}, {raw(r'^(?:00)?([0-6][0-9])-')}, '20$1-')"
+    return f"regexp_replace({recent}, {raw(r'^(?:00)?([7-9][0-9])-')}, '19$1-')"
 
 
-def bounded_date(ymd: Column) -> Column:
+def bounded_date(ymd: str) -> str:
     """A calendar date between 1900 and 2100 from a y-m-d text, or NULL."""
-    date = full_year(ymd).try_cast("date")
-    return F.when(F.year(date).between(MIN_YEAR, MAX_YEAR), date)
+    date = f"try_cast({full_year(ymd)} AS date)"
+    return f"CASE WHEN year({date}) BETWEEN {MIN_YEAR} AND {MAX_YEAR} THEN {date} END"
 
 
 def add_reading(df: DataFrame, column: str, into: str) -> DataFrame:
@@ -64,105 +64,105 @@ def add_reading(df: DataFrame, column: str, into: str) -> DataFrame:
     ``evidence`` names the convention this cell proves for its column, ``slash`` how a
     slash-separated date can be read.
     """
-    def tmp(name: str) -> str:
-        return f"{into}__{name}"
-
-    c = F.col(f"`{column}`")
-    text, words, named, a, b = (F.col(tmp(n)) for n in ("text", "words", "named", "a", "b"))
-    numeric, shape = F.col(tmp("numeric")), F.col(tmp("shape"))
-    dm, md, exact = F.col(tmp("dm")), F.col(tmp("md")), F.col(tmp("exact"))
-
-    staged = df.withColumns({
-        tmp("text"): strip(c),
-        tmp("words"): F.lower(collapse_whitespace(c)),
-    }).withColumns({
-        tmp("shape"): F.when(text.rlike(_YEAR_FIRST), "year")
-        .when(text.rlike(_YEAR_FIRST_MIXED), "mixed")
-        .when(text.rlike(_NUMERIC), "numeric")
-        .when(words.rlike(_MONTH_FIRST), "month")
-        .when(words.rlike(_DAY_FIRST), "day")
-        .when(text.rlike(_ISO_TIME), "time"),
-    }).withColumns({
-        tmp("numeric"): shape == "numeric",
-        tmp("named"): F.when(shape == "month", words)
-        .when(shape == "day", F.regexp_replace(words, _DAY_FIRST, "$3 $1 $4")),
-        tmp("a"): F.when(shape == "numeric", F.regexp_extract(text, _NUMERIC, 1).cast("int")),
-        tmp("b"): F.when(shape == "numeric", F.regexp_extract(text, _NUMERIC, 2).cast("int")),
-    }).withColumns({
-        tmp("exact"): F.when(
-            shape == "year", F.regexp_replace(text, _YEAR_FIRST, "$1-$3-$4"))
-        .when(named.isNotNull(), F.concat_ws(
-            "-", F.regexp_extract(named, _MONTH_FIRST, 3),
-            ((F.instr(F.lit(_MONTH_STARTS), F.substring(named, 1, 3)) + 2) / 3).cast("int"),
-            F.regexp_extract(named, _MONTH_FIRST, 2)))
-        .when(shape == "time", F.substring(text, 1, 10)),
-        tmp("dm"): F.when(
-            shape == "numeric", bounded_date(F.regexp_replace(text, _NUMERIC, "$3-$2-$1")))
-        .when(shape.isin("year", "mixed"), bounded_date(
-            F.regexp_replace(text, _YEAR_FIRST_MIXED, "$1-$2-$3"))),
-        tmp("md"): F.when(
-            shape == "numeric", bounded_date(F.regexp_replace(text, _NUMERIC, "$3-$1-$2"))),
-    }).withColumns({
-        tmp("exact"): F.when(F.substring(exact, 1, 4) != "0000", exact).try_cast("date"),
-    }).withColumns({
-        tmp("date"): F.when(numeric, F.when((a > 12) & (b <= 12), dm).when((b > 12) & (a <= 12), md))
-        .otherwise(F.coalesce(exact, dm)),
-        tmp("either"): F.coalesce(numeric & (a <= 12) & (b <= 12), F.lit(False)),
-    })
-    date, either = F.col(tmp("date")), F.col(tmp("either"))
-    status = (
-        F.when(c.isNull() | F.lower(text).isin(DATE_MISSING), "missing")
-        .when(either, "ambiguous")
-        .when(date.isNotNull(), "parsed")
-        .otherwise("invalid"))
-    separator = F.regexp_extract(text, _YEAR_FIRST, 2)
-    name_code = F.when(F.length(F.substring_index(named, " ", 1)) == 3, "b").otherwise("B")
-    gap = F.regexp_extract(words, "[ -]", 0)
-    fmt = F.when(date.isNotNull(), (
-        F.when((shape == "year") & exact.isNotNull(), F.concat(
-            F.lit("%Y"), separator, F.lit("%m"), separator, F.lit("%d")))
-        .when(shape.isin("year", "mixed"), "YYYY-M-D")
-        .when(shape == "month", F.concat(
-            F.lit("%"), name_code, F.lit(" %d"), F.when(words.contains(","), ",").otherwise(""), F.lit(" %Y")))
-        .when(shape == "day", F.concat(F.lit("%d"), gap, F.lit("%"), name_code, gap, F.lit("%Y")))
-        .when(numeric, F.when(a > 12, "DD/MM/YYYY").otherwise("MM/DD/YYYY"))
-        .otherwise("iso_datetime")))
-    evidence = F.when(numeric, (
-        F.when((a > 12) & (b <= 12), "DD/MM").when((b > 12) & (a <= 12), "MM/DD")))
-    slash = F.when(numeric & text.rlike(_SLASHED), (
-        F.when(a > 12, "DD/MM").when(b > 12, "MM/DD").otherwise("either")))
-    result = staged.withColumn(into, F.struct(
-        status.alias("status"),
-        date.cast("string").alias("iso"),
-        F.when(either, dm.cast("string")).alias("day_first"),
-        F.when(either, md.cast("string")).alias("month_first"),
-        fmt.alias("format"), evidence.alias("evidence"), slash.alias("slash")))
-    return result.select(*df.columns, into) if into not in df.columns else result
-
-
-def resolve(reading: Column, convention: Column) -> Column:
-    """struct(status, iso, format, convention, confidence) given a column convention."""
-    status = reading["status"]
-    chosen = F.when(status == "ambiguous", (
-        F.when(convention == "DD/MM", reading["day_first"])
-        .when(convention == "MM/DD", reading["month_first"])))
-    by_convention = chosen.isNotNull()
-    final = F.when(by_convention, "parsed").otherwise(status)
-    return F.struct(
-        final.alias("status"),
-        F.coalesce(chosen, reading["iso"]).alias("iso"),
-        F.when(by_convention, F.concat(convention, F.lit("/YYYY")))
-        .otherwise(reading["format"]).alias("format"),
-        F.when(by_convention, convention)
-        .when(final == "parsed", reading["evidence"]).alias("convention"),
-        F.when(by_convention, "MEDIUM").when(final == "parsed", "HIGH")
-        .when(final == "ambiguous", "LOW").otherwise(F.upper(final)).alias("confidence"),
-    )
-
-
-def convention_of(day_first_seen: Column, month_first_seen: Column) -> Column:
-    """Column convention from the two evidence flags; NULL when absent or contradictory."""
+    c = quoted(column)
+    text, words, shape, named, a, b, exact, dm, md, date, either = (
+        f"{into}__{n}" for n in (
+            "text", "words", "shape", "named", "a", "b", "exact", "dm", "md", "date", "either"))
+    month_number = (
+        f"cast((instr('{_MONTH_STARTS}', substring({named}, 1, 3)) + 2) / 3 AS int)")
+    month_first = raw(_MONTH_FIRST)
+    keep = [quoted(n) for n in df.columns]
+    code = f"CASE WHEN length(substring_index({named}, ' ', 1)) = 3 THEN 'b' ELSE 'B' END"
+    gap = f"regexp_extract({words}, '[ -]', 0)"
+    separator = f"regexp_extract({text}, {raw(_YEAR_FIRST)}, 2)"
     return (
-        F.when(day_first_seen & ~month_first_seen, "DD/MM")
-        .when(month_first_seen & ~day_first_seen, "MM/DD")
-    )
+        df.selectExpr("*", f"{strip(c)} AS {text}",
+                      f"lower({collapse_whitespace(c)}) AS {words}")
+        .selectExpr("*", f"""CASE
+            WHEN {text} RLIKE {raw(_YEAR_FIRST)} THEN 'year'
+            WHEN {text} RLIKE {raw(_YEAR_FIRST_MIXED)} THEN 'mixed'
+            WHEN {text} RLIKE {raw(_NUMERIC)} THEN 'numeric'
+            WHEN {words} RLIKE {month_first} THEN 'month'
+            WHEN {words} RLIKE {raw(_DAY_FIRST)} THEN 'day'
+            WHEN {text} RLIKE {raw(_ISO_TIME)} THEN 'time' END AS {shape}""")
+        .selectExpr(
+            "*",
+            f"""CASE {shape} WHEN 'month' THEN {words} WHEN 'day' THEN
+                regexp_replace({words}, {raw(_DAY_FIRST)}, '$3 $1 $4') END AS {named}""",
+            f"""CASE WHEN {shape} = 'numeric' THEN
+                cast(regexp_extract({text}, {raw(_NUMERIC)}, 1) AS int) END AS {a}""",
+            f"""CASE WHEN {shape} = 'numeric' THEN
+                cast(regexp_extract({text}, {raw(_NUMERIC)}, 2) AS int) END AS {b}""",
+            f"""CASE {shape}
+                WHEN 'numeric' THEN regexp_replace({text}, {raw(_NUMERIC)}, '$3-$2-$1')
+                WHEN 'year' THEN regexp_replace({text}, {raw(_YEAR_FIRST_MIXED)}, '$1-$2-$3')
+                WHEN 'mixed' THEN regexp_replace({text}, {raw(_YEAR_FIRST_MIXED)}, '$1-$2-$3')
+                END AS {dm}""",
+            f"""CASE WHEN {shape} = 'numeric' THEN
+                regexp_replace({text}, {raw(_NUMERIC)}, '$3-$1-$2') END AS {md}""")
+        .selectExpr(
+            "*",
+            f"""CASE
+                WHEN {shape} = 'year' THEN {dm}
+                WHEN {named} IS NOT NULL THEN concat_ws('-',
+                    regexp_extract({named}, {month_first}, 3), {month_number},
+                    regexp_extract({named}, {month_first}, 2))
+                WHEN {shape} = 'time' THEN substring({text}, 1, 10) END AS {exact}_text""",
+            f"{bounded_date(dm)} AS {dm}_date", f"{bounded_date(md)} AS {md}_date",
+            f"coalesce({a} <= 12 AND {b} <= 12, false) AS {either}")
+        .selectExpr("*", f"""CASE WHEN NOT startswith({exact}_text, '0000') THEN
+            try_cast({exact}_text AS date) END AS {exact}""")
+        .selectExpr("*", f"""CASE
+            WHEN {shape} = 'numeric' THEN CASE
+                WHEN {a} > 12 AND {b} <= 12 THEN {dm}_date
+                WHEN {b} > 12 AND {a} <= 12 THEN {md}_date END
+            ELSE coalesce({exact}, {dm}_date) END AS {date}""")
+        .selectExpr(*keep, f"""named_struct(
+            'status', CASE
+                WHEN {c} IS NULL OR {one_of(f"lower({text})", DATE_MISSING)} THEN 'missing'
+                WHEN {either} THEN 'ambiguous'
+                WHEN {date} IS NOT NULL THEN 'parsed' ELSE 'invalid' END,
+            'iso', cast({date} AS string),
+            'day_first', CASE WHEN {either} THEN cast({dm}_date AS string) END,
+            'month_first', CASE WHEN {either} THEN cast({md}_date AS string) END,
+            'format', CASE WHEN {date} IS NOT NULL THEN CASE
+                WHEN {shape} = 'year' AND {exact} IS NOT NULL THEN
+                    concat('%Y', {separator}, '%m', {separator}, '%d')
+                WHEN {shape} IN ('year', 'mixed') THEN 'YYYY-M-D'
+                WHEN {shape} = 'month' THEN concat('%', {code}, ' %d',
+                    CASE WHEN contains({words}, ',') THEN ',' ELSE '' END, ' %Y')
+                WHEN {shape} = 'day' THEN concat('%d', {gap}, '%', {code}, {gap}, '%Y')
+                WHEN {shape} = 'numeric' THEN
+                    CASE WHEN {a} > 12 THEN 'DD/MM/YYYY' ELSE 'MM/DD/YYYY' END
+                ELSE 'iso_datetime' END END,
+            'evidence', CASE
+                WHEN {a} > 12 AND {b} <= 12 THEN 'DD/MM'
+                WHEN {b} > 12 AND {a} <= 12 THEN 'MM/DD' END,
+            'slash', CASE WHEN {text} RLIKE {raw(_SLASHED)} THEN CASE
+                WHEN {a} > 12 THEN 'DD/MM' WHEN {b} > 12 THEN 'MM/DD' ELSE 'either' END END
+            ) AS {into}"""))
+
+
+def resolve(reading: str, convention: str) -> str:
+    """struct(status, iso, format, convention, confidence) given a column convention."""
+    status = f"{reading}.status"
+    chosen = (
+        f"CASE WHEN {status} = 'ambiguous' THEN CASE {convention}"
+        f" WHEN 'DD/MM' THEN {reading}.day_first WHEN 'MM/DD' THEN {reading}.month_first END END")
+    return f"""named_struct(
+        'status', CASE WHEN {chosen} IS NOT NULL THEN 'parsed' ELSE {status} END,
+        'iso', coalesce({chosen}, {reading}.iso),
+        'format', CASE WHEN {chosen} IS NOT NULL THEN concat({convention}, '/YYYY')
+            ELSE {reading}.format END,
+        'convention', CASE WHEN {chosen} IS NOT NULL THEN {convention}
+            WHEN {status} = 'parsed' THEN {reading}.evidence END,
+        'confidence', CASE WHEN {chosen} IS NOT NULL THEN 'MEDIUM'
+            WHEN {status} = 'parsed' THEN 'HIGH' WHEN {status} = 'ambiguous' THEN 'LOW'
+            ELSE upper({status}) END)"""
+
+
+def convention_of(day_first_seen: bool, month_first_seen: bool) -> str | None:
+    """Column convention from the two kinds of evidence; None when absent or contradictory."""
+    if day_first_seen == month_first_seen:
+        return None
+    return "DD/MM" if day_first_seen else "MM/DD"

@@ -1,10 +1,10 @@
-"""Numeric coercion, currency parsing and report rounding."""
+"""Numeric coercion, currency parsing and report rounding, as SQL expressions."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from plumbline.functions.text import strip
+from plumbline.functions.text import column as quoted, one_of, raw, strip
 
 # Currency symbols, their codes, and the tokens meaning "no amount".
 CURRENCY_SYMBOLS = {"₹": "INR", "$": "USD", "€": "EUR", "£": "GBP"}
@@ -23,17 +23,17 @@ CURRENCY_HINT = r"(?i)[₹$€£]|INR|USD|EUR|GBP|,\d{3}"
 _COERCIBLE = r"(?i)^[+-]?(?:\d+\.?\d*(?:e[+-]?\d+)?|\.\d+(?:e[+-]?\d+)?|inf|infinity)$"
 
 
-def to_number(c: Column) -> Column:
+def to_number(c: str) -> str:
     """Text to double, NULL where the whole text is not a number.
 
     The pattern guard comes first: a bare cast would also accept suffixes such as '1d'.
     """
     text = strip(c)
-    return F.when(text.rlike(_COERCIBLE), text.try_cast("double"))
+    return f"CASE WHEN {text} RLIKE {raw(_COERCIBLE)} THEN try_cast({text} AS double) END"
 
 
-def finite_or_null(c: Column) -> Column:
-    return F.when(~F.isnan(c) & (F.abs(c) < float("inf")), c)
+def finite_or_null(c: str) -> str:
+    return f"CASE WHEN NOT isnan({c}) AND abs({c}) < double('Infinity') THEN {c} END"
 
 
 def half_even(c: Column, digits: int = 0) -> Column:
@@ -41,8 +41,8 @@ def half_even(c: Column, digits: int = 0) -> Column:
     return F.bround(c, digits) + F.lit(0.0)
 
 
-def percent(part: Column, whole: Column, digits: int = 4) -> Column:
-    return F.when(whole > 0, half_even(part * 100.0 / whole, digits)).otherwise(0.0)
+def percent(part: str, whole: str, digits: int = 4) -> str:
+    return f"CASE WHEN {whole} > 0 THEN bround({part} * 100.0D / {whole}, {digits}) ELSE 0.0D END"
 
 
 def add_currency(df: DataFrame, column: str, into: str) -> DataFrame:
@@ -50,37 +50,31 @@ def add_currency(df: DataFrame, column: str, into: str) -> DataFrame:
 
     ``text`` is the number as a cleaned cell holds it: no separators, at least one decimal.
     """
-    def tmp(name: str) -> str:
-        return f"{into}__{name}"
-
-    c = F.col(f"`{column}`")
-    raw, parts, digits, high, negative = (
-        F.col(tmp(n)) for n in ("raw", "parts", "digits", "high", "negative"))
-    staged = df.withColumns({
-        tmp("raw"): strip(c),
-    }).withColumns({
+    c = quoted(column)
+    t, parts, digits, high, negative = (
+        f"{into}__{n}" for n in ("raw", "parts", "digits", "high", "negative"))
+    by_symbol = " ".join(f"WHEN '{s}' THEN '{code}'" for s, code in CURRENCY_SYMBOLS.items())
+    marker = f"upper(coalesce(nullif({parts}[1], ''), nullif({parts}[5], '')))"
+    decimal = f"CASE WHEN contains({digits}, '.') THEN {digits} ELSE concat({digits}, '.0') END"
+    plain = (f"regexp_replace(regexp_replace({decimal}, {raw(r'^0+(?=[0-9])')}, ''),"
+             f" {raw(r'(?<=[.][0-9]{1,400})0+$')}, '')")
+    keep = [quoted(n) for n in df.columns]
+    return (
+        df.selectExpr("*", f"{strip(c)} AS {t}")
         # symbol|code|paren|sign|number|suffix; the separator cannot occur in a match
-        tmp("parts"): F.when(raw.rlike(CURRENCY_PATTERN), F.split(
-            F.regexp_replace(raw, CURRENCY_PATTERN, "$1|$2|$3|$4|$5|$6"), r"\|")),
-    }).withColumns({
-        tmp("digits"): F.replace(parts[4], F.lit(","), F.lit("")),
-        tmp("negative"): (parts[3] == "-") | (parts[2] == "("),
-    }).withColumns({
-        tmp("high"): F.coalesce(digits != "", F.lit(False)),
-    })
-    magnitude = digits.try_cast("double")
-    marker = F.upper(F.coalesce(F.nullif(parts[1], F.lit("")), F.nullif(parts[5], F.lit(""))))
-    by_symbol = F.lit(None).cast("string")
-    for symbol, iso in CURRENCY_SYMBOLS.items():
-        by_symbol = F.when(parts[0] == symbol, iso).otherwise(by_symbol)
-    currency = F.coalesce(by_symbol, F.when(marker.isin("RS", "RS."), "INR").otherwise(marker))
-    decimal = F.when(digits.contains("."), digits).otherwise(F.concat(digits, F.lit(".0")))
-    plain = F.regexp_replace(
-        F.regexp_replace(decimal, r"^0+(?=\d)", ""), r"(?<=\.\d{1,400})0+$", "")
-    result = staged.withColumn(into, F.struct(
-        F.when(high, F.when(negative, -magnitude).otherwise(magnitude)).alias("value"),
-        F.when(high, F.concat(F.when(negative, "-").otherwise(""), plain)).alias("text"),
-        F.when(high, currency).alias("currency"),
-        F.when(c.isNull() | F.lower(raw).isin(CURRENCY_MISSING), "MISSING")
-        .when(high, "HIGH").otherwise("INVALID").alias("confidence")))
-    return result.select(*df.columns, into) if into not in df.columns else result
+        .selectExpr("*", f"""CASE WHEN {t} RLIKE {raw(CURRENCY_PATTERN)} THEN split(regexp_replace(
+            {t}, {raw(CURRENCY_PATTERN)}, '$1|$2|$3|$4|$5|$6'), '[|]') END AS {parts}""")
+        .selectExpr("*", f"replace({parts}[4], ',', '') AS {digits}",
+                    f"({parts}[3] = '-' OR {parts}[2] = '(') AS {negative}")
+        .selectExpr("*", f"coalesce({digits} != '', false) AS {high}")
+        .selectExpr(*keep, f"""named_struct(
+            'value', CASE WHEN {high} THEN
+                CASE WHEN {negative} THEN -1 ELSE 1 END * try_cast({digits} AS double) END,
+            'text', CASE WHEN {high} THEN
+                concat(CASE WHEN {negative} THEN '-' ELSE '' END, {plain}) END,
+            'currency', CASE WHEN {high} THEN coalesce(
+                CASE {parts}[0] {by_symbol} END,
+                CASE WHEN {marker} IN ('RS', 'RS.') THEN 'INR' ELSE {marker} END) END,
+            'confidence', CASE
+                WHEN {c} IS NULL OR {one_of(f"lower({t})", CURRENCY_MISSING)} THEN 'MISSING'
+                WHEN {high} THEN 'HIGH' ELSE 'INVALID' END) AS {into}"""))

@@ -1,8 +1,10 @@
-"""Text predicates and normalisers. Every function maps a Column to a Column."""
+"""Text predicates and normalisers as SQL expressions.
 
-from __future__ import annotations
+Every function takes SQL text for its input (usually a column name) and returns SQL text, to
+be used in ``selectExpr``, ``F.expr`` or a query.
+"""
 
-from pyspark.sql import Column, functions as F
+from __future__ import annotations
 
 # Fixed value: the characters a Unicode-aware strip/split treats as whitespace.
 WHITESPACE = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
@@ -23,95 +25,107 @@ EMAIL = (
 )
 
 
-def strip(c: Column) -> Column:
-    return F.btrim(c, F.lit(WHITESPACE))
+def raw(value: str) -> str:
+    """A SQL string literal whose backslashes mean themselves."""
+    return f'r"{value}"'
+
+
+def one_of(c: str, values: list[str]) -> str:
+    return f"({c} IN ({', '.join(raw(v) for v in values)}))"
+
+
+def column(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def strip(c: str) -> str:
+    return f"btrim({c}, {raw(WHITESPACE)})"
 
 
-def _plain_blanks(c: Column) -> Column:
+def _plain_blanks(c: str) -> str:
     # one pass of character mapping is far cheaper than a Unicode class in a pattern
-    return F.translate(c, WHITESPACE, " " * len(WHITESPACE))
+    return f"translate({c}, {raw(WHITESPACE)}, '{' ' * len(WHITESPACE)}')"
 
 
-def collapse_whitespace(c: Column) -> Column:
-    return F.btrim(F.regexp_replace(_plain_blanks(c), " {2,}", " "))
+def collapse_whitespace(c: str) -> str:
+    return f"btrim(regexp_replace({_plain_blanks(c)}, ' {{2,}}', ' '))"
 
 
-def has_whitespace_issue(c: Column) -> Column:
-    return (strip(c) != c) | _plain_blanks(c).contains("  ")
+def has_whitespace_issue(c: str) -> str:
+    return f"({strip(c)} != {c} OR contains({_plain_blanks(c)}, '  '))"
 
 
-def is_blank(c: Column) -> Column:
-    return strip(c) == ""
+def is_blank(c: str) -> str:
+    return f"({strip(c)} = '')"
 
 
-def is_placeholder(c: Column) -> Column:
-    token = F.lower(strip(c))
-    return token.isin(PLACEHOLDERS) | (token == "")
+def is_placeholder(c: str) -> str:
+    return one_of(f"lower({strip(c)})", [*PLACEHOLDERS, ""])
 
 
-def blank_to_null(c: Column) -> Column:
-    return F.when(~is_blank(c), c)
+def blank_to_null(c: str) -> str:
+    return f"CASE WHEN {strip(c)} != '' THEN {c} END"
 
 
-def spelling_key(c: Column) -> Column:
-    return F.lower(collapse_whitespace(c))
+def spelling_key(c: str) -> str:
+    return f"lower({collapse_whitespace(c)})"
 
 
-def has_unicode_issue(c: Column) -> Column:
+def has_unicode_issue(c: str) -> str:
     # beyond ASCII exactly when a character takes more than one byte
-    return (F.octet_length(c) != F.length(c)) | c.rlike(r"[\x00-\x08\x0b-\x1f\x7f]")
+    control = raw(r"[\x00-\x08\x0b-\x1f\x7f]")
+    return f"(octet_length({c}) != length({c}) OR {c} RLIKE {control})"
 
 
-def is_numeric_like(c: Column) -> Column:
-    return strip(c).rlike(NUMERIC_LIKE)
+def is_numeric_like(c: str) -> str:
+    return f"({strip(c)} RLIKE {raw(NUMERIC_LIKE)})"
 
 
-def is_multi_value(c: Column) -> Column:
-    return c.rlike(r"[,;|]")
+def is_multi_value(c: str) -> str:
+    return f"({c} RLIKE '[,;|]')"
 
 
-def clean_column_name(c: Column) -> Column:
-    snake = F.lower(F.regexp_replace(
-        F.regexp_replace(strip(c), "[^0-9a-zA-Z]+", "_"), "^_+|_+$", ""))
-    return F.coalesce(F.nullif(snake, F.lit("")), F.lit("column"))
+def clean_column_name(c: str) -> str:
+    snake = f"regexp_replace({strip(c)}, '[^0-9a-zA-Z]+', '_')"
+    return f"coalesce(nullif(lower(btrim({snake}, '_')), ''), 'column')"
 
 
-def validate_email(c: Column) -> Column:
-    """struct(normalized, is_valid, reason); never repairs an address."""
+def email_problem(c: str) -> str:
+    """Why a cell is not an e-mail address, or 'valid'; an address is never repaired."""
     text = strip(c)
-    lowered = F.lower(text)
-    at_signs = F.length(text) - F.length(F.replace(text, F.lit("@"), F.lit("")))
-    domain = F.substring_index(lowered, "@", -1)
-    reason = (
-        F.when(c.isNull() | (text == ""), "empty")
-        .when(text.rlike(r"[ \t]"), "whitespace")
-        .when(at_signs != 1, "at_sign_count")
-        .when(lowered.rlike(EMAIL), "valid")
-        .when(lowered.startswith("@"), "missing_local_part")
-        .when(domain == "", "missing_domain")
-        .when(~domain.contains("."), "no_top_level_domain")
-        .otherwise("pattern")
-    )
-    return F.struct(
-        F.when(reason == "valid", lowered).alias("normalized"),
-        (reason == "valid").alias("is_valid"),
-        reason.alias("reason"),
-    )
-
-
-def email_key(c: Column) -> Column:
-    return F.nullif(F.lower(strip(c)), F.lit(""))
-
-
-def phone_key(c: Column) -> Column:
-    return F.nullif(F.regexp_replace(c, r"\D+", ""), F.lit(""))
-
-
-def block_key(email: Column | None, phone: Column | None) -> Column:
-    """Blocking key over *normalised* e-mail and phone columns."""
+    domain = f"substring_index({text}, '@', -1)"
+    return (
+        f"CASE WHEN {c} IS NULL OR {text} = '' THEN 'empty'"
+        f" WHEN {text} RLIKE {raw('[ ' + chr(92) + 't]')} THEN 'whitespace'"
+        f" WHEN length({text}) - length(replace({text}, '@', '')) != 1 THEN 'at_sign_count'"
+        f" WHEN lower({text}) RLIKE {raw(EMAIL)} THEN 'valid'"
+        f" WHEN startswith({text}, '@') THEN 'missing_local_part'"
+        f" WHEN {domain} = '' THEN 'missing_domain'"
+        f" WHEN NOT contains({domain}, '.') THEN 'no_top_level_domain'"
+        f" ELSE 'pattern' END")
+
+
+def validate_email(c: str) -> str:
+    """struct(normalized, is_valid, reason)."""
+    valid = f"({email_problem(c)}) = 'valid'"
+    return (
+        f"named_struct('normalized', CASE WHEN {valid} THEN lower({strip(c)}) END,"
+        f" 'is_valid', {valid}, 'reason', {email_problem(c)})")
+
+
+def email_key(c: str) -> str:
+    return f"nullif(lower({strip(c)}), '')"
+
+
+def phone_key(c: str) -> str:
+    return f"nullif(regexp_replace({c}, {raw(chr(92) + 'D+')}, ''), '')"
+
+
+def block_key(email: str | None, phone: str | None) -> str:
+    """Blocking key over *normalised* e-mail and phone expressions."""
     keys = []
     if email is not None:
-        keys.append(F.concat(F.lit("email:"), F.substring(email, 1, 3)))
+        keys.append(f"concat('email:', substring({email}, 1, 3))")
     if phone is not None:
-        keys.append(F.concat(F.lit("phone:"), F.right(phone, F.lit(6))))
-    return F.coalesce(*keys)
+        keys.append(f"concat('phone:', right({phone}, 6))")
+    return f"coalesce({', '.join(keys)})"

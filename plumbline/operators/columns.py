@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from plumbline.functions.text import clean_column_name
+from plumbline.storage import local_table
 
 ROW_ID = "_row_id"
 
@@ -83,23 +83,35 @@ def describe_columns(dataset: str, df: DataFrame) -> list[ColumnInfo]:
     return [ColumnInfo(dataset, i, f.name, f.dataType) for i, f in enumerate(fields)]
 
 
+def clean_name(name: str) -> str:
+    """snake_case form of a header."""
+    return re.sub("[^0-9a-zA-Z]+", "_", name.strip()).strip("_").lower() or "column"
+
+
+_FLAGS = [f"is_{rule}" for rule in NAME_PATTERNS]
 COLUMN_SCHEMA = (
-    "cid int, dataset string, position int, column string, dtype string, kind string, "
-    "range_low double, range_high double, "
-    + ", ".join(f"is_{rule} boolean" for rule in NAME_PATTERNS)
+    "cid int, dataset string, position int, column string, clean_name string, dtype string, "
+    "kind string, range_low double, range_high double, "
+    + ", ".join(f"{flag} boolean" for flag in _FLAGS)
 )
 
 
-def column_table(spark: SparkSession, infos: list[ColumnInfo]) -> DataFrame:
-    """One row per column of the catalogue; its size is the width of the schemas."""
+def column_rows(infos: list[ColumnInfo]) -> list[dict]:
+    """One record per column of the catalogue; the size is the width of the schemas."""
     rows = []
     for cid, info in enumerate(infos):
         low, high = plausible_range(info.name) or (None, None)
-        rows.append((
-            cid, info.dataset, info.position, info.name, info.data_type.simpleString(),
-            info.kind, low, high, *(name_matches(info.name, rule) for rule in NAME_PATTERNS)))
-    return spark.createDataFrame(rows, COLUMN_SCHEMA).withColumn(
-        "clean_name", clean_column_name(F.col("column")))
+        rows.append({
+            "cid": cid, "dataset": info.dataset, "position": info.position,
+            "column": info.name, "clean_name": clean_name(info.name),
+            "dtype": info.data_type.simpleString(), "kind": info.kind,
+            "range_low": low, "range_high": high,
+            **{f"is_{rule}": name_matches(info.name, rule) for rule in NAME_PATTERNS}})
+    return rows
+
+
+def column_table(spark: SparkSession, infos: list[ColumnInfo]) -> DataFrame:
+    return local_table(spark, column_rows(infos), COLUMN_SCHEMA)
 
 
 def header_checks(columns: DataFrame) -> DataFrame:

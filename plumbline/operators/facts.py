@@ -1,24 +1,25 @@
 """Column and dataset profiles over a whole catalogue of tables.
 
 The data is read for the value-frequency table and for the row fingerprints; everything else
-is aggregation of those. Profiles have one row per column or dataset.
+aggregates those. What reaches the driver has one row per column or dataset.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, Row, SparkSession, Window, functions as F
 
-from plumbline.functions import dates
-from plumbline.functions.numbers import half_even, percent
+from plumbline.functions import dates, text
 from plumbline.operators.columns import (
-    ROW_ID, ColumnInfo, column_table, data_columns, describe_columns)
+    ROW_ID, ColumnInfo, column_rows, column_table, data_columns, describe_columns)
 from plumbline.operators.frequencies import (
-    LONG_TEXT, SIGNALS, cells, signal, value_frequencies)
+    LONG_TEXT, NUMBER_KINDS, cells, has_signal, signal, value_frequencies)
 from plumbline.operators.quantiles import exact_quantiles
-from plumbline.storage import materialise, small_table
+from plumbline.storage import local_table
 
 # Thresholds of the profile.
 NEAR_CONSTANT_SHARE = 0.95
@@ -31,41 +32,72 @@ DATE_SAMPLE = 20
 
 # Distinct values are spread over this many groups per column while examples are searched.
 _SPREAD = 32
-_SUMMED = [
+_COUNTED = [
     "whitespace", "blank", "unicode", "placeholder", "numeric_like", "multi_value",
     "bad_email", "money_hint", "date_parsed", "date_missing", "date_ambiguous",
 ]
+_CATEGORY = "array<struct<value:string,count:bigint>>"
+PROFILE_SCHEMA = (
+    "cid int, dataset string, position int, column string, clean_name string, dtype string, "
+    "kind string, inferred_type string, row_count bigint, missing_count bigint, "
+    "missing_percentage double, unique_count bigint, unique_percentage double, "
+    "example_values array<string>, min double, max double, mean double, median double, "
+    "std double, mode double, zero_count bigint, negative_count bigint, "
+    "numeric_extra struct<q25:double,q50:double,q75:double,outlier_count:bigint>, "
+    f"categorical_extra struct<top_categories:{_CATEGORY},rare_categories:{_CATEGORY},"
+    "potential_inconsistencies:array<array<string>>>, "
+    "date_extra struct<min:string,max:string,invalid_count:bigint,future_count:bigint,"
+    "ambiguous_count:bigint>, "
+    "text_extra struct<whitespace_issue_count:bigint,empty_string_count:bigint,"
+    "case_variation_count:bigint,unicode_issue_count:bigint>, date_convention string, "
+    "constant boolean, near_constant boolean, empty boolean, longest_example bigint, "
+    "value_count bigint, num_count bigint, out_of_range bigint, negative_values bigint, "
+    "money_values bigint, seen int, range_low double, range_high double, "
+    + ", ".join(f"n_{s} bigint" for s in _COUNTED)
+)
+DATASET_SCHEMA = (
+    "dataset string, row_count bigint, column_count int, duplicate_row_count bigint, "
+    "empty_row_count bigint, empty_column_count int, constant_columns array<string>, "
+    "near_constant_columns array<string>"
+)
 
 
 @dataclass
 class Facts:
-    """What later steps need to know about a catalogue."""
+    """What later steps need to know about a catalogue.
+
+    ``columns`` and ``tables`` are the records behind the ``profile`` and ``datasets`` frames.
+    """
 
     spark: SparkSession
     frames: dict[str, DataFrame]
     infos: list[ColumnInfo]
     freq: DataFrame
-    profile: DataFrame
-    datasets: DataFrame
+    columns: list[dict]
+    tables: list[dict]
 
-    def column_id(self, dataset: str, name: str) -> int:
-        return next(i for i, c in enumerate(self.infos)
-                    if c.dataset == dataset and c.name == name)
+    @cached_property
+    def profile(self) -> DataFrame:
+        extra = ", ".join(f"{k} boolean" for k in self.columns[0] if k.startswith("is_"))
+        return local_table(self.spark, self.columns, f"{PROFILE_SCHEMA}, {extra}")
 
+    @cached_property
+    def datasets(self) -> DataFrame:
+        return local_table(self.spark, self.tables, DATASET_SCHEMA)
 
-def row_fingerprint(df: DataFrame) -> list[Column]:
-    """128 bits over all data columns. NULLs are skipped by the hash, so their places count."""
-    columns = data_columns(df)
-    values = [F.to_json(F.struct(f"`{c}`")) if _is_map(df, c) else F.col(f"`{c}`") for c in columns]
-    missing = F.concat(*(F.when(v.isNull(), "1").otherwise("0") for v in values))
-    return [
-        F.xxhash64(missing, *values).alias("h1"),
-        F.xxhash64(F.lit("plumbline"), *values, missing).alias("h2"),
-    ]
+    def of(self, dataset: str) -> list[dict]:
+        return [c for c in self.columns if c["dataset"] == dataset]
 
 
-def _is_map(df: DataFrame, column: str) -> bool:
-    return "map<" in df.schema[column].dataType.simpleString()
+def row_fingerprint(df: DataFrame) -> list[str]:
+    """128 bits over all data columns. NULLs are skipped by the hash, so their places count."""
+    values = [
+        f"to_json({text.column(c)})" if "map<" in df.schema[c].dataType.simpleString()
+        else text.column(c) for c in data_columns(df)]
+    missing = "concat(" + ", ".join(f"int({v} IS NULL)" for v in values) + ")"
+    listed = ", ".join(values)
+    return [f"xxhash64({missing}, {listed}) AS h1",
+            f"xxhash64('plumbline', {listed}, {missing}) AS h2"]
 
 
 def row_counts(frames: Mapping[str, DataFrame]) -> DataFrame:
@@ -74,392 +106,331 @@ def row_counts(frames: Mapping[str, DataFrame]) -> DataFrame:
     Rows meet by fingerprint, so the shuffle carries hashes instead of rows and copies
     collapse before it.
     """
-    hashed = []
+    rows = None
     for dataset, df in frames.items():
-        empty = F.lit(True)
-        for c in data_columns(df):
-            empty = empty & F.col(f"`{c}`").isNull()
-        hashed.append(df.select(
-            F.lit(dataset).alias("dataset"), *row_fingerprint(df), empty.alias("empty")))
-    rows = hashed[0]
-    for other in hashed[1:]:
-        rows = rows.unionByName(other)
-    groups = rows.groupBy("dataset", "h1", "h2", "empty").agg(F.count(F.lit(1)).alias("n"))
+        empty = " AND ".join(f"{text.column(c)} IS NULL" for c in data_columns(df))
+        hashed = df.selectExpr(f"'{dataset}' AS dataset", *row_fingerprint(df), f"{empty} AS empty")
+        rows = hashed if rows is None else rows.unionByName(hashed)
+    groups = rows.groupBy("dataset", "h1", "h2", "empty").agg(F.expr("count(*) AS n"))
     return groups.groupBy("dataset").agg(
-        F.sum("n").alias("row_count"),
-        F.sum(F.col("n") - 1).alias("duplicate_row_count"),
-        F.sum(F.when(F.col("empty"), F.col("n")).otherwise(0)).alias("empty_row_count"))
+        F.expr("sum(n) AS row_count"),
+        F.expr("sum(n - 1) AS duplicate_row_count"),
+        F.expr("sum(CASE WHEN empty THEN n ELSE 0 END) AS empty_row_count"))
 
 
-def _column_statistics(freq: DataFrame, columns: DataFrame) -> DataFrame:
+def column_statistics(freq: DataFrame, infos: list[ColumnInfo]) -> DataFrame:
     """One pass over the frequency table: everything that sums up per column."""
-    cnt, num, flags = F.col("cnt"), F.col("num"), F.col("flags")
     sums = {
-        "value_count": cnt,
-        **{f"n_{s}": F.when(signal(flags, s), cnt) for s in _SUMMED},
-        "money_values": F.when(signal(flags, "money") & ~signal(flags, "numeric_like"), cnt),
-        "num_count": F.when(num.isNotNull(), cnt),
-        "num_total": num * cnt,
-        "zero_count": F.when(num == 0, cnt),
-        "negative_count": F.when(num < 0, cnt),
-        "fraction_count": F.when(num % 1 != 0, cnt),
-        "out_of_range": F.when((num < F.col("range_low")) | (num > F.col("range_high")), cnt),
-        "timed_count": F.when(F.col("lng") % 86_400_000_000 != 0, cnt),
+        "value_count": "cnt",
+        **{f"n_{s}": f"CASE WHEN {signal(s)} THEN cnt END" for s in _COUNTED},
+        "money_values":
+            f"CASE WHEN {signal('money')} AND NOT {signal('numeric_like')} THEN cnt END",
+        "num_count": "CASE WHEN num IS NOT NULL THEN cnt END",
+        "num_total": "num * cnt",
+        "zero_count": "CASE WHEN num = 0 THEN cnt END",
+        "negative_values": "CASE WHEN num < 0 THEN cnt END",
+        "fraction_count": "CASE WHEN num % 1 != 0 THEN cnt END",
+        "out_of_range": "CASE WHEN num < range_low OR num > range_high THEN cnt END",
+        "timed_count": "CASE WHEN lng % 86400000000 != 0 THEN cnt END",
     }
-    most = {"num_min": F.min, "num_max": F.max}
+    ranges = column_table(freq.sparkSession, infos).select("cid", "range_low", "range_high")
     partial = (
-        freq.join(F.broadcast(columns.select("cid", "range_low", "range_high")), "cid")
-        .groupBy("cid", F.pmod(F.xxhash64("txt", "dbl", "lng"), F.lit(_SPREAD)).alias("part"))
-        .agg(
-            F.count(F.lit(1)).alias("unique_count"),
-            F.max("cnt").alias("top_count"),
-            F.bit_or("flags").alias("seen"),
-            F.min("first_row").alias("part_first"),
-            F.min("num").alias("num_min"), F.max("num").alias("num_max"),
-            F.min("lng").alias("lng_min"), F.max("lng").alias("lng_max"),
-            F.max(F.when(num.isNotNull(), F.struct(
-                cnt.alias("n"), (-num).alias("neg")))).alias("mode_of"),
-            *(F.sum(v).alias(k) for k, v in sums.items())))
-    firsts = F.sort_array(F.collect_list("part_first"))
-    merged = partial.groupBy("cid").agg(
-        F.sum("unique_count").alias("unique_count"), F.max("top_count").alias("top_count"),
-        F.bit_or("seen").alias("seen"),
-        F.min("lng_min").alias("lng_min"), F.max("lng_max").alias("lng_max"),
-        F.max("mode_of").alias("mode_of"),
-        F.try_element_at(firsts, F.lit(EXAMPLES)).alias("example_bound"),
-        *(f("num_min" if k == "num_min" else "num_max").alias(k) for k, f in most.items()),
-        *(F.coalesce(F.sum(k), F.lit(0)).alias(k) for k in sums))
-    return merged
-
-
-def _date_candidates(frames, infos, statistics: list) -> set[int]:
+        freq.join(F.broadcast(ranges), "cid")
+        .groupBy("cid", F.expr(f"pmod(xxhash64(txt, dbl, lng), {_SPREAD}) AS part"))
+        .agg(*map(F.expr, [
+            "count(*) AS unique_count", "max(cnt) AS top_count", "bit_or(flags) AS seen",
+            "min(first_row) AS part_first", "min(num) AS num_min", "max(num) AS num_max",
+            "max(CASE WHEN num IS NOT NULL THEN named_struct('n', cnt, 'neg', -num) END) AS mode_of",
+            *(f"sum({v}) AS {k}" for k, v in sums.items())])))
+    return partial.groupBy("cid").agg(*map(F.expr, [
+        "sum(unique_count) AS unique_count", "max(top_count) AS top_count",
+        "bit_or(seen) AS seen", "-max(mode_of).neg AS mode",
+        "min(num_min) AS num_min", "max(num_max) AS num_max",
+        f"try_element_at(sort_array(collect_list(part_first)), {EXAMPLES}) AS example_bound",
+        *(f"coalesce(sum({k}), 0) AS {k}" for k in sums)]))
+
+
+def _date_columns(frames, infos, statistics: dict[int, Row]) -> set[int]:
     """Text columns whose first values look like dates and whose values mostly are.
 
     The first values are fetched in row order, only for columns that pass the value test.
     """
-    likely = [r.cid for r in statistics if infos[r.cid].kind == "text" and r.value_count
-              and 2 * (r.n_date_parsed + r.n_date_ambiguous) > r.value_count]
     samples = None
-    for cid in likely:
+    for cid, r in statistics.items():
         info = infos[cid]
-        c = F.col(f"`{info.name}`")
-        head = (frames[info.dataset].where(c.isNotNull()).select(ROW_ID, c.alias("v"))
-                .orderBy(ROW_ID).limit(DATE_SAMPLE).select(F.lit(cid).alias("cid"), "v"))
+        if info.kind != "text" or 2 * (r.n_date_parsed + r.n_date_ambiguous) <= r.value_count:
+            continue
+        c = text.column(info.name)
+        head = (frames[info.dataset].where(f"{c} IS NOT NULL")
+                .selectExpr(ROW_ID, f"{c} AS v").orderBy(ROW_ID).limit(DATE_SAMPLE)
+                .selectExpr(f"{cid} AS cid", f"v RLIKE {text.raw(dates.DATE_LIKE)} AS looks"))
         samples = head if samples is None else samples.unionByName(head)
     if samples is None:
         return set()
-    looks = samples.groupBy("cid").agg(
-        F.avg(F.col("v").rlike(dates.DATE_LIKE).cast("int")).alias("share"))
-    return {r.cid for r in looks.collect() if r.share > 0.5}
-
-
-def _example_values(freq: DataFrame, statistics: DataFrame, infos, frames) -> DataFrame:
-    """(cid, example_values, longest_example): first distinct values in row order."""
-    bound = F.broadcast(statistics.select("cid", "example_bound"))
+    share = samples.groupBy("cid").agg(F.expr("avg(int(looks)) AS share"))
+    return {r.cid for r in share.collect() if r.share > 0.5}
+
+
+def inferred_type(info: dict, stats: Row | None, is_date: bool) -> str:
+    """Semantic type of one column from its statistics."""
+    kind = info["kind"]
+    if stats is None:
+        return "string"
+    if kind == "boolean":
+        return "boolean"
+    if kind == "date":
+        return "date"
+    if kind == "timestamp":
+        return "datetime" if stats.timed_count else "date"
+    ratio = stats.unique_count / stats.value_count
+    is_id = info["is_identifier"] and ratio >= ID_UNIQUENESS
+    if kind in NUMBER_KINDS:
+        if stats.fraction_count:
+            return "float"
+        return "id" if is_id else "integer"
+    if is_date:
+        return "date"
+    if is_id:
+        return "id"
+    few = ratio <= CATEGORY_MAX_RATIO and stats.unique_count <= CATEGORY_MAX_DISTINCT
+    return "categorical" if few and kind == "text" else "string"
+
+
+def _examples(freq, statistics, infos, frames) -> dict[int, tuple[list[str], int | None]]:
+    """First distinct values of every column in row order, and the longest text among them."""
+    bounds = [{"cid": c, "bound": r.example_bound} for c, r in statistics.items()]
+    bound = F.broadcast(local_table(freq.sparkSession, bounds, "cid int, bound bigint"))
     first = (
-        freq.join(bound, "cid")
-        .where(F.col("example_bound").isNull() | (F.col("first_row") <= F.col("example_bound")))
-        .withColumn("place", F.row_number().over(
-            Window.partitionBy("cid").orderBy("first_row")))
-        .where(F.col("place") <= EXAMPLES))
-    kinds = {k: [i for i, c in enumerate(infos) if c.kind == k]
-             for k in ("text", "integer", "float", "decimal", "boolean", "date", "timestamp")}
-    lng, cid = F.col("lng"), F.col("cid")
-    shown = (
-        F.when(cid.isin(kinds["boolean"]), F.initcap((lng == 1).cast("string")))
-        .when(cid.isin(kinds["date"]), F.date_from_unix_date(lng.cast("int")).cast("string"))
-        .when(cid.isin(kinds["timestamp"]),
-              F.timestamp_micros(lng).cast("timestamp_ntz").cast("string"))
-        .when(F.col("txt").isNotNull(), F.col("txt"))
-        .otherwise(F.coalesce(F.col("dbl").cast("string"), lng.cast("string"))))
-    listed = first.select(
-        "cid", "place", "first_row", shown.alias("shown"),
-        F.when(cid.isin(kinds["text"]), F.coalesce(lng, F.length("txt").cast("long")))
-        .alias("chars"))
+        freq.join(bound, "cid").where("bound IS NULL OR first_row <= bound")
+        .withColumn("place", F.row_number().over(Window.partitionBy("cid").orderBy("first_row")))
+        .where(f"place <= {EXAMPLES}"))
+    found: dict[int, list] = {}
+    for r in first.select("cid", "place", "first_row", "txt", "dbl", "lng",
+                          F.expr("cast(date_from_unix_date(int(lng % 2147483647)) AS string) AS day"),
+                          F.expr("cast(timestampadd(MICROSECOND, lng, timestamp_ntz'1970-01-01')"
+                                 " AS string) AS at")).collect():
+        found.setdefault(r.cid, []).append(r)
     # long texts travelled as digests: fetch the few that are shown from their rows
-    long_rows = {}
-    for r in listed.where(F.col("chars") > LONG_TEXT).select("cid", "first_row").collect():
-        long_rows.setdefault(r.cid, []).append(r.first_row)
-    for c, ids in long_rows.items():
-        info = infos[c]
-        whole = F.broadcast(
-            frames[info.dataset].where(F.col(ROW_ID).isin(ids))
-            .select(F.lit(c).alias("cid"), F.col(ROW_ID).alias("first_row"),
-                    F.col(f"`{info.name}`").alias("whole"))
-            .groupBy("cid", "first_row").agg(F.max("whole").alias("whole")))
-        listed = (listed.join(whole, ["cid", "first_row"], "left")
-                  .withColumn("shown", F.coalesce("whole", "shown")).drop("whole"))
-    ordered = F.sort_array(F.collect_list(F.struct("place", "shown")))
-    return listed.groupBy("cid").agg(
-        F.transform(ordered, lambda x: x["shown"]).alias("example_values"),
-        F.max("chars").alias("longest_example"))
-
-
-def _categories(freq: DataFrame, categorical: list[int]) -> DataFrame:
-    """Top and rare categories and spelling groups; at most 50 values per column."""
-    values = freq.where(F.col("cid").isin(categorical)).select(
-        "cid", F.col("txt").alias("value"), F.col("cnt").alias("count"), "first_row",
-        F.coalesce("skey", "txt").alias("key"))
-    by_count = Window.partitionBy("cid").orderBy(F.desc("count"), "first_row")
-    total = F.sum("count").over(Window.partitionBy("cid"))
-    ranked = values.withColumns({"place": F.row_number().over(by_count), "total": total})
-    item = F.struct("place", "value", "count")
-
-    def items(condition):
-        chosen = F.sort_array(F.collect_list(F.when(condition, item)))
-        return F.transform(chosen, lambda x: F.struct(
-            x["value"].alias("value"), x["count"].alias("count")))
-
-    tops = ranked.groupBy("cid").agg(
-        items(F.col("place") <= EXAMPLES).alias("top_categories"),
-        items((F.col("count") == 1) | (F.col("count") / F.col("total") <= RARE_SHARE))
-        .alias("rare_categories"))
-    groups = spelling_groups(values)
-    listed = groups.groupBy("cid").agg(
-        F.sort_array(F.collect_list("variants")).alias("potential_inconsistencies"))
-    return tops.join(listed, "cid", "left").select(
-        "cid", F.struct(
-            "top_categories", "rare_categories",
-            F.coalesce("potential_inconsistencies", F.array().cast("array<array<string>>"))
-            .alias("potential_inconsistencies")).alias("categorical_extra"))
-
-
-def spelling_groups(values: DataFrame) -> DataFrame:
-    """(cid, key, variants) for keys with several spellings; expects (cid, value, key)."""
+    whole: dict[tuple[int, int], str] = {}
+    for cid, rows in found.items():
+        info = infos[cid]
+        wanted = [r.first_row for r in rows if info.kind == "text" and r.lng is not None]
+        if wanted:
+            taken = frames[info.dataset].where(F.col(ROW_ID).isin(wanted)).selectExpr(
+                ROW_ID, f"{text.column(info.name)} AS v").collect()
+            whole.update({(cid, t[ROW_ID]): t.v for t in taken})
+    result = {}
+    for cid, rows in found.items():
+        kind = infos[cid].kind
+        shown = []
+        for r in sorted(rows, key=lambda r: r.place):
+            if kind == "text":
+                shown.append(whole.get((cid, r.first_row), r.txt))
+            elif kind == "date":
+                shown.append(r.day)
+            elif kind == "timestamp":
+                shown.append(r.at)
+            elif kind == "boolean":
+                shown.append(str(bool(r.lng)))
+            elif kind == "nested":
+                continue
+            else:
+                shown.append(r.txt or str(r.lng if r.dbl is None else r.dbl))
+        longest = max((len(v) for v in shown), default=None) if kind == "text" else None
+        result[cid] = (shown, longest)
+    return result
+
+
+def top_categories(freq: DataFrame, categorical: list[int]) -> dict[int, dict]:
+    """Top and rare categories and spelling groups; a category column has few values."""
+    values = freq.where(F.col("cid").isin(categorical)).selectExpr(
+        "cid", "txt AS value", "cnt AS count", "first_row", "coalesce(skey, txt) AS key")
+    by_column: dict[int, list[Row]] = {}
+    for r in values.collect():
+        by_column.setdefault(r.cid, []).append(r)
+    result = {}
+    for cid, rows in by_column.items():
+        rows.sort(key=lambda r: (-r["count"], r.first_row))
+        total = sum(r["count"] for r in rows)
+        items = [{"value": r.value, "count": r["count"]} for r in rows]
+        groups: dict[str, list[str]] = {}
+        for r in rows:
+            groups.setdefault(r.key, []).append(r.value)
+        result[cid] = {
+            "top_categories": items[:EXAMPLES],
+            "rare_categories": [
+                i for i in items if i["count"] == 1 or i["count"] / total <= RARE_SHARE],
+            "potential_inconsistencies": [sorted(g) for g in groups.values() if len(g) > 1]}
+    return result
+
+
+def spelling_groups(freq: DataFrame, columns: list[int]) -> DataFrame:
+    """(cid, key, spellings, cells) for every key written in more than one way."""
     return (
-        values.groupBy("cid", "key")
-        .agg(F.sort_array(F.collect_set("value")).alias("variants"))
-        .where(F.size("variants") > 1))
-
-
-def _spelling_variation(freq: DataFrame, strings: list[int]) -> DataFrame:
-    """Number of spelling keys with several spellings per text column (no lists are built)."""
-    keyed = freq.where(F.col("cid").isin(strings)).groupBy(
-        "cid", F.coalesce("skey", "txt").alias("key")).agg(F.count(F.lit(1)).alias("spellings"))
-    return keyed.groupBy("cid").agg(
-        F.count_if(F.col("spellings") > 1).alias("case_variation_count"))
+        freq.where(F.col("cid").isin(columns))
+        .groupBy("cid", F.expr("coalesce(skey, txt) AS key"))
+        .agg(F.expr("count(*) AS spellings"), F.expr("sum(cnt) AS cells"))
+        .where("spellings > 1"))
 
 
-def _date_statistics(freq, infos, conventions: dict[int, str | None], as_of: Column) -> DataFrame:
+def date_statistics(freq, infos, conventions: dict[int, str | None], as_of: str) -> DataFrame:
     """Minimum, maximum and status counts of date columns under their convention."""
     texts = [c for c in conventions if infos[c].kind == "text"]
     native = [c for c in conventions if infos[c].kind != "text"]
-    proven = {c: v for c, v in conventions.items() if v}
-    convention = F.lit(None).cast("string")
-    for kind in ("DD/MM", "MM/DD"):
-        ids = [c for c, v in proven.items() if v == kind]
-        if ids:
-            convention = F.when(F.col("cid").isin(ids), kind).otherwise(convention)
     parts = []
     if texts:
-        short = freq.where(F.col("cid").isin(texts)).withColumn(
-            "cell", F.when(F.col("lng").isNull(), F.col("txt")).otherwise("long text"))
-        read = dates.add_reading(short, "cell", "reading").withColumn(
-            "resolved", dates.resolve(F.col("reading"), convention))
-        parts.append(read.select(
-            "cid", "cnt", F.col("resolved.status").alias("status"),
-            F.col("resolved.iso").cast("date").cast("timestamp_ntz").alias("at")))
+        cases = " ".join(f"WHEN {c} THEN '{v}'" for c, v in conventions.items() if v)
+        convention = f"CASE cid {cases} END" if cases else "cast(null AS string)"
+        short = freq.where(F.col("cid").isin(texts)).selectExpr(
+            "cid", "cnt", "CASE WHEN lng IS NULL THEN txt ELSE 'long text' END AS cell",
+            f"{convention} AS convention")
+        resolved = dates.add_reading(short, "cell", "reading").selectExpr(
+            "cid", "cnt", f"{dates.resolve('reading', 'convention')} AS r")
+        parts.append(resolved.selectExpr(
+            "cid", "cnt", "r.status AS status",
+            "cast(cast(r.iso AS date) AS timestamp_ntz) AS at"))
     if native:
-        days = [c for c in native if infos[c].kind == "date"]
-        at = F.when(F.col("cid").isin(days) if days else F.lit(False),
-                    F.date_from_unix_date(F.col("lng").cast("int")).cast("timestamp_ntz")).otherwise(
-            F.timestamp_add("MICROSECOND", F.col("lng"), F.lit("1970-01-01").cast("timestamp_ntz")))
-        parts.append(freq.where(F.col("cid").isin(native)).select(
-            "cid", "cnt", F.lit("parsed").alias("status"), at.alias("at")))
+        days = [str(c) for c in native if infos[c].kind == "date"] or ["-1"]
+        parts.append(freq.where(F.col("cid").isin(native)).selectExpr(
+            "cid", "cnt", "'parsed' AS status",
+            f"CASE WHEN cid IN ({', '.join(days)}) THEN"
+            " timestampadd(DAY, int(lng), timestamp_ntz'1970-01-01') ELSE"
+            " timestampadd(MICROSECOND, lng, timestamp_ntz'1970-01-01') END AS at"))
     values = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    iso = "yyyy-MM-dd\\'T\\'HH:mm:ss"
+    return values.groupBy("cid").agg(*map(F.expr, [
+        f"date_format(min(at), '{iso}') AS min", f"date_format(max(at), '{iso}') AS max",
+        "coalesce(sum(CASE WHEN status = 'invalid' THEN cnt END), 0) AS invalid_count",
+        f"coalesce(sum(CASE WHEN status = 'parsed' AND at > {as_of} THEN cnt END), 0)"
+        " AS future_count",
+        "coalesce(sum(CASE WHEN status = 'ambiguous' THEN cnt END), 0) AS ambiguous_count"]))
 
-    def total(condition):
-        return F.coalesce(F.sum(F.when(condition, F.col("cnt"))), F.lit(0))
-
-    iso = "yyyy-MM-dd'T'HH:mm:ss"
-    return values.groupBy("cid").agg(F.struct(
-        F.date_format(F.min("at"), iso).alias("min"),
-        F.date_format(F.max("at"), iso).alias("max"),
-        total(F.col("status") == "invalid").alias("invalid_count"),
-        total((F.col("status") == "parsed") & (F.col("at") > as_of)).alias("future_count"),
-        total(F.col("status") == "ambiguous").alias("ambiguous_count"),
-    ).alias("date_extra"))
-
-
-def _spread(freq: DataFrame, fences: list[tuple]) -> DataFrame:
-    """Sum of squared distances from the mean and the values outside the fences."""
-    table = F.broadcast(freq.sparkSession.createDataFrame(
-        fences, "cid int, mean double, low double, high double"))
-    num, cnt = F.col("num"), F.col("cnt")
-    return freq.where(num.isNotNull()).join(table, "cid").groupBy("cid").agg(
-        F.sum((num - F.col("mean")) * (num - F.col("mean")) * cnt).alias("squares"),
-        F.coalesce(F.sum(F.when((num < F.col("low")) | (num > F.col("high")), cnt)), F.lit(0))
-        .alias("outlier_count"))
-
-
-def inferred_type(c: dict[str, Column]) -> Column:
-    """Semantic type from a column's statistics."""
-    unique = c["unique_count"] / c["value_count"]
-    is_id = c["is_identifier"] & (unique >= ID_UNIQUENESS)
-    whole = c["fraction_count"] == 0
-    return (
-        F.when(c["value_count"] == 0, "string")
-        .when(c["kind"] == "boolean", "boolean")
-        .when(c["kind"] == "date", "date")
-        .when(c["kind"] == "timestamp", F.when(c["timed_count"] > 0, "datetime").otherwise("date"))
-        .when(c["kind"].isin("integer", "float", "decimal"),
-              F.when(whole & is_id, "id").when(whole, "integer").otherwise("float"))
-        .when(c["date_candidate"], "date")
-        .when(is_id, "id")
-        .when((unique <= CATEGORY_MAX_RATIO) & (c["unique_count"] <= CATEGORY_MAX_DISTINCT)
-              & (c["kind"] == "text"), "categorical")
-        .otherwise("string"))
-
-
-def build_facts(
-    frames: Mapping[str, DataFrame], as_of: str | None = None,
-) -> Facts:
+
+def spread(freq: DataFrame, fences: list[dict]) -> DataFrame:
+    """Sum of squared distances from the mean and the count of values outside the fences."""
+    table = F.broadcast(local_table(
+        freq.sparkSession, fences, "cid int, mean double, low double, high double"))
+    return freq.where("num IS NOT NULL").join(table, "cid").groupBy("cid").agg(*map(F.expr, [
+        "sum((num - mean) * (num - mean) * cnt) AS squares",
+        "coalesce(sum(CASE WHEN num < low OR num > high THEN cnt END), 0) AS outlier_count"]))
+
+
+def _percent(part: int, whole: int) -> float:
+    return round(part / whole * 100, 4) if whole else 0.0
+
+
+def build_facts(frames: Mapping[str, DataFrame], as_of: str | None = None) -> Facts:
     """Profile every dataset of the catalogue. Frames carry a unique ``_row_id`` column."""
     frames = dict(frames)
     spark = next(iter(frames.values())).sparkSession
     infos = [i for name, df in frames.items() for i in describe_columns(name, df)]
-    now = F.lit(as_of).cast("timestamp_ntz") if as_of else F.localtimestamp()
-
-    columns = small_table(column_table(spark, infos))
-    freq = value_frequencies(frames, infos)
-    statistics = small_table(_column_statistics(freq, columns))
-    known = statistics.collect()
-    datasets = small_table(row_counts(frames))
-
-    candidates = _date_candidates(frames, infos, known)
-    typed = columns.join(statistics, "cid", "left").join(
-        datasets.select("dataset", "row_count"), "dataset", "left").withColumns({
-            "row_count": F.coalesce("row_count", F.lit(0)),
-            "date_candidate": F.col("cid").isin(list(candidates)) if candidates else F.lit(False),
-            **{c: F.coalesce(c, F.lit(0)) for c in statistics.columns
-               if c not in ("cid", "seen", "lng_min", "lng_max", "num_min", "num_max",
-                            "mode_of", "example_bound")},
-        })
-    typed = typed.withColumn("inferred_type", inferred_type({c: F.col(c) for c in typed.columns}))
-    typed = small_table(typed)
-    facts_rows = typed.collect()
-
-    numeric = [r for r in facts_rows if r.kind in ("integer", "float", "decimal") and r.value_count]
-    extents = {r.cid: (r.num_count, r.unique_count, r.num_min, r.num_max) for r in numeric}
-    numbers = freq.where(F.col("num").isNotNull()).select("cid", F.col("num").alias("v"), "cnt")
-    quartiles = exact_quantiles(numbers, extents) if extents else {}
-    fences = []
-    for r in numeric:
-        q1, _, q3 = quartiles[r.cid]
-        reach = 1.5 * (q3 - q1)
-        fences.append((r.cid, r.num_total / r.num_count, q1 - reach, q3 + reach))
-    quartile_rows = [(cid, *q) for cid, q in quartiles.items()]
-
-    examples = _example_values(freq, statistics, infos, frames)
-    profile = typed.join(F.broadcast(examples), "cid", "left")
-    if fences:
-        measured = spark.createDataFrame(
-            quartile_rows, "cid int, q25 double, q50 double, q75 double")
-        profile = profile.join(F.broadcast(measured), "cid", "left").join(
-            F.broadcast(_spread(freq, fences)), "cid", "left")
-    else:
-        profile = profile.withColumns({
-            k: F.lit(None).cast("double") for k in ("q25", "q50", "q75", "squares")})
-        profile = profile.withColumn("outlier_count", F.lit(None).cast("long"))
-
-    categorical = [r.cid for r in facts_rows if r.inferred_type == "categorical"]
-    strings = [r.cid for r in facts_rows
-               if r.inferred_type == "string" and r.kind == "text" and r.value_count]
-    dated = {}
-    for r in facts_rows:
-        if r.inferred_type in ("date", "datetime") and r.value_count:
-            day_first, month_first = (
-                bool((r.seen or 0) & (1 << SIGNALS.index(s)))
-                for s in ("proves_day_first", "proves_month_first"))
-            dated[r.cid] = {(True, False): "DD/MM", (False, True): "MM/DD"}.get(
-                (day_first, month_first))
-    optional = [
-        (categorical, lambda: _categories(freq, categorical), "categorical_extra",
-         "struct<top_categories:array<struct<value:string,count:bigint>>,"
-         "rare_categories:array<struct<value:string,count:bigint>>,"
-         "potential_inconsistencies:array<array<string>>>"),
-        (strings, lambda: _spelling_variation(freq, strings), "case_variation_count", "bigint"),
-        (dated, lambda: _date_statistics(freq, infos, dated, now), "date_extra",
-         "struct<min:string,max:string,invalid_count:bigint,future_count:bigint,"
-         "ambiguous_count:bigint>"),
-    ]
-    for needed, build, name, type_name in optional:
-        if needed:
-            profile = profile.join(F.broadcast(build()), "cid", "left")
-        else:
-            profile = profile.withColumn(name, F.lit(None).cast(type_name))
-    convention_rows = [(c, v) for c, v in dated.items()]
-    if convention_rows:
-        profile = profile.join(F.broadcast(spark.createDataFrame(
-            convention_rows, "cid int, date_convention string")), "cid", "left")
-    else:
-        profile = profile.withColumn("date_convention", F.lit(None).cast("string"))
-
-    profile = small_table(_shape_profile(profile))
-    datasets = small_table(_shape_datasets(datasets, profile))
-    return Facts(spark, frames, infos, freq, profile, datasets)
-
-
-def _shape_profile(p: DataFrame) -> DataFrame:
-    numeric = F.col("kind").isin("integer", "float", "decimal") & (F.col("value_count") > 0)
-    measure = numeric & F.col("inferred_type").isin("integer", "float")
-    mean = F.col("num_total") / F.col("num_count")
-    std = F.when(F.col("num_count") > 1, F.sqrt(
-        F.col("squares") / F.when(F.col("num_count") > 1, F.col("num_count") - 1))).otherwise(0.0)
-    missing = F.col("row_count") - F.col("value_count")
-    shown = F.when(F.col("kind") == "nested", None).otherwise(F.col("unique_count"))
-    text = (F.col("inferred_type") == "string") & (F.col("kind") == "text") & (F.col("value_count") > 0)
-    return p.select(
-        "cid", "dataset", "position", "column", "clean_name", "dtype", "kind", "inferred_type",
-        "row_count", missing.alias("missing_count"),
-        percent(missing, F.col("row_count")).alias("missing_percentage"),
-        shown.alias("unique_count"),
-        percent(shown, F.col("value_count")).alias("unique_percentage"),
-        F.coalesce("example_values", F.array().cast("array<string>")).alias("example_values"),
-        F.when(numeric, F.col("num_min")).alias("min"),
-        F.when(numeric, F.col("num_max")).alias("max"),
-        F.when(numeric, mean).alias("mean"),
-        F.when(numeric, F.col("q50")).alias("median"),
-        F.when(numeric, std).alias("std"),
-        F.when(numeric, -F.col("mode_of.neg")).alias("mode"),
-        F.when(numeric, F.col("zero_count")).alias("zero_count"),
-        F.when(numeric, F.col("negative_count")).alias("negative_count"),
-        F.when(measure, F.struct("q25", "q50", "q75", "outlier_count")).alias("numeric_extra"),
-        "categorical_extra", "date_extra",
-        F.when(text, F.struct(
-            F.col("n_whitespace").alias("whitespace_issue_count"),
-            F.col("n_blank").alias("empty_string_count"),
-            F.coalesce("case_variation_count", F.lit(0)).alias("case_variation_count"),
-            F.col("n_unicode").alias("unicode_issue_count"))).alias("text_extra"),
-        # facts for detectors and rule packs
-        "value_count", "top_count", "longest_example", "date_convention",
-        "n_whitespace", "n_placeholder", "n_numeric_like", "n_multi_value", "n_bad_email",
-        "n_money_hint", "money_values", "num_count", "num_min", "num_max", "out_of_range",
-        "seen",
-        F.col("negative_count").alias("negative_values"), "range_low", "range_high",
-        *[c for c in p.columns if c.startswith("is_")],
-        ((F.col("unique_count") == 1) & (missing == 0)).alias("constant"),
-        ((F.col("value_count") > 0) & ~((F.col("unique_count") == 1) & (missing == 0))
-         & (F.col("top_count") / F.greatest("value_count", F.lit(1)) >= NEAR_CONSTANT_SHARE))
-        .alias("near_constant"),
-        (missing == F.col("row_count")).alias("empty"),
-        (F.col("unique_count").isNotNull() & (F.col("value_count") > F.col("unique_count")))
-        .alias("repeats"),
-    )
-
-
-def _shape_datasets(datasets: DataFrame, profile: DataFrame) -> DataFrame:
-    def names(flag):
-        kept = F.collect_list(F.when(F.col(flag), F.struct("position", "column")))
-        return F.transform(F.sort_array(kept), lambda x: x["column"])
-
-    per_dataset = profile.groupBy("dataset").agg(
-        F.count(F.lit(1)).alias("column_count"),
-        F.count_if("empty").alias("empty_column_count"),
-        names("constant").alias("constant_columns"),
-        names("near_constant").alias("near_constant_columns"))
-    return per_dataset.join(datasets, "dataset", "left").select(
-        "dataset", F.coalesce("row_count", F.lit(0)).alias("row_count"), "column_count",
-        F.coalesce("duplicate_row_count", F.lit(0)).alias("duplicate_row_count"),
-        F.coalesce("empty_row_count", F.lit(0)).alias("empty_row_count"),
-        "empty_column_count", "constant_columns", "near_constant_columns")
+    described = column_rows(infos)
+    now = f"timestamp_ntz'{as_of}'" if as_of else "localtimestamp()"
+
+    # independent jobs are submitted together and share the cluster
+    with ThreadPoolExecutor(max_workers=6) as pool:
+        counting = pool.submit(lambda: {r.dataset: r for r in row_counts(frames).collect()})
+        freq = value_frequencies(frames, infos)
+        statistics = {r.cid: r for r in column_statistics(freq, infos).collect()}
+        examples = pool.submit(_examples, freq, statistics, infos, frames)
+        date_texts = _date_columns(frames, infos, statistics)
+        types = {c["cid"]: inferred_type(c, statistics.get(c["cid"]), c["cid"] in date_texts)
+                 for c in described}
+
+        categorical = [c for c, t in types.items() if t == "categorical"]
+        strings = [c for c, t in types.items()
+                   if t == "string" and infos[c].kind == "text" and c in statistics]
+        conventions = {
+            c: dates.convention_of(has_signal(statistics[c].seen, "proves_day_first"),
+                                   has_signal(statistics[c].seen, "proves_month_first"))
+            for c, t in types.items() if t in ("date", "datetime") and c in statistics}
+        categories = pool.submit(
+            lambda: top_categories(freq, categorical) if categorical else {})
+        variation = pool.submit(lambda: {
+            r.cid: r["count"] for r in
+            spelling_groups(freq, strings).groupBy("cid").count().collect()} if strings else {})
+        dated = pool.submit(lambda: {
+            r.cid: r.asDict() for r in
+            date_statistics(freq, infos, conventions, now).collect()} if conventions else {})
+
+        numeric = {c: statistics[c] for c in statistics if infos[c].kind in NUMBER_KINDS}
+        extents = {c: (r.num_count, r.unique_count, r.num_min, r.num_max)
+                   for c, r in numeric.items()}
+        quartiles, spreads = {}, {}
+        if extents:
+            values = freq.where(F.col("cid").isin(list(extents))).selectExpr(
+                "cid", "num AS v", "cnt")
+            quartiles = exact_quantiles(values, extents)
+            fences = [
+                {"cid": c, "mean": numeric[c].num_total / numeric[c].num_count,
+                 "low": q1 - 1.5 * (q3 - q1), "high": q3 + 1.5 * (q3 - q1)}
+                for c, (q1, _, q3) in quartiles.items()]
+            spreads = {r.cid: r for r in spread(freq, fences).collect()}
+
+        totals = counting.result()
+        columns = [
+            _profile_row(
+                c, types[c["cid"]], statistics.get(c["cid"]),
+                totals[c["dataset"]].row_count if c["dataset"] in totals else 0,
+                examples.result().get(c["cid"], ([], None)), quartiles.get(c["cid"]),
+                spreads.get(c["cid"]), categories.result().get(c["cid"]),
+                variation.result().get(c["cid"], 0), dated.result().get(c["cid"]),
+                conventions.get(c["cid"]))
+            for c in described]
+    tables = [_dataset_row(name, totals.get(name), [c for c in columns if c["dataset"] == name])
+              for name in frames]
+    return Facts(spark, frames, infos, freq, columns, tables)
+
+
+def _profile_row(info, kind_of, stats, rows, examples, quartiles, spreads, categories,
+                 variation, dated, convention) -> dict:
+    s = stats.asDict() if stats else {}
+    present, unique = s.get("value_count", 0), s.get("unique_count", 0)
+    missing = rows - present
+    numeric = info["kind"] in NUMBER_KINDS and present > 0
+    string = kind_of == "string" and info["kind"] == "text" and present > 0
+    constant = unique == 1 and missing == 0 and info["kind"] != "nested"
+    n = s.get("num_count", 0)
+    row = {
+        **info, "inferred_type": kind_of, "row_count": rows, "missing_count": missing,
+        "missing_percentage": _percent(missing, rows),
+        "unique_count": None if info["kind"] == "nested" else unique,
+        "unique_percentage": 0.0 if info["kind"] == "nested" else _percent(unique, present),
+        "example_values": examples[0], "longest_example": examples[1],
+        "constant": constant, "empty": missing == rows,
+        "near_constant": present > 0 and not constant and info["kind"] != "nested"
+        and s["top_count"] / present >= NEAR_CONSTANT_SHARE,
+        "date_extra": {k: dated[k] for k in (
+            "min", "max", "invalid_count", "future_count", "ambiguous_count")} if dated else None,
+        "date_convention": convention, "categorical_extra": categories,
+        "value_count": present, "seen": s.get("seen"),
+        **{k: s.get(k, 0) for k in (
+            "num_count", "out_of_range", "negative_values", "money_values",
+            *(f"n_{x}" for x in _COUNTED))},
+    }
+    if numeric:
+        row.update(
+            min=s["num_min"], max=s["num_max"], mean=s["num_total"] / n, median=quartiles[1],
+            std=(spreads.squares / (n - 1)) ** 0.5 if n > 1 else 0.0, mode=s["mode"],
+            zero_count=s["zero_count"], negative_count=s["negative_values"])
+        if kind_of in ("integer", "float"):
+            row["numeric_extra"] = {
+                "q25": quartiles[0], "q50": quartiles[1], "q75": quartiles[2],
+                "outlier_count": spreads.outlier_count}
+    if string:
+        row["text_extra"] = {
+            "whitespace_issue_count": s["n_whitespace"], "empty_string_count": s["n_blank"],
+            "case_variation_count": variation, "unicode_issue_count": s["n_unicode"]}
+    return row
+
+
+def _dataset_row(name: str, counts: Row | None, columns: list[dict]) -> dict:
+    return {
+        "dataset": name, "row_count": counts.row_count if counts else 0,
+        "column_count": len(columns),
+        "duplicate_row_count": counts.duplicate_row_count if counts else 0,
+        "empty_row_count": counts.empty_row_count if counts else 0,
+        "empty_column_count": sum(c["empty"] for c in columns),
+        "constant_columns": [c["column"] for c in columns if c["constant"]],
+        "near_constant_columns": [c["column"] for c in columns if c["near_constant"]],
+    }

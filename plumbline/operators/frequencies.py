@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from plumbline.functions import dates, numbers, text
 from plumbline.operators.columns import ROW_ID, ColumnInfo
@@ -28,20 +28,24 @@ SIGNALS = [
     "slash_day_first", "slash_month_first", "slash_either",
     "INR", "USD", "EUR", "GBP",
 ]
+NUMBER_KINDS = ("integer", "float", "decimal")
 
 
-def signal(flags: Column, name: str) -> Column:
-    return flags.bitwiseAND(1 << SIGNALS.index(name)) != 0
+def signal(name: str, flags: str = "flags") -> str:
+    return f"({flags} & {1 << SIGNALS.index(name)}) != 0"
 
 
-def _pack(conditions: dict[str, Column]) -> Column:
-    packed = F.lit(0)
-    for name, condition in conditions.items():
-        packed = packed.bitwiseOR(F.when(condition, 1 << SIGNALS.index(name)).otherwise(0))
-    return packed
+def has_signal(seen: int | None, name: str) -> bool:
+    return bool((seen or 0) & (1 << SIGNALS.index(name)))
 
 
-def _shape_signals(c: Column) -> dict[str, Column]:
+def _pack(conditions: dict[str, str]) -> str:
+    return "(" + " | ".join(
+        f"CASE WHEN {condition} THEN {1 << SIGNALS.index(name)} ELSE 0 END"
+        for name, condition in conditions.items()) + ")"
+
+
+def _shape_signals(c: str) -> dict[str, str]:
     return {
         "whitespace": text.has_whitespace_issue(c),
         "blank": text.is_blank(c),
@@ -49,72 +53,89 @@ def _shape_signals(c: Column) -> dict[str, Column]:
         "placeholder": text.is_placeholder(c),
         "numeric_like": text.is_numeric_like(c),
         "multi_value": text.is_multi_value(c),
-        "bad_email": ~text.validate_email(c)["is_valid"],
-        "money_hint": c.rlike(numbers.CURRENCY_HINT),
+        "bad_email": f"({text.email_problem(c)}) != 'valid'",
+        "money_hint": f"{c} RLIKE {text.raw(numbers.CURRENCY_HINT)}",
     }
 
 
-def _cell(info: ColumnInfo) -> dict[str, Column]:
-    """A cell as (txt, dbl, lng); exactly the parts that identify its value."""
-    c = F.col(f"`{info.name}`")
-    cell = {
-        "txt": F.lit(None).cast("string"), "dbl": F.lit(None).cast("double"),
-        "lng": F.lit(None).cast("long"),
-    }
+def _cell(cid: int, info: ColumnInfo) -> str:
+    """A cell as (cid, txt, dbl, lng); exactly the parts that identify its value."""
+    c = text.column(info.name)
+    txt, dbl, lng = "cast(null AS string)", "cast(null AS double)", "cast(null AS bigint)"
     if info.kind == "text":
-        cell["txt"] = c.cast("string")
+        txt = f"cast({c} AS string)"
     elif info.kind == "integer":
-        cell["lng"] = c.cast("long")
+        lng = f"cast({c} AS bigint)"
     elif info.kind == "float":
-        cell["dbl"] = F.when(~F.isnan(c), c.cast("double"))
+        dbl = f"CASE WHEN NOT isnan({c}) THEN cast({c} AS double) END"
     elif info.kind == "decimal":
-        cell["txt"], cell["dbl"] = c.cast("string"), c.cast("double")
+        txt, dbl = f"cast({c} AS string)", f"cast({c} AS double)"
     elif info.kind == "boolean":
-        cell["lng"] = c.cast("int").cast("long")
+        lng = f"cast(cast({c} AS int) AS bigint)"
     elif info.kind == "date":
-        cell["lng"] = F.unix_date(c).cast("long")
+        lng = f"cast(unix_date({c}) AS bigint)"
     elif info.kind == "timestamp":
-        cell["lng"] = F.timestamp_diff(
-            "MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), c.cast("timestamp_ntz"))
+        lng = (f"timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01',"
+               f" cast({c} AS timestamp_ntz))")
     else:
-        cell["lng"] = F.when(c.isNotNull(), F.lit(1)).cast("long")
-    return cell
-
-
-def _unpivot(df: DataFrame, numbered: list[tuple[int, ColumnInfo]]) -> DataFrame:
-    row = F.array(*(
-        F.struct(F.lit(cid).alias("cid"), *(v.alias(k) for k, v in _cell(info).items()))
-        for cid, info in numbered))
-    return (
-        df.select(ROW_ID, F.inline(row))
-        .where(F.col("txt").isNotNull() | F.col("dbl").isNotNull() | F.col("lng").isNotNull()))
+        lng = f"CASE WHEN {c} IS NOT NULL THEN 1L END"
+    return f"named_struct('cid', {cid}, 'txt', {txt}, 'dbl', {dbl}, 'lng', {lng})"
 
 
 def cells(frames: Mapping[str, DataFrame], infos: list[ColumnInfo]) -> DataFrame:
     """Every non-missing cell of the catalogue as a typed (_row_id, cid, txt, dbl, lng)."""
-    blocks = []
+    result = None
     for dataset, df in frames.items():
         numbered = [(cid, info) for cid, info in enumerate(infos) if info.dataset == dataset]
         for start in range(0, len(numbered), UNPIVOT_WIDTH):
-            blocks.append(_unpivot(df, numbered[start:start + UNPIVOT_WIDTH]))
-    result = blocks[0]
-    for block in blocks[1:]:
-        result = result.unionByName(block)
+            row = ", ".join(_cell(*n) for n in numbered[start:start + UNPIVOT_WIDTH])
+            block = df.selectExpr(ROW_ID, f"inline(array({row}))").where(
+                "txt IS NOT NULL OR dbl IS NOT NULL OR lng IS NOT NULL")
+            result = block if result is None else result.unionByName(block)
     return result
 
 
-def _shorten(typed: DataFrame) -> DataFrame:
+def _shorten(typed: DataFrame, texts: list[int]) -> DataFrame:
     """Replace long texts by digest and length; read their signals from the whole text."""
-    c = F.col("txt")
-    shape = _shape_signals(c)
-    shape["money"] = c.rlike(numbers.CURRENCY_PATTERN) & c.rlike(r"\d")
-    long = F.length(c) > LONG_TEXT
-    return typed.withColumns({
-        "long_flags": F.when(long, _pack(shape)),
-        "long_key": F.when(long, F.sha2(text.spelling_key(c), 256)),
-        "lng": F.when(long, F.length(c).cast("long")).otherwise(F.col("lng")),
-        "txt": F.when(long, F.sha2(c, 256)).otherwise(c),
-    })
+    shape = _shape_signals("txt")
+    shape["money"] = f"txt RLIKE {text.raw(numbers.CURRENCY_PATTERN)} AND txt RLIKE '[0-9]'"
+    long = f"cid IN ({', '.join(map(str, texts))}) AND length(txt) > {LONG_TEXT}"
+    return typed.selectExpr(
+        ROW_ID, "cid", "dbl",
+        f"CASE WHEN {long} THEN sha2(txt, 256) ELSE txt END AS txt",
+        f"CASE WHEN {long} THEN cast(length(txt) AS bigint) ELSE lng END AS lng",
+        f"CASE WHEN {long} THEN {_pack(shape)} END AS long_flags",
+        f"CASE WHEN {long} THEN sha2({text.spelling_key('txt')}, 256) END AS long_key")
+
+
+def _classify(counted: DataFrame, texts: list[int], number: str) -> DataFrame:
+    """Signals, spelling key and numeric reading of every distinct short text."""
+    staged = counted.selectExpr(
+        "*", f"""CASE WHEN cid IN ({', '.join(map(str, texts))}) AND long_flags IS NULL
+        THEN txt END AS short""")
+    staged = dates.add_reading(staged, "short", "date")
+    staged = numbers.add_currency(staged, "short", "money")
+    staged = staged.selectExpr(
+        "*",
+        f"{_pack(_shape_signals('short'))} AS shape_flags",
+        _pack({
+            "money": "money.confidence = 'HIGH'",
+            "date_parsed": "date.status = 'parsed'",
+            "date_missing": "date.status = 'missing'",
+            "date_ambiguous": "date.status = 'ambiguous'",
+            "proves_day_first": "date.evidence = 'DD/MM'",
+            "proves_month_first": "date.evidence = 'MM/DD'",
+            "slash_day_first": "date.slash = 'DD/MM'",
+            "slash_month_first": "date.slash = 'MM/DD'",
+            "slash_either": "date.slash = 'either'",
+            **{code: f"money.currency = '{code}'" for code in numbers.CURRENCY_SYMBOLS.values()},
+        }) + " AS more_flags",
+        f"{text.spelling_key('short')} AS key")
+    return staged.selectExpr(
+        "cid", "txt", "dbl", "lng", "cnt", "first_row",
+        "CASE WHEN short IS NOT NULL THEN shape_flags | more_flags ELSE long_flags END AS flags",
+        "CASE WHEN short IS NOT NULL THEN nullif(key, txt) ELSE long_key END AS skey",
+        f"CASE WHEN short IS NOT NULL THEN {numbers.to_number('short')} ELSE {number} END AS num")
 
 
 def value_frequencies(
@@ -125,42 +146,18 @@ def value_frequencies(
     is the spelling key of a text where it differs from the text.
     """
     texts = [cid for cid, info in enumerate(infos) if info.kind == "text"]
-    numeric = [cid for cid, info in enumerate(infos) if info.kind in ("integer", "float", "decimal")]
-    keys = ["cid", "txt", "dbl", "lng"]
-    counts = [F.count(F.lit(1)).alias("cnt"), F.min(ROW_ID).alias("first_row")]
-    number = F.coalesce("dbl", F.when(F.col("cid").isin(numeric), F.col("lng").cast("double")))
+    integers = [str(cid) for cid, info in enumerate(infos) if info.kind == "integer"]
+    number = "dbl"
+    if integers:
+        number = (f"coalesce(dbl, CASE WHEN cid IN ({', '.join(integers)})"
+                  " THEN cast(lng AS double) END)")
     typed = cells(frames, infos)
+    keys = ["cid", "txt", "dbl", "lng"]
+    counts = [F.expr("count(*) AS cnt"), F.expr(f"min({ROW_ID}) AS first_row")]
     if not texts:
-        return materialise(typed.groupBy(*keys).agg(*counts).select(
-            *keys, "cnt", "first_row", F.lit(None).cast("int").alias("flags"),
-            F.lit(None).cast("string").alias("skey"), number.alias("num")))
-
-    counted = _shorten(typed).groupBy(*keys).agg(
-        *counts, F.max("long_flags").alias("long_flags"), F.max("long_key").alias("long_key"))
-    short = F.when(F.col("cid").isin(texts) & F.col("long_flags").isNull(), F.col("txt"))
-    staged = counted.withColumn("short", short)
-    staged = dates.add_reading(staged, "short", "date")
-    staged = numbers.add_currency(staged, "short", "money")
-    c, date, money = F.col("short"), F.col("date"), F.col("money")
-    staged = staged.withColumns({
-        "shape_flags": _pack(_shape_signals(c)),
-        "more_flags": _pack({
-            "money": money["confidence"] == "HIGH",
-            "date_parsed": date["status"] == "parsed",
-            "date_missing": date["status"] == "missing",
-            "date_ambiguous": date["status"] == "ambiguous",
-            "proves_day_first": date["evidence"] == "DD/MM",
-            "proves_month_first": date["evidence"] == "MM/DD",
-            "slash_day_first": date["slash"] == "DD/MM",
-            "slash_month_first": date["slash"] == "MM/DD",
-            "slash_either": date["slash"] == "either",
-            **{code: money["currency"] == code for code in numbers.CURRENCY_SYMBOLS.values()},
-        }),
-        "key": text.spelling_key(c),
-    })
-    return materialise(staged.select(
-        *keys, "cnt", "first_row",
-        F.when(c.isNotNull(), F.col("shape_flags").bitwiseOR(F.col("more_flags")))
-        .otherwise(F.col("long_flags")).alias("flags"),
-        F.when(c.isNotNull(), F.nullif("key", "txt")).otherwise(F.col("long_key")).alias("skey"),
-        F.when(c.isNotNull(), numbers.to_number(c)).otherwise(number).alias("num")))
+        return materialise(typed.groupBy(*keys).agg(*counts).selectExpr(
+            *keys, "cnt", "first_row", "cast(null AS int) AS flags",
+            "cast(null AS string) AS skey", f"{number} AS num"))
+    counted = _shorten(typed, texts).groupBy(*keys).agg(
+        *counts, F.expr("max(long_flags) AS long_flags"), F.expr("max(long_key) AS long_key"))
+    return materialise(_classify(counted, texts, number))

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -23,18 +25,13 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def _nullable(t: T.DataType) -> T.DataType:
-    if isinstance(t, T.StructType):
-        return T.StructType([T.StructField(f.name, _nullable(f.dataType), True) for f in t.fields])
-    if isinstance(t, T.ArrayType):
-        return T.ArrayType(_nullable(t.elementType), True)
-    return t
+def local_table(spark: SparkSession, rows: list[dict], schema: str | T.StructType) -> DataFrame:
+    """A table the driver already holds, as a local relation of the plan.
 
-
-def small_table(df: DataFrame) -> DataFrame:
-    """Hold a result with a fixed number of rows per column or dataset on the driver.
-
-    Only for tables whose size follows the schemas, never the data.
+    Only for tables whose size follows the schemas (a row per column, check or dataset),
+    never the data.
     """
-    schema = _nullable(df.schema)
-    return df.sparkSession.createDataFrame(df.to(schema).toArrow(), schema=schema)
+    if isinstance(schema, str):
+        schema = T.StructType.fromDDL(schema)
+    table = pa.Table.from_pylist(rows, schema=to_arrow_schema(schema))
+    return spark.createDataFrame(table, schema=schema)
