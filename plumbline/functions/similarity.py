@@ -6,11 +6,17 @@ from __future__ import annotations
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import functions as F
 
 # Fixed value: pairs of names at or above this ratio are similar.
 NAME_THRESHOLD = 0.82
 
+# The least share of a name's characters that a similar name must contain.
+LEAST_SHARE = NAME_THRESHOLD / (2 - NAME_THRESHOLD)
+
+# Letters from rare to common; characters not listed count as rarer still.
+_COMMON = "qjxzwvkfybhgpmucdltsrinoae "
+
 
 @F.pandas_udf("double")
 def name_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -24,15 +30,25 @@ def name_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
             previous = right
         matcher.set_seq1(left)
         ratios.append(matcher.ratio())
-    return pd.Series(ratios)
+    return pd.Series(ratios, dtype="float64")
 
 
-def character_tokens(c: Column) -> Column:
-    """The text's characters as a set, numbering repeats: 'anna' -> a1 n1 n2 a2.
+def character_tokens(c: str) -> str:
+    """The text's characters as a set that numbers repeats ('anna' -> a1 n1 n2 a2).
 
-    The size of the intersection of two such sets is the number of characters the texts
-    share, an upper bound for what any alignment of them can match.
+    Tokens are ordered from rare to common, the same way for every text. The overlap of two
+    such sets is the number of characters the texts share, an upper bound for what any
+    alignment of them can match.
     """
-    chars = F.filter(F.split(c, ""), lambda x: x != "")
-    return F.transform(chars, lambda x, i: F.concat(
-        x, F.size(F.filter(F.slice(chars, F.lit(1), i + 1), lambda y: y == x)).cast("string")))
+    chars = f"filter(split({c}, ''), x -> x != '')"
+    numbered = (
+        f"transform({chars}, (x, i) -> named_struct("
+        f"'repeat', -size(filter(slice({chars}, 1, i + 1), y -> y = x)),"
+        f" 'common', instr('{_COMMON}', x), 'char', x))")
+    return f"transform(array_sort({numbered}), t -> concat(t.char, -t.repeat))"
+
+
+def leading_tokens(tokens: str) -> str:
+    """The rarest tokens; two similar names must share at least one of theirs."""
+    return (f"slice({tokens}, 1, size({tokens})"
+            f" - cast(ceil(size({tokens}) * {LEAST_SHARE}D - 1e-9D) AS int) + 1)")
