@@ -6,7 +6,7 @@ from __future__ import annotations
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 # Fixed value: pairs of names at or above this ratio are similar.
 NAME_THRESHOLD = 0.82
@@ -18,7 +18,7 @@ LEAST_SHARE = NAME_THRESHOLD / (2 - NAME_THRESHOLD)
 _COMMON = "qjxzwvkfybhgpmucdltsrinoae "
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def name_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     matcher = SequenceMatcher(None)
     previous = None
