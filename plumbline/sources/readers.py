@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable, Iterator
 from pathlib import PurePosixPath
 from urllib.parse import unquote
@@ -148,7 +149,19 @@ def flatten(df: DataFrame) -> DataFrame:
     return df.select(*columns)
 
 
-def read_json(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+def _is_json_lines(spark: SparkSession, path: str) -> bool:
+    """Whether the first line is a whole record, so that every line is one."""
+    first = spark.read.text(path).where("trim(value) != ''").first()
+    try:
+        return first is not None and isinstance(json.loads(first.value), dict)
+    except ValueError:
+        return False
+
+
+def read_json(spark: SparkSession, path: str, lines: bool | None = None) -> DataFrame:
+    """JSON records, one per line or as one document per file; found out unless given."""
+    if lines is None:
+        lines = _is_json_lines(spark, path)
     df = flatten(spark.read.option("multiLine", not lines).json(path))
     return df.withColumn(ROW_ID, F.monotonically_increasing_id())
 
