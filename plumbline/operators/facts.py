@@ -19,7 +19,7 @@ from plumbline.operators.columns import (
 from plumbline.operators.frequencies import (
     LONG_TEXT, NUMBER_KINDS, cells, has_signal, signal, value_frequencies)
 from plumbline.operators.quantiles import exact_quantiles
-from plumbline.storage import local_table
+from plumbline.storage import local_table, prefer_compiled_methods
 
 # Thresholds of the profile.
 NEAR_CONSTANT_SHARE = 0.95
@@ -315,14 +315,25 @@ def spread(freq: DataFrame, fences: list[dict]) -> DataFrame:
         "coalesce(sum(CASE WHEN num < low OR num > high THEN cnt END), 0) AS outlier_count"]))
 
 
+def spread_input(df: DataFrame) -> DataFrame:
+    """Give a table that is read by a few tasks only to all cores.
+
+    Unpivoting and classifying cells is much more work than reading them. Tables with enough
+    splits are left alone; rows move by their unique id, so no partition gets more than others.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, ROW_ID) if df.rdd.getNumPartitions() * 2 <= cores else df
+
+
 def _percent(part: int, whole: int) -> float:
     return round(part / whole * 100, 4) if whole else 0.0
 
 
 def build_facts(frames: Mapping[str, DataFrame], as_of: str | None = None) -> Facts:
     """Profile every dataset of the catalogue. Frames carry a unique ``_row_id`` column."""
-    frames = dict(frames)
+    frames = {name: spread_input(df) for name, df in frames.items()}
     spark = next(iter(frames.values())).sparkSession
+    prefer_compiled_methods(spark)
     infos = [i for name, df in frames.items() for i in describe_columns(name, df)]
     described = column_rows(infos)
     now = f"timestamp_ntz'{as_of}'" if as_of else "localtimestamp()"

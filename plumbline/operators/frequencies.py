@@ -158,6 +158,6 @@ def value_frequencies(
         return materialise(typed.groupBy(*keys).agg(*counts).selectExpr(
             *keys, "cnt", "first_row", "cast(null AS int) AS flags",
             "cast(null AS string) AS skey", f"{number} AS num"))
-    counted = _shorten(typed, texts).groupBy(*keys).agg(
-        *counts, F.expr("max(long_flags) AS long_flags"), F.expr("max(long_key) AS long_key"))
+    # what depends on the value alone joins the keys: maxima of strings would need a sort
+    counted = _shorten(typed, texts).groupBy(*keys, "long_flags", "long_key").agg(*counts)
     return materialise(_classify(counted, texts, number))

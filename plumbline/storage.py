@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+_METHOD_LIMIT = "spark.sql.codegen.hugeMethodLimit"
+
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names; a temporary one only where none is set."""
@@ -20,9 +23,26 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Compute once, keep on reliable storage, and read from there afterwards."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write a result to the shared folder once and read it from there afterwards.
+
+    As a Parquet table its readers prune columns and push filters down, and a lost executor
+    costs a re-read instead of a recomputation.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/plumbline-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def prefer_compiled_methods(spark: SparkSession) -> None:
+    """Keep generated methods small enough for the JIT compiler.
+
+    Classifying a value takes many expressions; fused into one method they exceed what the
+    JVM compiles and run interpreted. Beyond this size Spark uses split projections instead.
+    A limit the user has set is left alone.
+    """
+    if spark.conf.get(_METHOD_LIMIT) == "65535":
+        spark.conf.set(_METHOD_LIMIT, "8000")
 
 
 def local_table(spark: SparkSession, rows: list[dict], schema: str | T.StructType) -> DataFrame:
