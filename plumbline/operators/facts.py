@@ -17,7 +17,7 @@ from plumbline.functions import dates, text
 from plumbline.operators.columns import (
     ROW_ID, ColumnInfo, column_rows, column_table, data_columns, describe_columns)
 from plumbline.operators.frequencies import (
-    LONG_TEXT, NUMBER_KINDS, cells, has_signal, signal, value_frequencies)
+    NUMBER_KINDS, has_signal, signal, value_frequencies)
 from plumbline.operators.quantiles import exact_quantiles
 from plumbline.storage import local_table, prefer_compiled_methods
 

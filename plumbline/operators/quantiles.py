@@ -11,9 +11,11 @@ import math
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from plumbline.storage import local_table
+
 BUCKETS = 4096
 # A range with at most this many distinct values is ordered directly.
-DIRECT_LIMIT = 100_000
+DIRECT_LIMIT = 250_000
 _LARGEST = 1.7976931348623157e308
 
 _RANGE_SCHEMA = "cid int, rank long, low double, high double, base long"
@@ -23,9 +25,18 @@ def _clamped(c):
     return F.greatest(F.least(c, F.lit(_LARGEST)), F.lit(-_LARGEST))
 
 
+def _tables(values: DataFrame, ranges: list[tuple]) -> tuple[DataFrame, DataFrame]:
+    """The distinct ranges to read, and the wanted ranks; a few rows per column."""
+    spark = values.sparkSession
+    names = ("cid", "rank", "low", "high", "base")
+    windows = [dict(zip(("cid", "low", "high"), w)) for w in {(r[0], r[2], r[3]) for r in ranges}]
+    return (
+        F.broadcast(local_table(spark, windows, "cid int, low double, high double")),
+        F.broadcast(local_table(spark, [dict(zip(names, r)) for r in ranges], _RANGE_SCHEMA)))
+
+
 def _narrow(values: DataFrame, ranges: list[tuple]) -> list:
-    wanted = F.broadcast(values.sparkSession.createDataFrame(ranges, _RANGE_SCHEMA))
-    windows = F.broadcast(wanted.select("cid", "low", "high").distinct())
+    windows, wanted = _tables(values, ranges)
     v, low, high = (_clamped(F.col(n)) for n in ("v", "low", "high"))
     position = (v * 0.5 - low * 0.5) / (high * 0.5 - low * 0.5)
     bucket = F.least(F.floor(position * BUCKETS), F.lit(BUCKETS - 1))
@@ -48,8 +59,7 @@ def _narrow(values: DataFrame, ranges: list[tuple]) -> list:
 
 def _select(values: DataFrame, ranges: list[tuple]) -> dict[tuple[int, int], float]:
     """Order statistics from ranges that are small enough to be ordered."""
-    wanted = F.broadcast(values.sparkSession.createDataFrame(ranges, _RANGE_SCHEMA))
-    windows = F.broadcast(wanted.select("cid", "low", "high").distinct())
+    windows, wanted = _tables(values, ranges)
     running = Window.partitionBy("cid", "low", "high").orderBy("v")
     rows = (
         values.join(windows, "cid")

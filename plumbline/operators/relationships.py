@@ -67,12 +67,12 @@ def relationship_findings(
             "cast(key AS string) AS key")
         # a bounded top list: the ordered limit keeps a few rows per task
         first = orphans.orderBy("key").limit(EXAMPLES).agg(
+            F.expr(f"'{dataset}' AS dataset"),
             F.expr("sort_array(collect_list(key)) AS orphan_examples"))
-        finding = (
-            orphans.agg(F.expr("count(*) AS orphan_count")).crossJoin(F.broadcast(first))
-            .where("orphan_count > 0").selectExpr(
-                f"'{dataset}' AS dataset", f"'{column}' AS column", f"'{target}' AS references",
-                "orphan_count", "orphan_examples"))
+        counted = orphans.agg(F.expr(f"'{dataset}' AS dataset"), F.expr("count(*) AS orphan_count"))
+        finding = counted.where("orphan_count > 0").join(F.broadcast(first), "dataset").selectExpr(
+            "dataset", f"'{column}' AS column", f"'{target}' AS references",
+            "orphan_count", "orphan_examples")
         result = finding if result is None else result.unionByName(finding)
     if result is None:
         spark = next(iter(frames.values())).sparkSession

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from plumbline.plans import inputs
 from plumbline.plans.oracles import (
-    AS_OF, NUMBERS, POLICY, TABLES, TYPE, WITH, bad_email, collapse, column_facts, convention,
+    AS_OF, POLICY, TABLES, TYPE, WITH, bad_email, collapse, column_facts, convention,
     copies, currency, date_iso, date_status, issue_query, issues_cte, money_high, strip,
     typed_facts)
 from plumbline.plans.queries import DETECTORS, PROFILED, SCORED, TYPED

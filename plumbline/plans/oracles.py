@@ -4,8 +4,7 @@ from __future__ import annotations
 
 import re
 
-from plumbline.plans.inputs import (
-    CONTACTS, DIRTY_CUSTOMER, DIRTY_ORDERS, LINKED_CUSTOMERS, LINKED_ORDERS, ORDER_VERSIONS)
+from plumbline.plans.inputs import DIRTY_CUSTOMER, DIRTY_ORDERS
 
 AS_OF = "1998-06-01"
 

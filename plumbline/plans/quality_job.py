@@ -18,6 +18,7 @@ from plumbline.storage import materialise
 class QualityReport:
     """Result tables of one run; frames are lazy unless they were needed on the way."""
 
+    run_id: str
     before: Facts
     after: Facts
     cleanings: list[cleaning.Cleaning]
@@ -95,16 +96,21 @@ def run_quality_job(
         "history": stored, "drift": findings,
         "drift_summary": drift.drift_summary(known, findings).where(F.col("run_id") == run_id),
     }
-    return QualityReport(before, after, cleanings, tables)
+    return QualityReport(run_id, before, after, cleanings, tables)
 
 
 def run_totals(report: QualityReport) -> DataFrame:
     """(run quality score, readiness, status) over all datasets of the run."""
-    ready = readiness.run_readiness(readiness.score_packs(report.tables["readiness"]))
-    return report.tables["quality_after"].agg(
-        F.expr("cast(bround(avg(quality_score)) AS int) AS quality_score")).crossJoin(ready).crossJoin(
+    parts = [
+        report.tables["quality_after"].agg(
+            F.expr("cast(bround(avg(quality_score)) AS int) AS quality_score")),
+        readiness.run_readiness(readiness.score_packs(report.tables["readiness"])),
         report.tables["gate"].agg(F.expr(
-            "CASE WHEN bool_and(published) THEN 'cleaned' ELSE 'rollback' END AS status")))
+            "CASE WHEN bool_and(published) THEN 'cleaned' ELSE 'rollback' END AS status")),
+    ]
+    # three single rows
+    scores, ready, status = (p.withColumn("run_id", F.lit(report.run_id)) for p in parts)
+    return scores.join(F.broadcast(ready), "run_id").join(F.broadcast(status), "run_id")
 
 
 __all__ = ["ROW_ID", "QualityReport", "analyze", "run_quality_job", "run_totals"]

@@ -133,12 +133,11 @@ def date_parse(spark, sf_dir):
     rows = table(spark, sf_dir, "dirty_orders")
     read = dates.add_reading(rows, "order_date_text", "reading")
     # two flags decide the convention of the whole column
-    proof = read.agg(F.expr("bool_or(reading.evidence = 'DD/MM')").alias("dm"),
-                     F.expr("bool_or(reading.evidence = 'MM/DD')").alias("md"))
-    resolved = read.crossJoin(F.broadcast(proof)).selectExpr(
-        "order_date_text", dates.resolve(
-            "reading", "CASE WHEN dm AND NOT coalesce(md, false) THEN 'DD/MM'"
-            " WHEN md AND NOT coalesce(dm, false) THEN 'MM/DD' END") + " AS r")
+    proof = read.agg(F.expr("coalesce(bool_or(reading.evidence = 'DD/MM'), false)").alias("dm"),
+                     F.expr("coalesce(bool_or(reading.evidence = 'MM/DD'), false)").alias("md")).first()
+    known = dates.convention_of(proof.dm, proof.md)
+    convention = f"'{known}'" if known else "cast(null AS string)"
+    resolved = read.selectExpr("order_date_text", f"{dates.resolve('reading', convention)} AS r")
     return resolved.groupBy("order_date_text", F.expr("r.status AS status"),
                             F.expr("r.iso AS iso")).agg(F.expr("count(*) AS n"))
 
@@ -446,7 +445,7 @@ def scan_ragged_csv(spark, sf_dir):
     data, skipped = readers.read_delimited(spark, path)
     return data.agg(*map(F.expr, [
         "count(*) AS row_count", "count(p_type) AS with_type", "sum(p_partkey) AS key_sum"])
-    ).crossJoin(skipped)
+    ).withColumn("skipped_rows", F.lit(skipped.first().skipped_rows))
 
 
 def scan_json(spark, sf_dir):
@@ -533,8 +532,8 @@ def log_append(spark, sf_dir):
 def table_fingerprint(spark, sf_dir):
     plain = table(spark, sf_dir, "orders")
     a = sinks.table_fingerprint(plain)
-    b = sinks.table_fingerprint(plain.repartition(7)).withColumnRenamed("checksum", "other").drop("row_count")
-    return a.crossJoin(b).selectExpr("row_count", "checksum = other AS order_free")
+    b = sinks.table_fingerprint(plain.repartition(7)).withColumnRenamed("checksum", "other")
+    return a.join(b, "row_count").selectExpr("row_count", "checksum = other AS order_free")
 
 
 def file_fingerprint(spark, sf_dir):
