@@ -57,9 +57,9 @@ def run_quality_job(
     after, after_issues = analyze(
         cleaned, as_of, required, protected, near_duplicate_search)
 
-    checks = validation.validate(after)
+    checks = materialise(validation.validate(after))
     published = validation.gate(before, after, checks, markers_are_missing)
-    links = relationships.relationship_checks(before.frames)
+    links = materialise(relationships.relationship_checks(before.frames))
     readiness_before = readiness.readiness_checks(before, decisions, packs=platforms)
     readiness_after = readiness.readiness_checks(after, after_issues, packs=platforms)
     scores = {
@@ -75,6 +75,8 @@ def run_quality_job(
     changes = None
     for c in cleanings:
         changes = c.changes if changes is None else changes.unionByName(c.changes)
+    # the log is an output of its own and several reports read it
+    changes = materialise(changes)
     audit = governance.audit_rows(decisions, changes, run_id)
     lineage = governance.lineage(before, cleanings, decisions)
     stored = drift.profile_history(before, run_id)
