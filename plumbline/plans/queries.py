@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -408,13 +408,8 @@ def drift_summary(spark, sf_dir):
 
 
 def _folder(spark) -> str:
-    return tempfile.mkdtemp(prefix="plumbline-", dir=_local(checkpoint_dir(spark)))
-
-
-def _local(path: str) -> str | None:
-    """Use the shared folder for scratch output where it is a plain path."""
-    plain = path.removeprefix("file:")
-    return plain if plain.startswith("/") and "://" not in path else None
+    """A new place in the shared folder; the writers create it."""
+    return f"{checkpoint_dir(spark)}/plumbline-{uuid.uuid4().hex}"
 
 
 def history_latest(spark, sf_dir):
@@ -469,6 +464,8 @@ def scan_feather(spark, sf_dir):
     import os
 
     path = _folder(spark)
+    # tasks write plain files, so the shared folder has to be mounted on every machine
+    mounted = path.removeprefix("file:")
     source = spark.read.parquet(f"{sf_dir}/part.parquet")
 
     def write(batches):
@@ -477,7 +474,8 @@ def scan_feather(spark, sf_dir):
         from pyspark import TaskContext
         taken = list(batches)
         if taken:
-            name = os.path.join(path, f"part-{TaskContext.get().partitionId()}.feather")
+            os.makedirs(mounted, exist_ok=True)
+            name = os.path.join(mounted, f"part-{TaskContext.get().partitionId()}.feather")
             feather.write_feather(pa.Table.from_batches(taken), name, compression="uncompressed")
         yield pa.RecordBatch.from_pydict({"files": pa.array([len(taken)], pa.int64())})
 
