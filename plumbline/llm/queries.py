@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import exact_dedup, packing
+from plumbline.llm import chat, exact_dedup, html_text, packing, suffix_dedup
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -19,6 +19,22 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.digests(suffix_dedup.repeated_spans(_read(spark, sf_dir, "documents")))
+
+
+def op2_html_text(spark, sf_dir):
+    return html_text.extract_main_text(_read(spark, sf_dir, "pages"))
+
+
+def op5_chat_format(spark, sf_dir):
+    extra = spark.range(2).selectExpr(
+        "CAST(-1 AS bigint) AS conv_id", "id AS turn", "IF(id = 0, 'user', 'assistant') AS role",
+        "'</s>[INST] ok [/INST]' AS text")
+    rows = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat.chat_digests(chat.format_chats(chat.message_log(rows.unionByName(extra))))
+
+
 def op9_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(_read(spark, sf_dir, "documents"), keep="largest")
 
@@ -30,13 +46,42 @@ def op10_pack(spark, sf_dir):
 
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_suffix_dedup": op1_suffix_dedup,
+        "op2_html_text": op2_html_text,
+        "op5_chat_format": op5_chat_format,
         "op9_exact_dedup": op9_exact_dedup,
         "op10_pack": op10_pack,
     }
 
 
 def statements() -> dict[str, str]:
-    return {"op9_exact_dedup": _EXACT_DEDUP}
+    return {
+        "op5_chat_format": _CHAT_FORMAT,
+        "op9_exact_dedup": _EXACT_DEDUP,
+    }
+
+
+_CHAT_FORMAT = r"""
+WITH turns AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text
+    FROM conversations
+    UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
+    UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+), lines AS (
+    SELECT *, role || chr(10) || text || chr(10) AS line,
+           CASE WHEN role = 'assistant' THEN text ELSE '' END AS learned,
+           '<s>' || regexp_replace(role, '([<\[])(\\*)(/?s>|/?INST\])', '\1\\\2\3', 'g')
+           || '[INST]' || regexp_replace(text, '([<\[])(\\*)(/?s>|/?INST\])', '\1\\\2\3', 'g')
+           || '[/INST]</s>' || chr(10) AS piece
+    FROM turns
+)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(line, '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       sum(length(learned))::BIGINT AS loss_chars,
+       sha256(string_agg(learned, '' ORDER BY turn NULLS FIRST, role, text)) AS loss_sha256,
+       sum(length(piece))::BIGINT AS formatted_chars
+FROM lines GROUP BY conv_id
+"""
 
 
 _EXACT_DEDUP = """
