@@ -81,3 +81,58 @@ def window_argmin(values: np.ndarray, width: int) -> np.ndarray:
     after = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].ravel()
     best = np.minimum(after[:n - width + 1], before[width - 1:n])
     return (best & np.uint64(0xFFFFF)).astype(np.int64)
+
+
+#: White space between words: space and U+0009 to U+000D.
+_IS_WORD = np.ones(256, bool)
+_IS_WORD[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = False
+_PIECE = 1 << 20
+
+
+def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of every run of bytes that are no white space; none crosses an offset."""
+    inside = _IS_WORD[data]
+    starts = inside.copy()
+    starts[1:] &= ~inside[:-1]
+    ends = inside.copy()
+    ends[:-1] &= ~inside[1:]
+    inner = offsets[(offsets > 0) & (offsets < len(data))]
+    starts[inner] |= inside[inner]
+    ends[inner - 1] |= inside[inner - 1]
+    return np.flatnonzero(starts), np.flatnonzero(ends) + 1
+
+
+def lower_ascii(data: np.ndarray) -> np.ndarray:
+    return np.where((data >= 65) & (data <= 90), data | 32, data).astype(np.uint8)
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A hash per word of the texts that ``offsets`` cut ``data`` into, and word counts' sums."""
+    hashes, counts = [], [0]
+    n = len(offsets) - 1
+    first = 0
+    while first < n:
+        last = int(np.searchsorted(offsets, offsets[first] + _PIECE, "right")) - 1
+        last = min(n, max(last, first + 1))
+        low, high = int(offsets[first]), int(offsets[last])
+        if high - low <= 2 * _PIECE:
+            part = data[low:high]
+            start, end = word_bounds(part, offsets[first:last + 1] - low)
+            hashes.append(RangeHash(part).ranges(start, end))
+            below = np.searchsorted(start, offsets[first + 1:last + 1] - low, "left")
+            counts.extend((counts[-1] + below).tolist())
+        else:                                   # one long text, piece by piece
+            at, total = low, 0
+            while at < high:
+                until = min(high, at + _PIECE)
+                while until < high and _IS_WORD[data[until]] and until - at < 16 * _PIECE:
+                    until += 1                  # a piece ends between words
+                part = data[at:until]
+                start, end = word_bounds(part, np.zeros(0, np.int64))
+                hashes.append(RangeHash(part).ranges(start, end))
+                total += len(start)
+                at = until
+            counts.append(counts[-1] + total)
+        first = last
+    flat = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
+    return flat, np.array(counts, np.int64)

@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import chat, exact_dedup, html_text, packing, suffix_dedup
+from plumbline.llm import (
+    automaton_dedup, chat, exact_dedup, html_text, packing, suffix_dedup)
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -27,6 +28,11 @@ def op2_html_text(spark, sf_dir):
     return html_text.extract_main_text(_read(spark, sf_dir, "pages"))
 
 
+def op4_automaton_dedup(spark, sf_dir):
+    return automaton_dedup.digests(
+        automaton_dedup.earlier_spans(_read(spark, sf_dir, "documents")))
+
+
 def op5_chat_format(spark, sf_dir):
     extra = spark.range(2).selectExpr(
         "CAST(-1 AS bigint) AS conv_id", "id AS turn", "IF(id = 0, 'user', 'assistant') AS role",
@@ -48,6 +54,7 @@ def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_suffix_dedup": op1_suffix_dedup,
         "op2_html_text": op2_html_text,
+        "op4_automaton_dedup": op4_automaton_dedup,
         "op5_chat_format": op5_chat_format,
         "op9_exact_dedup": op9_exact_dedup,
         "op10_pack": op10_pack,
@@ -56,11 +63,40 @@ def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def statements() -> dict[str, str]:
     return {
+        "op4_automaton_dedup": _AUTOMATON_DEDUP,
         "op5_chat_format": _CHAT_FORMAT,
         "op9_exact_dedup": _EXACT_DEDUP,
     }
 
 
+_AUTOMATON_DEDUP = r"""
+WITH words AS (
+    SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words
+    FROM documents
+), places AS (
+    SELECT doc_id, unnest(range(1, len(words) + 1)) AS pos, words FROM words
+), windows AS (
+    SELECT doc_id, pos, words[pos] AS word,
+           CASE WHEN pos + 19 <= len(words) THEN array_to_string(words[pos:pos + 19], ' ') END AS w
+    FROM places
+), ordered AS (
+    SELECT doc_id, pos, word, w IS NOT NULL AND row_number() OVER (
+               PARTITION BY w ORDER BY doc_id, pos) > 1 AS earlier
+    FROM windows
+), covered AS (
+    SELECT doc_id, pos, word, bool_or(earlier) OVER (
+               PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS gone
+    FROM ordered
+), totals AS (
+    SELECT doc_id, count(*) FILTER (gone) AS n_removed,
+           string_agg(word, ' ' ORDER BY pos) FILTER (NOT gone) AS kept
+    FROM covered GROUP BY doc_id
+)
+SELECT doc_id, len(words) AS n_words, coalesce(n_removed, 0) AS n_removed,
+       sha256(coalesce(kept, '')) AS kept_sha256
+FROM words LEFT JOIN totals USING (doc_id)
+"""
+
 _CHAT_FORMAT = r"""
 WITH turns AS (
     SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text
