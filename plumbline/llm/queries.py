@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from plumbline.llm import (
-    automaton_dedup, chat, exact_dedup, html_text, packing, suffix_dedup)
+    automaton_dedup, chat, exact_dedup, html_text, line_dedup, packing, suffix_dedup)
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -28,6 +28,10 @@ def op2_html_text(spark, sf_dir):
     return html_text.extract_main_text(_read(spark, sf_dir, "pages"))
 
 
+def op3_line_dedup(spark, sf_dir):
+    return line_dedup.digests(line_dedup.dedup_lines(_read(spark, sf_dir, "documents")))
+
+
 def op4_automaton_dedup(spark, sf_dir):
     return automaton_dedup.digests(
         automaton_dedup.earlier_spans(_read(spark, sf_dir, "documents")))
@@ -54,6 +58,7 @@ def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_suffix_dedup": op1_suffix_dedup,
         "op2_html_text": op2_html_text,
+        "op3_line_dedup": op3_line_dedup,
         "op4_automaton_dedup": op4_automaton_dedup,
         "op5_chat_format": op5_chat_format,
         "op9_exact_dedup": op9_exact_dedup,
@@ -63,12 +68,43 @@ def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def statements() -> dict[str, str]:
     return {
+        "op3_line_dedup": _LINE_DEDUP,
         "op4_automaton_dedup": _AUTOMATON_DEDUP,
         "op5_chat_format": _CHAT_FORMAT,
         "op9_exact_dedup": _EXACT_DEDUP,
     }
 
 
+_LINE_DEDUP = r"""
+WITH cut AS (
+    SELECT doc_id, CASE WHEN text IS NULL THEN [] ELSE string_split(text, chr(10)) END AS lines
+    FROM documents
+), places AS (
+    SELECT doc_id, unnest(range(1, len(lines) + 1)) AS pos, lines FROM cut
+), windows AS (
+    SELECT doc_id, pos, lines[pos] AS line,
+           CASE WHEN pos + 2 <= len(lines)
+                 AND regexp_matches(array_to_string(lines[pos:pos + 2], ' '), '[\pL\pN]')
+                THEN lines[pos:pos + 2] END AS w
+    FROM places
+), ordered AS (
+    SELECT *, w IS NOT NULL AND row_number() OVER (PARTITION BY w ORDER BY doc_id, pos) > 1
+              AS earlier
+    FROM windows
+), covered AS (
+    SELECT doc_id, pos, line, bool_or(earlier) OVER (
+               PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS gone
+    FROM ordered
+), totals AS (
+    SELECT doc_id, count(*) FILTER (gone) AS n_removed,
+           string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone) AS kept
+    FROM covered GROUP BY doc_id
+)
+SELECT doc_id, len(lines)::BIGINT AS n_lines, coalesce(n_removed, 0) AS n_removed,
+       sha256(coalesce(kept, '')) AS kept_sha256
+FROM cut LEFT JOIN totals USING (doc_id)
+"""
+
 _AUTOMATON_DEDUP = r"""
 WITH words AS (
     SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words
