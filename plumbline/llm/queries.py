@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from plumbline.llm import (
-    automaton_dedup, chat, exact_dedup, html_text, line_dedup, packing, suffix_dedup)
+    automaton_dedup, chat, decontaminate, exact_dedup, html_text, line_dedup, packing,
+    suffix_dedup)
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -45,6 +46,11 @@ def op5_chat_format(spark, sf_dir):
     return chat.chat_digests(chat.format_chats(chat.message_log(rows.unionByName(extra))))
 
 
+def op7_decontaminate(spark, sf_dir):
+    return decontaminate.overlaps(_read(spark, sf_dir, "documents"),
+                                  _read(spark, sf_dir, "benchmark"))
+
+
 def op9_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(_read(spark, sf_dir, "documents"), keep="largest")
 
@@ -61,6 +67,7 @@ def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_line_dedup": op3_line_dedup,
         "op4_automaton_dedup": op4_automaton_dedup,
         "op5_chat_format": op5_chat_format,
+        "op7_decontaminate": op7_decontaminate,
         "op9_exact_dedup": op9_exact_dedup,
         "op10_pack": op10_pack,
     }
@@ -71,6 +78,7 @@ def statements() -> dict[str, str]:
         "op3_line_dedup": _LINE_DEDUP,
         "op4_automaton_dedup": _AUTOMATON_DEDUP,
         "op5_chat_format": _CHAT_FORMAT,
+        "op7_decontaminate": _DECONTAMINATE,
         "op9_exact_dedup": _EXACT_DEDUP,
     }
 
@@ -162,3 +170,37 @@ SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_siz
 FROM documents
 WINDOW same AS (PARTITION BY coalesce(text, ''))
 """
+
+# Windows of 13 words with at most two differences agree in one of three residue classes.
+_DECONTAMINATE = r"""
+WITH texts AS (
+    SELECT 'doc' AS kind, doc_id AS id, regexp_extract_all(lower(coalesce(text, '')), '[\pL\pN]+') AS words
+    FROM documents
+    UNION ALL
+    SELECT 'item', item_id, regexp_extract_all(lower(coalesce(text, '')), '[\pL\pN]+') FROM benchmark
+), sized AS (
+    SELECT *, CASE WHEN kind = 'item' AND len(words) < 13 THEN len(words) ELSE 13 END AS n FROM texts
+), lengths AS (
+    SELECT DISTINCT n FROM sized WHERE kind = 'item' AND n >= 5
+), places AS (
+    SELECT kind, id, s.n AS n, unnest(range(1, len(words) - s.n + 2)) AS pos, words
+    FROM sized s WHERE kind = 'item' AND s.n >= 5
+    UNION ALL
+    SELECT kind, id, l.n, unnest(range(1, len(words) - l.n + 2)), words
+    FROM sized s, lengths l WHERE kind = 'doc'
+), windows AS (
+    SELECT kind, id, n, pos, words[pos:pos + n - 1] AS w FROM places
+), classes AS (
+    SELECT kind, id, n, pos, w, c,
+           array_to_string(list_filter(w, lambda x, i: i % 3 = c), ' ') AS k
+    FROM windows, (SELECT unnest([0, 1, 2]) AS c)
+), pairs AS (
+    SELECT DISTINCT d.id AS doc_id, i.id AS item_id, d.pos, d.n
+    FROM classes d JOIN classes i ON d.kind = 'doc' AND i.kind = 'item'
+         AND d.n = i.n AND d.c = i.c AND d.k = i.k
+    WHERE len(list_filter(list_zip(d.w, i.w), lambda p: p[1] = p[2])) >= d.n - floor(d.n * 0.2)
+)
+SELECT doc_id, item_id, count(DISTINCT pos) AS n_windows, min(pos) - 1 AS first_word,
+       max(pos + n) - 2 AS last_word
+FROM pairs GROUP BY doc_id, item_id
+"""
