@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from plumbline.llm import (
-    automaton_dedup, chat, decontaminate, exact_dedup, html_text, line_dedup, packing,
-    suffix_dedup)
+    automaton_dedup, chat, decontaminate, exact_dedup, html_text, language_id, line_dedup,
+    packing, suffix_dedup)
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -51,6 +51,11 @@ def op7_decontaminate(spark, sf_dir):
                                   _read(spark, sf_dir, "benchmark"))
 
 
+def op8_language_id(spark, sf_dir):
+    docs = _read(spark, sf_dir, "documents")
+    return language_id.identify(docs, language_id.train(docs))
+
+
 def op9_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(_read(spark, sf_dir, "documents"), keep="largest")
 
@@ -68,6 +73,7 @@ def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_automaton_dedup": op4_automaton_dedup,
         "op5_chat_format": op5_chat_format,
         "op7_decontaminate": op7_decontaminate,
+        "op8_language_id": op8_language_id,
         "op9_exact_dedup": op9_exact_dedup,
         "op10_pack": op10_pack,
     }
