@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from plumbline.llm import (
-    automaton_dedup, chat, decontaminate, exact_dedup, html_text, language_id, line_dedup,
-    packing, suffix_dedup)
+    automaton_dedup, chat, decontaminate, exact_dedup, html_text, jaccard_join, language_id,
+    line_dedup, packing, suffix_dedup)
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -46,6 +46,10 @@ def op5_chat_format(spark, sf_dir):
     return chat.chat_digests(chat.format_chats(chat.message_log(rows.unionByName(extra))))
 
 
+def op6_jaccard_join(spark, sf_dir):
+    return jaccard_join.near_duplicates(_read(spark, sf_dir, "documents"))
+
+
 def op7_decontaminate(spark, sf_dir):
     return decontaminate.overlaps(_read(spark, sf_dir, "documents"),
                                   _read(spark, sf_dir, "benchmark"))
@@ -72,6 +76,7 @@ def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_line_dedup": op3_line_dedup,
         "op4_automaton_dedup": op4_automaton_dedup,
         "op5_chat_format": op5_chat_format,
+        "op6_jaccard_join": op6_jaccard_join,
         "op7_decontaminate": op7_decontaminate,
         "op8_language_id": op8_language_id,
         "op9_exact_dedup": op9_exact_dedup,
@@ -84,6 +89,7 @@ def statements() -> dict[str, str]:
         "op3_line_dedup": _LINE_DEDUP,
         "op4_automaton_dedup": _AUTOMATON_DEDUP,
         "op5_chat_format": _CHAT_FORMAT,
+        "op6_jaccard_join": _JACCARD_JOIN,
         "op7_decontaminate": _DECONTAMINATE,
         "op9_exact_dedup": _EXACT_DEDUP,
     }
@@ -210,3 +216,37 @@ SELECT doc_id, item_id, count(DISTINCT pos) AS n_windows, min(pos) - 1 AS first_
        max(pos + n) - 2 AS last_word
 FROM pairs GROUP BY doc_id, item_id
 """
+
+_JACCARD_JOIN = r"""
+WITH RECURSIVE texts AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+           'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words
+    FROM documents
+), sets AS (
+    SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 3 THEN [words]
+           ELSE list_distinct(list_transform(range(1, len(words) - 1), lambda i: words[i:i + 2]))
+           END AS shingles
+    FROM texts
+), distinct_sets AS (
+    SELECT min(doc_id) AS node, list_sort(shingles) AS shingles
+    FROM sets WHERE len(shingles) > 0 GROUP BY list_sort(shingles)
+), members AS (
+    SELECT node, len(shingles) AS n, unnest(shingles) AS s FROM distinct_sets
+), links AS MATERIALIZED (
+    SELECT x.node AS a, y.node AS b
+    FROM members x JOIN members y
+         ON x.s = y.s AND x.node <> y.node AND 100 * x.n >= 90 * y.n AND 100 * y.n >= 90 * x.n
+    GROUP BY x.node, y.node, x.n, y.n
+    HAVING 100 * count(*) >= 90 * (x.n + y.n - count(*))
+), reach AS (
+    SELECT node, node AS to_node FROM distinct_sets
+    UNION
+    SELECT r.node, l.b FROM reach r JOIN links l ON r.to_node = l.a
+), parts AS (
+    SELECT node, min(to_node) AS component FROM reach GROUP BY node
+)
+SELECT s.doc_id, len(s.shingles)::BIGINT AS n_shingles,
+       coalesce(p.component, s.doc_id) AS component_id
+FROM sets s LEFT JOIN distinct_sets d ON len(s.shingles) > 0 AND list_sort(s.shingles) = d.shingles
+     LEFT JOIN parts p ON p.node = d.node
+"""
