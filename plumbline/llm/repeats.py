@@ -103,13 +103,16 @@ def live_ranges(anchors: DataFrame) -> DataFrame:
     """
     anchors = anchors.persist(StorageLevel.MEMORY_AND_DISK)
     owner = F.struct("id", "p")
-    by_f = (anchors.groupBy("f")
-            .agg(F.count("*").alias("m"), F.min("e").alias("low"), F.max("e").alias("high"),
-                 F.min(owner).alias("first"))
-            .where("m > 1").selectExpr("f", "m", "first", "low <> high AS several"))
+    # written before the join: Spark splits a hot key only where no aggregate stands under the join
+    by_f = materialise(
+        anchors.groupBy("f")
+        .agg(F.count("*").alias("m"), F.min("e").alias("low"), F.max("e").alias("high"),
+             F.min(owner).alias("first"))
+        .where("m > 1").selectExpr("f", "m", "first", "low <> high AS several"))
     rows = materialise(anchors.join(by_f, "f"))
     anchors.unpersist()
     mixed = rows.where("several")
-    by_class = mixed.groupBy("f", "e").agg(F.count("*").alias("m"), F.min(owner).alias("first"))
+    by_class = materialise(
+        mixed.groupBy("f", "e").agg(F.count("*").alias("m"), F.min(owner).alias("first")))
     split = mixed.drop("m", "first").join(by_class, ["f", "e"])
     return materialise(rows.where("NOT several").unionByName(split))
