@@ -35,8 +35,9 @@ from plumbline.storage import materialise
 
 SHINGLE = 3
 PERCENT = 90
-#: Part of the hash space whose shingles are counted to order them, in percent.
-COUNTED = 16
+#: The part of the hash space whose shingles are counted, as a multiple of a prefix's share: a
+#: document joins by a passage that others hold only where it has too few rare shingles.
+COUNTED = 1.6
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> Iterator[np.ndarray]:
@@ -71,9 +72,9 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 _PROFILE = "id long, n long, d1 long, d2 long, counted int, head array<long>"
 
 
-def _profiles(size: int, percent: int, counted: int):
+def _profiles(size: int, percent: int, counted: float):
     """Set size, a digest of the set, and the shingles that can be in its prefix."""
-    limit = np.uint64((1 << 64) * counted // 100)
+    limit = np.uint64(min((1 << 64) - 1, int((1 << 64) * counted * (100 - percent) / 100)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -166,7 +167,7 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     shingle: int = SHINGLE, percent: int = PERCENT,
-                    counted: int = COUNTED) -> DataFrame:
+                    counted: float = COUNTED) -> DataFrame:
     """The identifier, ``n_shingles`` and ``component_id`` of every row.
 
     Two documents link when ``100 * |intersection| >= percent * |union|`` of their shingle sets.
