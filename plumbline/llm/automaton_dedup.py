@@ -107,7 +107,7 @@ def _words_of(flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return word_hashes(flat[low:high], offsets - low)
 
 
-def _anchor_rows(size: int, spread: int):
+def _anchor_rows(size: int, spread: int, slice_units: int):
     def ranges(words: np.ndarray, ends: np.ndarray):
         count = len(words) - size + 1
         if count <= 0:
@@ -129,10 +129,10 @@ def _anchor_rows(size: int, spread: int):
             flat, offsets = repeats.binary_views(batch.column(2))
             for low, high in repeats.slices(offsets, 1 << 20):
                 words, below = _words_of(flat, offsets[low:high + 1])
-                for a, b in repeats.slices(below, SLICE):
+                for a, b in repeats.slices(below, slice_units):
                     begin, stop = int(below[a]), int(below[b])
-                    for at in range(begin, max(begin + 1, stop - size + 1), SLICE):
-                        until = min(stop, at + SLICE + size - 1) if b == a + 1 else stop
+                    for at in range(begin, max(begin + 1, stop - size + 1), slice_units):
+                        until = min(stop, at + slice_units + size - 1) if b == a + 1 else stop
                         found = ranges(words[at:until], below[a + 1:b + 1] - at)
                         if found is not None:
                             first, count, f, e = found
@@ -293,7 +293,7 @@ def _finish(size: int):
 
 def earlier_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                   size: int = SIZE, spread: int = SPREAD,
-                  shard_ranges: int = SHARD_RANGES) -> DataFrame:
+                  shard_ranges: int = SHARD_RANGES, slice_units: int = SLICE) -> DataFrame:
     """Per row the maximal runs of words covered by windows of ``size`` words seen earlier.
 
     Returns the identifier, ``n_words``, ``spans`` (start, end) in words and ``kept_sha256`` of
@@ -302,7 +302,7 @@ def earlier_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     if not 1 < spread <= size - _GRAM + 1 or spread > 256:
         raise ValueError(f"spread must lie between 2 and size - {_GRAM - 1}")
     texts = repeats.bodies(docs, id_col, text_col)
-    anchors = texts.mapInArrow(_anchor_rows(size, spread), repeats.ANCHORS)
+    anchors = texts.mapInArrow(_anchor_rows(size, spread, slice_units), repeats.ANCHORS)
     live = repeats.live_ranges(anchors)
     is_first = F.expr("id = first.id AND p = first.p")
     per_doc = live.groupBy("id", repeats.tag_of("p").alias("tag")).agg(

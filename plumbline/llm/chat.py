@@ -73,7 +73,7 @@ def fold(log: DataFrame) -> DataFrame:
     reset = F.array_max(F.transform("e", lambda x, i: F.when(x["rank"] < 3, i + 1).otherwise(1)))
     messages = messages.withColumn("reset", reset).select(
         "conv_id", "target", "last_seq", "restarted",
-        F.coalesce(F.element_at(F.filter("e", lambda x: x["role"].isNotNull()), -1)["role"],
+        F.coalesce(F.try_element_at(F.filter("e", lambda x: x["role"].isNotNull()), F.lit(-1))["role"],
                    F.lit("")).alias("role"),
         F.array_join(F.transform(F.expr("slice(e, reset, size(e))"), lambda x: x["text"]), "")
         .alias("text"))

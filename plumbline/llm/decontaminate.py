@@ -192,6 +192,5 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "do
 
     Documents are told by their identifier; rows without one are judged by a null identifier.
     """
-    found = overlaps(docs, benchmark, id_col=id_col, **options).select(
-        F.col(id_col).alias("_leak")).distinct()
-    return docs.join(found, F.col(id_col).eqNullSafe(F.col("_leak")), "left_anti")
+    found = overlaps(docs, benchmark, id_col=id_col, **options).select(id_col).distinct()
+    return docs.join(found, docs[id_col].cast("long").eqNullSafe(found[id_col]), "left_anti")

@@ -204,8 +204,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def keep_owners(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 keep: str = "largest") -> DataFrame:
     """The rows of ``docs`` that own their text, with all their columns."""
-    digest = F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256)
-    found = owners(docs, id_col, text_col, keep).select(
-        F.col("text_sha256").alias("_sha"), F.col("keep_id").alias("_keep"))
-    return (docs.withColumn("_sha", digest).join(found, "_sha")
-            .where(F.col(id_col).cast("long").eqNullSafe(F.col("_keep"))).drop("_sha", "_keep"))
+    found = owners(docs, id_col, text_col, keep)
+    digest = F.sha2(F.coalesce(docs[text_col], F.lit("")).cast("binary"), 256)
+    return docs.join(found, (digest == found["text_sha256"]) & docs[id_col].cast("long").eqNullSafe(
+        found["keep_id"]), "left_semi")

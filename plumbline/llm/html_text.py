@@ -45,6 +45,7 @@ _SKIP_NAMES = {
     "social", "sponsor", "sponsored", "subscribe", "subscription", "tags", "toolbar", "topbar",
     "widget"}
 _KEEP_NAMES = {"article", "content", "main", "post", "story", "entry", "body"}
+_PASSING = {"p", "pre", "blockquote", "li", "dt", "dd", "td", "th"}
 _HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 #: What an opening tag closes implicitly, up to the nearest element of the second set.
 _CLOSES = {
@@ -229,7 +230,7 @@ def main_text(page: str) -> str:
         if owner.tag in _HEADINGS or owner.tag in ("li", "dt", "td", "th"):
             points *= 0.5
         node, share = owner, 1.0
-        if owner.tag in ("p", "pre", "blockquote") or owner.tag in _HEADINGS:
+        if owner.tag in _PASSING or owner.tag in _HEADINGS:
             node = owner.parent or owner         # paragraphs pass their points on
             owner.length += len(text)
             owner.linked += linked
@@ -255,7 +256,7 @@ def main_text(page: str) -> str:
         up = up.parent
     kept = {id(best)}
     if best.tag not in ("article", "main", "body", "html") and best.parent is not None:
-        least = max(2.0, 0.2 * value(best))
+        least = 0.2 * value(best)
         for sibling in best.parent.children:
             if isinstance(sibling, str) or sibling.skip or sibling is best:
                 continue

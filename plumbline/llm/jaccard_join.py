@@ -227,5 +227,5 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_representatives(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """The rows of ``docs`` that are the smallest of their component, with all their columns."""
     found = near_duplicates(docs, id_col=id_col, **options).where(
-        F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_kept")).distinct()
-    return docs.join(found, F.col(id_col).eqNullSafe(F.col("_kept")), "left_semi")
+        F.col(id_col).eqNullSafe(F.col("component_id"))).select(id_col).distinct()
+    return docs.join(found, docs[id_col].cast("long").eqNullSafe(found[id_col]), "left_semi")

@@ -71,11 +71,8 @@ class WordTokenizer:
             merges = json.load(file)["model"]["merges"]
         # the tokenizer's letters for bytes, read off the library
         letters = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        bytes_of = {}
-        for b in range(256):
-            text = (bytes([b]) if b < 128 else bytes([0xC0 | b >> 6, 0x80 | b & 63])).decode()
-            for letter, raw in zip(letters.pre_tokenize_str(text)[0][0], text.encode()):
-                bytes_of[letter] = raw
+        text = "".join(map(chr, range(0x800)))
+        bytes_of = dict(zip(letters.pre_tokenize_str(text)[0][0], text.encode()))
         vocabulary = self.model.get_vocab(with_added_tokens=False)
         ranks = {_END: 0}
         ids = [-1]

@@ -72,7 +72,7 @@ class Buckets:
         return _pair(_pair(ids[start], ids[start + length - h]), length.astype(np.uint64))
 
 
-def _anchor_rows(size: int, spread: int):
+def _anchor_rows(size: int, spread: int, slice_units: int):
     gram = max(h for h in (_FIRST << k for k in range(16)) if h <= min(24, size - spread + 1))
 
     def ranges(data: np.ndarray, ends: np.ndarray):
@@ -95,9 +95,9 @@ def _anchor_rows(size: int, spread: int):
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             tags = batch.column(1).to_numpy(zero_copy_only=False)
             flat, offsets = repeats.binary_views(batch.column(2))
-            for low, high in repeats.slices(offsets, SLICE):
+            for low, high in repeats.slices(offsets, slice_units):
                 begin, stop = int(offsets[low]), int(offsets[high])
-                step = max(SLICE, 1)
+                step = slice_units
                 # a long text is cut into slices that share size - 1 bytes: no window is lost
                 for at in range(begin, max(begin + 1, stop - size + 1), step):
                     until = min(stop, at + step + size - 1) if high == low + 1 else stop
@@ -211,7 +211,8 @@ def _finish(size: int):
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                   size: int = SIZE, spread: int = SPREAD) -> DataFrame:
+                   size: int = SIZE, spread: int = SPREAD,
+                   slice_units: int = SLICE) -> DataFrame:
     """Per row the maximal runs of bytes covered by strings of ``size`` bytes that recur.
 
     Returns the identifier, ``n_bytes``, ``spans`` (start, end) in bytes and ``kept_sha256`` of
@@ -221,7 +222,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     if not 1 < spread <= min(256, size - 2, 2 * deepest - size + 1):
         raise ValueError("spread must be from 2 to 256 and well below the window")
     texts = repeats.bodies(docs, id_col, text_col)
-    anchors = texts.mapInArrow(_anchor_rows(size, spread), repeats.ANCHORS)
+    anchors = texts.mapInArrow(_anchor_rows(size, spread, slice_units), repeats.ANCHORS)
     live = repeats.live_ranges(anchors)
     # a class of several ranges repeats itself; one member of each class meets the other classes
     sure, opened = F.expr("m > 1"), F.expr("several AND id = first.id AND p = first.p")
