@@ -46,8 +46,8 @@ DATE_LIKE = (
 
 def full_year(ymd: str) -> str:
     """Spell out two-digit years of a y-m-d text: below 70 is 20yy, the others 19yy."""
-    recent = f"regexp_replace({ymd}, {raw(r'^(?:00)?([0-6][0-9])-')}, '20$1-')"
-    return f"regexp_replace({recent}, {raw(r'^(?:00)?([7-9][0-9])-')}, '19$1-')"
+    recent = f"regexp_replace({ymd}, {raw(r'^0{0,2}([0-6][0-9])-')}, '20$1-')"
+    return f"regexp_replace({recent}, {raw(r'^0{0,2}([7-9][0-9])-')}, '19$1-')"
 
 
 def bounded_date(ymd: str) -> str:

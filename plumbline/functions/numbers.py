@@ -41,10 +41,6 @@ def half_even(c: Column, digits: int = 0) -> Column:
     return F.bround(c, digits) + F.lit(0.0)
 
 
-def percent(part: str, whole: str, digits: int = 4) -> str:
-    return f"CASE WHEN {whole} > 0 THEN bround({part} * 100.0D / {whole}, {digits}) ELSE 0.0D END"
-
-
 def add_currency(df: DataFrame, column: str, into: str) -> DataFrame:
     """Add struct(value, text, currency, confidence); confidence is HIGH, MISSING or INVALID.
 
@@ -57,7 +53,7 @@ def add_currency(df: DataFrame, column: str, into: str) -> DataFrame:
     marker = f"upper(coalesce(nullif({parts}[1], ''), nullif({parts}[5], '')))"
     decimal = f"CASE WHEN contains({digits}, '.') THEN {digits} ELSE concat({digits}, '.0') END"
     plain = (f"regexp_replace(regexp_replace({decimal}, {raw(r'^0+(?=[0-9])')}, ''),"
-             f" {raw(r'(?<=[.][0-9]{1,400})0+$')}, '')")
+             f" {raw(r'([.][0-9]+?)0+$')}, '$1')")
     keep = [quoted(n) for n in df.columns]
     return (
         df.selectExpr("*", f"{strip(c)} AS {t}")

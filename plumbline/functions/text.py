@@ -30,6 +30,11 @@ def raw(value: str) -> str:
     return f'r"{value}"'
 
 
+def literal(value: str) -> str:
+    """A SQL string literal of any text, for names that come from data."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def one_of(c: str, values: list[str]) -> str:
     return f"({c} IN ({', '.join(raw(v) for v in values)}))"
 

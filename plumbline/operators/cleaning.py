@@ -51,7 +51,7 @@ class Cleaning:
              "original_value": c} for c in self.dropped], schema)
         if self._trail:
             steps = ", ".join(
-                f"named_struct('column', '{c}', 'issue_type', '{issue}',"
+                f"named_struct('column', {text.literal(c)}, 'issue_type', '{issue}',"
                 f" 'original_value', {old}, 'new_value', {new})"
                 for c, issue, old, new in self._trail)
             result = result.unionByName(
@@ -70,7 +70,7 @@ class Cleaning:
     def _removed(self, before, after, issue, label) -> DataFrame:
         gone = before.select(ROW_ID).join(after.select(ROW_ID), ROW_ID, "left_anti")
         return gone.selectExpr(
-            f"'{self.dataset}' AS dataset", ROW_ID, "cast(null AS string) AS column",
+            f"{text.literal(self.dataset)} AS dataset", ROW_ID, "cast(null AS string) AS column",
             f"'{issue}' AS issue_type", f"'{label}' AS original_value",
             "cast(null AS string) AS new_value")
 
@@ -142,7 +142,7 @@ def canonical_spellings(
     if not groups:
         return {}
     cells = ", ".join(
-        f"named_struct('column', '{c}', 'value', {earlier[c]})" for c in groups)
+        f"named_struct('column', {text.literal(c)}, 'value', {earlier[c]})" for c in groups)
     rows = df
     if without_copies:
         needed = [text.column(c) for c in groups]

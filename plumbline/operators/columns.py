@@ -119,11 +119,12 @@ def header_checks(columns: DataFrame) -> DataFrame:
     counted = columns.groupBy("dataset", "column").agg(F.count(F.lit(1)).alias("copies"))
     bad = counted.withColumn(
         "problem",
-        F.when(F.col("copies") > 1, "duplicate")
-        .when(F.col("column").rlike(r"^Unnamed:|^\s*$"), "unnamed"))
+        F.when(F.col("column").rlike(r"^Unnamed:|^\s*$"), "unnamed")
+        .when(F.col("copies") > 1, "duplicate"))
     return bad.groupBy("dataset").agg(
         F.sum("copies").alias("column_count"),
         F.count_if(F.col("problem") == "duplicate").alias("duplicate_names"),
-        F.count_if(F.col("problem") == "unnamed").alias("unnamed_headers"),
+        F.coalesce(F.sum(F.when(F.col("problem") == "unnamed", F.col("copies"))), F.lit(0))
+        .alias("unnamed_headers"),
         F.when(F.count("problem") > 0, "fail").otherwise("pass").alias("status"))
 

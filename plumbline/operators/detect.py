@@ -10,6 +10,7 @@ from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from plumbline.functions import text
 from plumbline.operators.columns import first_named
 from plumbline.operators.facts import Facts
 from plumbline.operators.frequencies import signal
@@ -21,7 +22,6 @@ ISSUE_SCHEMA = (
     "affected_count bigint, description string"
 )
 EXAMPLES = 5
-MAX_REPORTED_PAIRS = EXAMPLES
 
 _TEXT = "kind = 'text'"
 _FREE_TEXT = f"{_TEXT} AND inferred_type IN ('string', 'categorical')"
@@ -127,8 +127,8 @@ def missing_required(facts: Facts, required: dict[str, Iterable[str]]) -> DataFr
         facts.spark,
         [{"dataset": d, "required": r} for d, names in required.items() for r in names],
         "dataset string, required string")
-    present = facts.profile.selectExpr("dataset", "lower(trim(column)) AS name")
-    missing = wanted.withColumn("name", F.expr("lower(trim(required))")).join(
+    present = facts.profile.selectExpr("dataset", f"lower({text.strip('column')}) AS name")
+    missing = wanted.withColumn("name", F.expr(f"lower({text.strip('required')})")).join(
         F.broadcast(present), ["dataset", "name"], "left_anti")
     return missing.groupBy("dataset").agg(*map(F.expr, [
         "cast(null AS string) AS column", "'missing_required_column' AS issue_type",
@@ -153,7 +153,7 @@ def near_duplicate_issues(facts: Facts) -> DataFrame:
         pairs = near_duplicates(df, person, email, phone).selectExpr("pair_count").groupBy().agg(
             F.expr("coalesce(sum(pair_count), 0) AS affected_count")).where("affected_count > 0")
         issue = pairs.selectExpr(
-            f"'{dataset}' AS dataset", "cast(null AS string) AS column",
+            f"{text.literal(dataset)} AS dataset", "cast(null AS string) AS column",
             "'near_duplicate' AS issue_type", "'medium' AS severity", "affected_count",
             "concat(affected_count, ' pair(s) of similar records') AS description")
         found = issue if found is None else found.unionByName(issue)
@@ -178,7 +178,7 @@ def issue_examples(facts: Facts) -> DataFrame:
     """(dataset, column, issue_type, examples): a few offending values per issue.
 
     Placeholders, mixed types and e-mails list the smallest values, the others the first
-    ones in row order. Long texts appear as their digest.
+    ones in row order.
     """
     by_value, by_row = "coalesce(txt, cast(num AS string))", "first_row"
     tests = [

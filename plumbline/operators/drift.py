@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from plumbline.functions import text
 from plumbline.operators.facts import Facts
 
 # How much change counts as drift.
@@ -22,7 +23,7 @@ _FINDING = ["dataset", "run_id", "compared_against", "drift_type", "column", "se
 def profile_history(facts: Facts, run_id: str) -> DataFrame:
     """The part of a profile that later versions are compared with."""
     return facts.profile.selectExpr(
-        "dataset", f"'{run_id}' AS run_id", "column", "inferred_type", "row_count",
+        "dataset", f"{text.literal(run_id)} AS run_id", "column", "inferred_type", "row_count",
         "missing_percentage", "mean", "std",
         "transform(categorical_extra.top_categories, x -> x.value) AS categories")
 
@@ -35,8 +36,8 @@ def previous_runs(history: DataFrame) -> DataFrame:
 
 
 def latest_before(history: DataFrame, run_id: str) -> DataFrame:
-    """The profile rows of each dataset's newest run before ``run_id``."""
-    earlier = history.where(F.col("run_id") < run_id)
+    """The profile rows of each dataset's newest run other than ``run_id``."""
+    earlier = history.where(F.col("run_id") != run_id)
     newest = earlier.groupBy("dataset").agg(F.max("run_id").alias("run_id"))
     return earlier.join(F.broadcast(newest), ["dataset", "run_id"], "left_semi")
 

@@ -6,6 +6,7 @@ aggregates those. What reaches the driver has one row per column or dataset.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
@@ -79,7 +80,7 @@ class Facts:
     @cached_property
     def profile(self) -> DataFrame:
         extra = ", ".join(f"{k} boolean" for k in self.columns[0] if k.startswith("is_"))
-        return local_table(self.spark, self.columns, f"{PROFILE_SCHEMA}, {extra}")
+        return local_table(self.spark, _finite(self.columns), f"{PROFILE_SCHEMA}, {extra}")
 
     @cached_property
     def datasets(self) -> DataFrame:
@@ -109,7 +110,7 @@ def row_counts(frames: Mapping[str, DataFrame]) -> DataFrame:
     rows = None
     for dataset, df in frames.items():
         empty = " AND ".join(f"{text.column(c)} IS NULL" for c in data_columns(df))
-        hashed = df.selectExpr(f"'{dataset}' AS dataset", *row_fingerprint(df), f"{empty} AS empty")
+        hashed = df.selectExpr(f"{text.literal(dataset)} AS dataset", *row_fingerprint(df), f"{empty} AS empty")
         rows = hashed if rows is None else rows.unionByName(hashed)
     groups = rows.groupBy("dataset", "h1", "h2", "empty").agg(F.expr("count(*) AS n"))
     return groups.groupBy("dataset").agg(
@@ -210,22 +211,13 @@ def _examples(freq, statistics, infos, frames) -> dict[int, tuple[list[str], int
                           F.expr("cast(timestampadd(MICROSECOND, lng, timestamp_ntz'1970-01-01')"
                                  " AS string) AS at")).collect():
         found.setdefault(r.cid, []).append(r)
-    # long texts travelled as digests: fetch the few that are shown from their rows
-    whole: dict[tuple[int, int], str] = {}
-    for cid, rows in found.items():
-        info = infos[cid]
-        wanted = [r.first_row for r in rows if info.kind == "text" and r.lng is not None]
-        if wanted:
-            taken = frames[info.dataset].where(F.col(ROW_ID).isin(wanted)).selectExpr(
-                ROW_ID, f"{text.column(info.name)} AS v").collect()
-            whole.update({(cid, t[ROW_ID]): t.v for t in taken})
     result = {}
     for cid, rows in found.items():
         kind = infos[cid].kind
         shown = []
         for r in sorted(rows, key=lambda r: r.place):
             if kind == "text":
-                shown.append(whole.get((cid, r.first_row), r.txt))
+                shown.append(r.txt)
             elif kind == "date":
                 shown.append(r.day)
             elif kind == "timestamp":
@@ -281,10 +273,8 @@ def date_statistics(freq, infos, conventions: dict[int, str | None], as_of: str)
     if texts:
         cases = " ".join(f"WHEN {c} THEN '{v}'" for c, v in conventions.items() if v)
         convention = f"CASE cid {cases} END" if cases else "cast(null AS string)"
-        short = freq.where(F.col("cid").isin(texts)).selectExpr(
-            "cid", "cnt", "CASE WHEN lng IS NULL THEN txt ELSE 'long text' END AS cell",
-            f"{convention} AS convention")
-        resolved = dates.add_reading(short, "cell", "reading").selectExpr(
+        resolved = freq.where(F.col("cid").isin(texts)).selectExpr(
+            "cid", "cnt", "reading", f"{convention} AS convention").selectExpr(
             "cid", "cnt", f"{dates.resolve('reading', 'convention')} AS r")
         parts.append(resolved.selectExpr(
             "cid", "cnt", "r.status AS status",
@@ -325,6 +315,15 @@ def spread_input(df: DataFrame) -> DataFrame:
     return df.repartition(cores, ROW_ID) if df.rdd.getNumPartitions() * 2 <= cores else df
 
 
+def _finite(value):
+    """Reports hold no infinities and no NaN: such a figure is missing."""
+    if isinstance(value, float):
+        return value if math.isfinite(value) else None
+    if isinstance(value, dict):
+        return {k: _finite(v) for k, v in value.items()}
+    return [_finite(v) for v in value] if isinstance(value, list) else value
+
+
 def _percent(part: int, whole: int) -> float:
     return round(part / whole * 100, 4) if whole else 0.0
 

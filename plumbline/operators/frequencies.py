@@ -16,8 +16,6 @@ from plumbline.functions import dates, numbers, text
 from plumbline.operators.columns import ROW_ID, ColumnInfo
 from plumbline.storage import materialise
 
-# Texts longer than this travel as a digest plus the signals computed from the whole text.
-LONG_TEXT = 256
 # Columns unpivoted by one expression; wider tables use several, each reading its own columns.
 UNPIVOT_WIDTH = 40
 
@@ -95,55 +93,43 @@ def cells(frames: Mapping[str, DataFrame], infos: list[ColumnInfo]) -> DataFrame
     return result
 
 
-def _shorten(typed: DataFrame, texts: list[int]) -> DataFrame:
-    """Replace long texts by digest and length; read their signals from the whole text."""
-    shape = _shape_signals("txt")
-    shape["money"] = f"txt RLIKE {text.raw(numbers.CURRENCY_PATTERN)} AND txt RLIKE '[0-9]'"
-    long = f"cid IN ({', '.join(map(str, texts))}) AND length(txt) > {LONG_TEXT}"
-    return typed.selectExpr(
-        ROW_ID, "cid", "dbl",
-        f"CASE WHEN {long} THEN sha2(txt, 256) ELSE txt END AS txt",
-        f"CASE WHEN {long} THEN cast(length(txt) AS bigint) ELSE lng END AS lng",
-        f"CASE WHEN {long} THEN {_pack(shape)} END AS long_flags",
-        f"CASE WHEN {long} THEN sha2({text.spelling_key('txt')}, 256) END AS long_key")
-
-
 def _classify(counted: DataFrame, texts: list[int], number: str) -> DataFrame:
-    """Signals, spelling key and numeric reading of every distinct short text."""
+    """Signals, spelling key, date reading and number of every distinct value."""
     staged = counted.selectExpr(
-        "*", f"""CASE WHEN cid IN ({', '.join(map(str, texts))}) AND long_flags IS NULL
-        THEN txt END AS short""")
-    staged = dates.add_reading(staged, "short", "date")
-    staged = numbers.add_currency(staged, "short", "money")
+        "*", f"CASE WHEN cid IN ({', '.join(map(str, texts))}) THEN txt END AS cell")
+    staged = dates.add_reading(staged, "cell", "reading")
+    staged = numbers.add_currency(staged, "cell", "money")
     staged = staged.selectExpr(
         "*",
-        f"{_pack(_shape_signals('short'))} AS shape_flags",
+        f"{_pack(_shape_signals('cell'))} AS shape_flags",
         _pack({
             "money": "money.confidence = 'HIGH'",
-            "date_parsed": "date.status = 'parsed'",
-            "date_missing": "date.status = 'missing'",
-            "date_ambiguous": "date.status = 'ambiguous'",
-            "proves_day_first": "date.evidence = 'DD/MM'",
-            "proves_month_first": "date.evidence = 'MM/DD'",
-            "slash_day_first": "date.slash = 'DD/MM'",
-            "slash_month_first": "date.slash = 'MM/DD'",
-            "slash_either": "date.slash = 'either'",
+            "date_parsed": "reading.status = 'parsed'",
+            "date_missing": "reading.status = 'missing'",
+            "date_ambiguous": "reading.status = 'ambiguous'",
+            "proves_day_first": "reading.evidence = 'DD/MM'",
+            "proves_month_first": "reading.evidence = 'MM/DD'",
+            "slash_day_first": "reading.slash = 'DD/MM'",
+            "slash_month_first": "reading.slash = 'MM/DD'",
+            "slash_either": "reading.slash = 'either'",
             **{code: f"money.currency = '{code}'" for code in numbers.CURRENCY_SYMBOLS.values()},
         }) + " AS more_flags",
-        f"{text.spelling_key('short')} AS key")
+        f"{text.spelling_key('cell')} AS key")
     return staged.selectExpr(
         "cid", "txt", "dbl", "lng", "cnt", "first_row",
-        "CASE WHEN short IS NOT NULL THEN shape_flags | more_flags ELSE long_flags END AS flags",
-        "CASE WHEN short IS NOT NULL THEN nullif(key, txt) ELSE long_key END AS skey",
-        f"CASE WHEN short IS NOT NULL THEN {numbers.to_number('short')} ELSE {number} END AS num")
+        "CASE WHEN cell IS NOT NULL THEN shape_flags | more_flags END AS flags",
+        "nullif(key, txt) AS skey",
+        f"CASE WHEN cell IS NOT NULL THEN {numbers.to_number('cell')} ELSE {number} END AS num",
+        "CASE WHEN cell IS NOT NULL THEN reading END AS reading")
 
 
 def value_frequencies(
     frames: Mapping[str, DataFrame], infos: list[ColumnInfo]) -> DataFrame:
-    """(cid, txt, dbl, lng, cnt, first_row, flags, skey, num), one row per distinct value.
+    """(cid, txt, dbl, lng, cnt, first_row, flags, skey, num, reading), one row per value.
 
     ``num`` is the value as a number, also for texts that are numbers as a whole; ``skey``
-    is the spelling key of a text where it differs from the text.
+    is the spelling key of a text where it differs from the text; ``reading`` is the date a
+    text stands for. Texts of any length are classified whole.
     """
     texts = [cid for cid, info in enumerate(infos) if info.kind == "text"]
     integers = [str(cid) for cid, info in enumerate(infos) if info.kind == "integer"]
@@ -158,6 +144,4 @@ def value_frequencies(
         return materialise(typed.groupBy(*keys).agg(*counts).selectExpr(
             *keys, "cnt", "first_row", "cast(null AS int) AS flags",
             "cast(null AS string) AS skey", f"{number} AS num"))
-    # what depends on the value alone joins the keys: maxima of strings would need a sort
-    counted = _shorten(typed, texts).groupBy(*keys, "long_flags", "long_key").agg(*counts)
-    return materialise(_classify(counted, texts, number))
+    return materialise(_classify(typed.groupBy(*keys).agg(*counts), texts, number))

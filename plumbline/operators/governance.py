@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from plumbline.functions import text
 from plumbline.operators.cleaning import Cleaning, POST_NORMALISATION
 from plumbline.operators.columns import ROW_ID
 from plumbline.operators.facts import Facts
@@ -77,7 +78,7 @@ def audit_rows(decisions: DataFrame, changes: DataFrame, run_id: str) -> DataFra
         "description AS reason",
         "CASE WHEN status = 'skipped_protected' THEN confidence ELSE 'LOW' END AS confidence",
         "severity", "status")
-    return done.unionByName(late).unionByName(held).selectExpr(f"'{run_id}' AS run_id", "*")
+    return done.unionByName(late).unionByName(held).selectExpr(f"{text.literal(run_id)} AS run_id", "*")
 
 
 def cleaning_rows(audit: DataFrame) -> DataFrame:

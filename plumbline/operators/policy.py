@@ -6,6 +6,7 @@ from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from plumbline.functions import text
 from plumbline.storage import local_table
 
 # Confidence and cleaning order per issue type; None means never applied.
@@ -51,12 +52,13 @@ def decide(
     """
     spark = issues.sparkSession
     shielded = local_table(
-        spark, [{"dataset": d, "name": n.strip().lower(), "is_protected": True}
+        spark, [{"dataset": d, "name": n, "is_protected": True}
                 for d, names in (protected or {}).items() for n in set(names)],
-        "dataset string, name string, is_protected boolean").distinct()
+        "dataset string, name string, is_protected boolean").withColumn(
+        "name", F.expr(f"lower({text.strip('name')})")).distinct()
     return (
         issues.join(F.broadcast(policy_table(spark)), "issue_type", "left")
-        .withColumn("name", F.expr("lower(trim(column))"))
+        .withColumn("name", F.expr(f"lower({text.strip('column')})"))
         .join(F.broadcast(shielded), ["dataset", "name"], "left")
         .selectExpr(
             "dataset", "column", "issue_type", "severity", "affected_count", "description",

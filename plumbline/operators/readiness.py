@@ -99,7 +99,7 @@ PACKS: dict[str, list[tuple[str, str | None]]] = {
     "looker": [
         ("potential_measures", _MEASURES), ("potential_dimensions", _ATTRIBUTES),
         ("potential_keys", _need("keys > 0")), ("grain_concern", _COPIES),
-        FOREIGN_KEYS, ("naming_consistency", _warn("not_snake_case > 0")),
+        ("relationship_concern", None), ("naming_consistency", _warn("not_snake_case > 0")),
         ("high_cardinality_fields", _CARDINALITY),
     ],
     "looker_studio": [
@@ -283,6 +283,3 @@ def run_readiness(scores: DataFrame) -> DataFrame:
     return overall_readiness(scores).agg(
         F.expr("cast(bround(avg(analytics_readiness)) AS int) AS analytics_readiness"))
 
-
-def pack_names(spark) -> DataFrame:
-    return local_table(spark, [{"platform": p} for p in PACKS], "platform string")

@@ -7,6 +7,7 @@ from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, functions as F
 
+from plumbline.functions import text
 from plumbline.functions.text import column as quoted
 from plumbline.operators.columns import data_columns
 from plumbline.storage import local_table
@@ -67,11 +68,11 @@ def relationship_findings(
             "cast(key AS string) AS key")
         # a bounded top list: the ordered limit keeps a few rows per task
         first = orphans.orderBy("key").limit(EXAMPLES).agg(
-            F.expr(f"'{dataset}' AS dataset"),
+            F.expr(f"{text.literal(dataset)} AS dataset"),
             F.expr("sort_array(collect_list(key)) AS orphan_examples"))
-        counted = orphans.agg(F.expr(f"'{dataset}' AS dataset"), F.expr("count(*) AS orphan_count"))
+        counted = orphans.agg(F.expr(f"{text.literal(dataset)} AS dataset"), F.expr("count(*) AS orphan_count"))
         finding = counted.where("orphan_count > 0").join(F.broadcast(first), "dataset").selectExpr(
-            "dataset", f"'{column}' AS column", f"'{target}' AS references",
+            "dataset", f"{text.literal(column)} AS column", f"{text.literal(target)} AS references",
             "orphan_count", "orphan_examples")
         result = finding if result is None else result.unionByName(finding)
     if result is None:

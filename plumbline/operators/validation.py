@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from plumbline.functions import numbers
-from plumbline.functions.text import column as quoted
+from plumbline.functions import dates, numbers
+from plumbline.functions.text import column as quoted, literal
 from plumbline.operators.columns import first_named
 from plumbline.operators.facts import Facts
 
@@ -27,17 +27,32 @@ def _number(df: DataFrame, name: str) -> str:
     return f"cast({c} AS double)"
 
 
-def business_rules(dataset: str, df: DataFrame) -> DataFrame:
+def _moment(df: DataFrame, name: str, into: str, convention: str | None) -> tuple[DataFrame, str]:
+    """A date or text column as a timestamp: ISO with its time, else any readable date."""
+    c = quoted(name)
+    if df.schema[name].dataType.typeName() != "string":
+        return df, f"try_cast({c} AS timestamp)"
+    df = dates.add_reading(df, name, into)
+    known = literal(convention) if convention else "cast(null AS string)"
+    return df, (f"coalesce(try_cast({c} AS timestamp),"
+                f" try_cast({dates.resolve(into, known)}.iso AS timestamp))")
+
+
+def business_rules(
+    dataset: str, df: DataFrame, conventions: dict[str, str | None] | None = None) -> DataFrame:
     """Violations and unverifiable rows of each rule, in one pass without a shuffle of rows.
 
     Columns are found by name; a rule whose columns are absent counts nothing. Text that is
-    not a number makes a row unverifiable.
+    no number or no date makes a row unverifiable; ``conventions`` tells how a column's
+    ambiguous dates are read.
     """
     names = [c for c in df.columns if not c.startswith("_row_id")]
     tests = {}
     start, end = first_named(names, "start_date"), first_named(names, "end_date")
     if start and end:
-        a, b = (f"try_cast({quoted(c)} AS timestamp)" for c in (start, end))
+        known = conventions or {}
+        df, a = _moment(df, start, "_start_reading", known.get(start))
+        df, b = _moment(df, end, "_end_reading", known.get(end))
         tests[BUSINESS_RULES[0]] = (f"{b} < {a}", f"{a} IS NULL OR {b} IS NULL")
     for rule, parts, combine in (
         (BUSINESS_RULES[1], ("subtotal", "tax", "total"), "+"),
@@ -56,14 +71,15 @@ def business_rules(dataset: str, df: DataFrame) -> DataFrame:
         f"named_struct('rule', '{rule}', 'violations', bad{i}, 'unverifiable', unknown{i})"
         for i, rule in enumerate(BUSINESS_RULES))
     return df.agg(F.expr("count(*) AS rows"), *map(F.expr, counts)).selectExpr(
-        f"'{dataset}' AS dataset", "rows", f"inline(array({rows}))")
+        f"{literal(dataset)} AS dataset", "rows", f"inline(array({rows}))")
 
 
 def validate(facts: Facts) -> DataFrame:
     """(dataset, check_name, status, detail): every check of every dataset."""
     rules = None
     for dataset, df in facts.frames.items():
-        one = business_rules(dataset, df)
+        one = business_rules(
+            dataset, df, {c["column"]: c["date_convention"] for c in facts.of(dataset)})
         rules = one if rules is None else rules.unionByName(one)
     broken = rules.groupBy("dataset").agg(*map(F.expr, [
         "sum(violations) AS violations", "sum(unverifiable) AS unverifiable"]))

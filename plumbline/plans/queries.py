@@ -179,16 +179,52 @@ def placeholder_cells(spark, sf_dir):
         f"{cleaning.placeholder_fix('segment')} AS cleaned")
 
 
+#: Files written from given tables under headers as people write them: blank, repeated, odd.
+MESSY_HEADERS = {
+    "supplier": (["Supplier Key", "", "nation-key", "Nation-Key"],
+                 ["s_suppkey", "s_name", "s_nationkey", "s_acctbal"]),
+    "part": ([" Part Key ", "Brand (UTF-8)", "%%", "size"],
+             ["p_partkey", "p_brand", "p_type", "p_size"]),
+    "nation": (["key", "key", "", ""], ["n_nationkey", "n_name", "n_regionkey", "n_name"]),
+}
+
+
+def _messy_file(spark, sf_dir, name: str) -> str:
+    """One file: a header line and then the rows of a given table."""
+    headers, columns = MESSY_HEADERS[name]
+    path = f"{_folder(spark)}/{name}.csv"
+    cells = ", ".join(f"cast({c} AS string)" for c in columns)
+    lines = spark.read.parquet(f"{sf_dir}/{name}.parquet").selectExpr(f"concat_ws(',', {cells}) AS value")
+    lines.write.text(f"{path}.rows")
+    header = spark.range(1).select(F.lit(",".join(headers)).alias("value"))
+    header.unionByName(spark.read.text(f"{path}.rows")).coalesce(1).write.text(path)
+    return path
+
+
 def header_checks(spark, sf_dir):
-    infos = [i for n in [*KEYS, "lineitem", "conversations"]
-             for i in describe_columns(n, table(spark, sf_dir, n))]
-    return columns.header_checks(columns.column_table(spark, infos))
+    """Header problems of messy files, with the rows read under those headers."""
+    found = None
+    for name in MESSY_HEADERS:
+        path = _messy_file(spark, sf_dir, name)
+        rows = readers.read_delimited(spark, path)[0].agg(F.count("*").alias("row_count"))
+        one = columns.header_checks(readers.raw_headers(spark, path, name)).crossJoin(rows)
+        found = one if found is None else found.unionByName(one)
+    return found
 
 
 def clean_names(spark, sf_dir):
-    infos = [i for n in ("orders", "events") for i in describe_columns(
-        n, table(spark, sf_dir, n).withColumnsRenamed({"o_orderdate": " Order Date (UTC) ", "ts": "%%"}))]
-    return columns.column_table(spark, infos).select("dataset", "column", "clean_name")
+    """Every column of messy files: the reader's name, its clean form and its filled cells."""
+    found = None
+    for name in MESSY_HEADERS:
+        data = readers.read_delimited(spark, _messy_file(spark, sf_dir, name))[0].drop(ROW_ID)
+        cells = ", ".join(
+            f"named_struct('column', {text.literal(c)}, 'clean_name', {text.literal(columns.clean_name(c))},"
+            f" 'filled', n{i})" for i, c in enumerate(data.columns))
+        one = data.agg(*(F.expr(f"count({text.column(c)})").alias(f"n{i}")
+                         for i, c in enumerate(data.columns))).selectExpr(
+            f"'{name}' AS dataset", f"inline(array({cells}))")
+        found = one if found is None else found.unionByName(one)
+    return found
 
 
 # issues and policy
@@ -428,6 +464,70 @@ def scan_csv(spark, sf_dir):
     return readers.read_delimited(spark, path)[0].drop(ROW_ID)
 
 
+def scan_quoted_csv(spark, sf_dir):
+    """Whole texts with quotes, commas and line ends, and identifiers beyond 64 bits."""
+    path = f"{_folder(spark)}/documents.csv"
+    spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr(
+        "doc_id", "concat('9', lpad(doc_id, 24, '0')) AS wide_id",
+        "concat('say \"', doc_id, '\", ', text, '\n,\"') AS Text", "lang AS text_2").write.options(
+        header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False,
+        ignoreTrailingWhiteSpace=False).csv(path)
+    return readers.read_delimited(spark, path)[0].selectExpr(
+        "doc_id", "cast(wide_id AS string) AS wide_id", "md5(Text) AS text_md5", "text_2 AS lang")
+
+
+def scan_blank_cells(spark, sf_dir):
+    """Blank cells of a delimited file are missing, whatever blanks they hold."""
+    path = f"{_folder(spark)}/blank.csv"
+    spark.read.parquet(f"{sf_dir}/part.parquet").selectExpr(
+        "p_partkey", "CASE p_partkey % 4 WHEN 0 THEN '' WHEN 1 THEN '   ' WHEN 2 THEN '\t'"
+        " ELSE p_brand END AS brand", "IF(p_partkey % 5 = 0, NULL, p_size) AS size").write.options(
+        header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+    return readers.read_delimited(spark, path)[0].agg(*map(F.expr, [
+        "count(*) AS row_count", "count(brand) AS brands", "count(size) AS sizes",
+        "sum(size) AS size_sum"]))
+
+
+ODD_HEADERS = """SELECT c_custkey AS id,
+  CASE WHEN c_custkey % 3 = 0 THEN concat(' ', c_name) ELSE c_name END AS `owner's note`,
+  CASE WHEN c_custkey % 4 = 0 THEN concat(c_name, '  ') ELSE c_name END AS `ssn\t`,
+  CASE WHEN c_custkey % 5 = 0 THEN concat('  ', c_name) ELSE c_name END AS `a.b` FROM customer"""
+
+
+def odd_headers(spark, sf_dir):
+    """Decisions and changed cells where names hold an apostrophe, a tab and a dot."""
+    spark.read.parquet(f"{sf_dir}/customer.parquet").createOrReplaceTempView("customer")
+    name = "o'brien.csv"
+    known = build_facts({name: spark.sql(ODD_HEADERS).withColumn(ROW_ID, F.col("id"))}, AS_OF)
+    decided = materialise(policy.decide(
+        detect.detect_issues(known, near_duplicate_search=False), {name: [" SSN"]}))
+    changes = cleaning.apply_cleaning(known, name, decided).changes.where(
+        "issue_type = 'whitespace_formatting'").groupBy("dataset", "column").agg(
+        F.count("*").alias("changed"))
+    return decided.where("issue_type = 'whitespace_formatting'").join(
+        changes, ["dataset", "column"], "left").select(
+        "dataset", "column", "affected_count", "status", "changed")
+
+
+def long_cells(spark, sf_dir):
+    """Profile of cells beyond any short limit: padded dates, amounts and category spellings."""
+    spark.read.parquet(f"{sf_dir}/orders.parquet").createOrReplaceTempView("orders")
+    rows = spark.sql(LONG_CELLS).withColumn(ROW_ID, F.col("id"))
+    known = build_facts({"long": rows}, AS_OF)
+    listed = "array_join(transform(categorical_extra.top_categories, x -> md5(x.value)), '|')"
+    return known.profile.where("column != 'id'").selectExpr(
+        "column", "inferred_type", "unique_count", "date_extra.invalid_count AS invalid_dates",
+        "date_extra.min AS first_date", "money_values", f"{listed} AS top_values",
+        "size(categorical_extra.potential_inconsistencies) AS spelling_groups")
+
+
+LONG_CELLS = """SELECT o_orderkey AS id,
+  concat(cast(date_add(DATE '2024-01-01', cast(o_orderkey % 50 AS int)) AS string), repeat(' ', 300)) AS day,
+  concat(CASE WHEN o_orderkey % 2 = 0 THEN '$' ELSE 'EUR ' END, o_orderkey, repeat(' ', 300)) AS amount,
+  concat(CASE o_orderkey % 7 WHEN 0 THEN 'Long' WHEN 1 THEN 'long' WHEN 2 THEN 'long' ELSE 'other' END,
+         repeat('x', 300)) AS kind FROM orders"""
+
+
 def scan_ragged_csv(spark, sf_dir):
     """Rows with an extra field are left out and counted, short rows are padded."""
     path = f"{_folder(spark)}/ragged.csv"
@@ -587,6 +687,8 @@ def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "change_log_orders": on(change_log, "dirty_orders"),
         "change_log_customers": on(change_log, "dirty_customer"),
         "cleaning_log": cleaning_log, "audit_rows": audit,
+        "scan_quoted_csv": scan_quoted_csv, "scan_blank_cells": scan_blank_cells,
+        "odd_headers": odd_headers, "long_cells": long_cells,
         "validation_checks": on(validation_checks, *SCORED), "business_rules": business_rules,
         "publish_gate": on(publish_gate, "dirty_orders"),
         "quality_score": on(quality_score, *SCORED),

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from pathlib import PurePosixPath
 from urllib.parse import unquote
@@ -21,7 +23,10 @@ _ROW_BITS = 40
 # Paths travel to the executors in one table; refuse catalogues whose listing would not fit.
 _MAX_LISTING_BYTES = 256 << 20
 
-_INTEGER, _DECIMAL = r"^[+-]?[0-9]{1,18}$", r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"
+_INTEGER, _DECIMAL = r"^[+-]?[0-9]+$", r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"
+# Whole numbers of more digits than a double holds; they become integers, decimals or stay text.
+_WIDE = r"^[+-]?[0-9]{16,}$"
+QUOTED = '"([^"]|"")*"'
 FORMATS = {
     ".csv": "csv", ".tsv": "tsv", ".txt": "csv", ".json": "json", ".parquet": "parquet",
     ".feather": "feather", ".xml": "xml",
@@ -88,48 +93,81 @@ def promote_types(df: DataFrame, nulls_allowed: bool = True) -> DataFrame:
              if isinstance(f.dataType, T.StringType) and f.name != ROW_ID]
     if not texts:
         return df
-    tests = {"bigint": f"RLIKE {text.raw(_INTEGER)}", "double": f"RLIKE {text.raw(_DECIMAL)}",
-             "boolean": "IN ('True', 'TRUE', 'true', 'False', 'FALSE', 'false')"}
+    # no type may lose digits, so the first that holds every cell wins
+    tests = {
+        "bigint": "{c} RLIKE " + text.raw(_INTEGER) + " AND try_cast({c} AS bigint) IS NOT NULL",
+        "decimal(38,0)": "{c} RLIKE " + text.raw(_INTEGER)
+                         + " AND try_cast({c} AS decimal(38,0)) IS NOT NULL",
+        "double": "{c} RLIKE " + text.raw(_DECIMAL) + " AND NOT {c} RLIKE " + text.raw(_WIDE),
+        "boolean": "{c} IN ('True', 'TRUE', 'true', 'False', 'FALSE', 'false')"}
     counts = []
     for i, c in enumerate(texts):
         counts += [f"count({text.column(c)}) AS n{i}"] + [
-            f"count_if({text.column(c)} {t}) AS {name}{i}" for name, t in tests.items()]
+            f"count_if({t.replace('{c}', text.column(c))}) AS t{k}_{i}"
+            for k, t in enumerate(tests.values())]
     row = df.agg(F.expr("count(*) AS n"), *map(F.expr, counts)).first()
     target = {}
     for i, c in enumerate(texts):
         present = row[f"n{i}"]
         if present and (nulls_allowed or present == row["n"]):
-            target[c] = next((t for t in tests if row[f"{t}{i}"] == present), None)
+            target[c] = next((t for k, t in enumerate(tests) if row[f"t{k}_{i}"] == present), None)
     return df.select(*(
         F.expr(f"try_cast({text.column(c)} AS {target[c]})").alias(c) if target.get(c)
         else F.col(text.column(c)) for c in df.columns))
 
 
+def raw_headers(
+    spark: SparkSession, path: str, dataset: str, sep: str = ",", encoding: str = "UTF-8",
+) -> DataFrame:
+    """(dataset, position, column): the header cells of a delimited file as they are written."""
+    first = (spark.read.option("sep", sep).option("encoding", encoding).option("quote", '"')
+             .option("escape", '"').option("multiLine", True).csv(path).limit(1))
+    cells = ", ".join(f"coalesce({text.column(c)}, '')" for c in first.columns)
+    return first.selectExpr(
+        f"{text.literal(dataset)} AS dataset", f"posexplode(array({cells})) AS (position, column)")
+
+
 def read_delimited(
     spark: SparkSession, path: str, sep: str = ",", encoding: str = "UTF-8",
-    strict_reference: bool = False,
+    strict_reference: bool = False, splittable: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
     """A delimited file with a header, and the number of rows skipped for extra fields.
 
-    Only empty cells are missing; short rows are padded, rows with too many fields are left
-    out and counted. Duplicate headers get a numbered suffix.
+    Quoted cells may hold separators, doubled quotes and line ends. Only empty cells are
+    missing; short rows are padded, rows with too many fields (empty ones included) are left
+    out and counted. Headers that are equal but for case get a numbered suffix.
+
+    A file is read by one task, as a line end inside quotes cannot be told from its middle;
+    ``splittable`` promises that no cell holds one and splits large files.
     """
-    reader = spark.read.option("sep", sep).option("encoding", encoding)
+    reader = (spark.read.option("sep", sep).option("encoding", encoding)
+              .option("quote", '"').option("escape", '"').option("multiLine", not splittable)
+              .option("columnPruning", False))
     header = reader.option("header", False).csv(path).first()
     if header is None:
         raise ValueError("File has no columns after parsing.")
     names, seen = [], {}
     for i, h in enumerate(header):
         name = h if h is not None else f"Unnamed: {i}"
-        seen[name] = seen.get(name, -1) + 1
-        names.append(name if seen[name] == 0 else f"{name}.{seen[name]}")
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, "_overflow"]])
+        while name.lower() in seen:
+            seen[name.lower()] += 1
+            name = f"{name}.{seen[name.lower()]}"
+        seen[name.lower()] = 0
+        names.append(name)
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, "_corrupt_record"]])
+    # a record whose number of fields differs is handed over whole; fields are counted outside quotes
+    outside = f"regexp_replace(_corrupt_record, {text.literal(QUOTED)}, '')"
+    fields = f"length({outside}) - length(replace({outside}, {text.literal(sep)}, '')) + 1"
+    # the source wants its columns referenced beside the record it hands over
+    read = f"length(concat_ws('', {', '.join(map(text.column, names))})) >= 0"
+    extra = f"_corrupt_record IS NOT NULL AND {fields} > {len(names)} AND {read}"
     rows = (
         reader.option("header", True).option("enforceSchema", True).option("mode", "PERMISSIVE")
         .option("nullValue", "").option("emptyValue", "").schema(schema).csv(path)
-        .withColumn(ROW_ID, F.monotonically_increasing_id()))
-    data = blanks_to_null(rows.where("_overflow IS NULL").drop("_overflow"))
-    skipped = rows.agg(F.expr("count_if(_overflow IS NOT NULL) AS skipped_rows"))
+        .withColumn(ROW_ID, F.monotonically_increasing_id())
+        .withColumn("_extra", F.expr(f"coalesce({extra}, false)")))
+    data = blanks_to_null(rows.where("NOT _extra").drop("_corrupt_record", "_extra"))
+    skipped = rows.agg(F.expr("count_if(_extra) AS skipped_rows"))
     return promote_types(data, nulls_allowed=not strict_reference), skipped
 
 
@@ -166,9 +204,22 @@ def read_json(spark: SparkSession, path: str, lines: bool | None = None) -> Data
     return df.withColumn(ROW_ID, F.monotonically_increasing_id())
 
 
-def read_xml(spark: SparkSession, path: str, row_tag: str = "row") -> DataFrame:
-    df = spark.read.format("xml").option("rowTag", row_tag).load(path)
-    return df.withColumn(ROW_ID, F.monotonically_increasing_id())
+def _first_child(spark: SparkSession, path: str) -> str:
+    """The tag of the first element inside a document's root element."""
+    head = "\n".join(r.value for r in spark.read.text(path).limit(200).collect())
+    tags = re.findall(r"<([A-Za-z_][^\s/>]*)", re.sub(r"<!--.*?-->", "", head, flags=re.S))
+    if len(tags) < 2:
+        raise ValueError("XML without elements inside its root")
+    return tags[1]
+
+
+def read_xml(spark: SparkSession, path: str, row_tag: str | None = None) -> DataFrame:
+    """A repeated element as rows, nested values flattened; its tag is found unless given."""
+    tag = row_tag or _first_child(spark, path)
+    df = spark.read.format("xml").option("rowTag", tag).load(path)
+    if not df.columns:
+        raise ValueError(f"no <{tag}> element with content")
+    return blanks_to_null(flatten(df)).withColumn(ROW_ID, F.monotonically_increasing_id())
 
 
 def read_feather(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
@@ -188,9 +239,23 @@ def read_feather(spark: SparkSession, path: str, schema: str | T.StructType) ->
     return rows.withColumn(ROW_ID, F.monotonically_increasing_id())
 
 
+def dataset_names(paths: list[str]) -> list[str]:
+    """File names, with as many folders before them as it takes to tell the paths apart."""
+    parts = [PurePosixPath(p).parts for p in paths]
+    depth = [1] * len(paths)
+    while True:
+        names = ["/".join(p[-d:]) for p, d in zip(parts, depth)]
+        count = Counter(names)
+        again = [i for i, n in enumerate(names) if count[n] > 1 and depth[i] < len(parts[i])]
+        if not again:
+            return names
+        for i in again:
+            depth[i] += 1
+
+
 def read_folder(
     spark: SparkSession, paths: list[str], feather_schemas: dict[str, str] | None = None,
-    xml_row_tag: str = "row",
+    xml_row_tag: str | None = None,
 ) -> tuple[dict[str, DataFrame], DataFrame]:
     """Every file or table folder of a run as a dataset, failures kept apart.
 
@@ -199,8 +264,8 @@ def read_folder(
     """
     frames: dict[str, DataFrame] = {}
     status = []
-    for path in paths:
-        name = PurePosixPath(path).name
+    names = dataset_names(paths)
+    for path, name in zip(paths, names):
         kind = FORMATS.get(PurePosixPath(path).suffix.lower())
         try:
             if kind is None:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -13,11 +14,15 @@ _METHOD_LIMIT = "spark.sql.codegen.hugeMethodLimit"
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a temporary one only where none is set."""
+    """The shared folder the cluster names; a temporary one only in local mode without one."""
     context = spark.sparkContext
     current = context.getCheckpointDir()
     if current is None:
-        current = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="plumbline-")
+        current = spark.conf.get("spark.checkpoint.dir", None)
+        if current is None:
+            if not re.fullmatch(r"local(\[.*\])?", context.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            current = tempfile.mkdtemp(prefix="plumbline-")
         context.setCheckpointDir(current)
     return current
 

@@ -131,3 +131,21 @@ def test_finite_or_null(spark):
     df = spark.createDataFrame([(1.0,), (float("inf"),), (float("nan"),), (None,)], "v double")
     assert [r.x for r in df.selectExpr(f"{numbers.finite_or_null('v')} AS x").collect()] == [
         1.0, None, None, None]
+
+
+def test_years_of_two_and_three_digits(spark):
+    df = spark.createDataFrame([("13/01/65",), ("13/01/065",), ("13/01/070",), ("13/01/265",)], "t string")
+    read = dates.add_reading(df, "t", "r").selectExpr("r.iso AS iso").collect()
+    assert [r.iso for r in read] == ["2065-01-13", "2065-01-13", "1970-01-13", None]
+
+
+def test_amounts_of_any_length(spark):
+    long = "1." + "5" + "0" * 900
+    df = spark.createDataFrame([(long,), ("$1.500",), ("2.000",), ("7",)], "t string")
+    found = numbers.add_currency(df, "t", "m").selectExpr("m.text AS x").collect()
+    assert [r.x for r in found] == ["1.5", "1.5", "2.0", "7.0"]
+
+
+def test_names_as_literals(spark):
+    for name in ["o'brien", "a\\b", "tab\t", 'q"', "`", "line\n", "\\'"]:
+        assert spark.sql(f"SELECT {text.literal(name)} AS x").first().x == name

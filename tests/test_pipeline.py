@@ -194,6 +194,25 @@ def test_whole_job(catalogue):
     changed = {r.metric: r.change for r in tables["before_after"].where("dataset = 'customers.csv'").collect()}
     assert changed["row_count"] == -2 and changed["duplicate_rows"] == -1 and changed["column_count"] == -1
     assert tables["readiness"].where(
-        "check_name = 'foreign_key_relationships' AND status = 'warning'").count() == 4
+        "check_name = 'foreign_key_relationships' AND status = 'warning'").count() == 3
     assert report.after.of("customers.csv")[0]["inferred_type"] == "id"
     assert run_totals(report).first().status == "cleaned"
+
+
+def test_rules_read_any_date(spark):
+    df = spark.createDataFrame(
+        [("25/03/2024", "13/02/2024"), ("Jan 5, 2024", "2024-01-04"), ("2024-01-01 10:00:00", "2024-01-01 09:00:00"),
+         ("05/06/2024", "01/01/2025"), ("x", "2024-01-01")], "start_date string, end_date string")
+    rules = {r.rule: (r.violations, r.unverifiable) for r in validation.business_rules("it's", df).collect()}
+    assert rules["end_date_before_start_date"] == (3, 2)
+    known = {"start_date": "DD/MM", "end_date": "DD/MM"}
+    rules = {r.rule: (r.violations, r.unverifiable)
+             for r in validation.business_rules("it's", df, known).collect()}
+    assert rules["end_date_before_start_date"] == (3, 1)
+
+
+def test_infinite_values_are_no_figures(spark):
+    rows = [(i, v) for i, v in enumerate([1.0, 2.0, float("inf"), 4.0])]
+    found = build_facts({"t": spark.createDataFrame(rows, f"{ROW_ID} long, value double")}, "2024-01-01")
+    column = found.profile.first()
+    assert (column["min"], column["max"], column["mean"], column["std"]) == (1.0, None, None, None)

@@ -6,7 +6,8 @@ from check_oracles import compare
 SF = "/root/testdata/sf0.001"
 FAST = ["currency_parse", "date_parse", "email_validate", "contact_keys", "dataset_counts", "header_checks",
         "business_rules", "orphan_keys", "near_duplicate_groups", "all_issues", "cleaned_customers",
-        "scan_csv", "scan_folder", "text_profile"]
+        "scan_csv", "scan_folder", "text_profile", "clean_names", "scan_quoted_csv", "scan_blank_cells",
+        "odd_headers", "long_cells"]
 
 
 @pytest.mark.parametrize("name", FAST)

@@ -85,3 +85,44 @@ def test_headers(spark):
         spark, describe_columns("u", spark.range(1).selectExpr("id AS a", "id AS a"))))
     found = {r.dataset: (r.duplicate_names, r.unnamed_headers, r.status) for r in header_checks(table).collect()}
     assert found == {"t": (0, 1, "fail"), "u": (1, 0, "fail")}
+
+
+def test_quoted_cells_extra_fields_and_wide_integers(spark, tmp_path):
+    path = tmp_path / "q.csv"
+    path.write_text('id,Name,name,wide\n1,"he said ""hi"", ok",a,12345678901234567890\n'
+                    '2,"line1\nline2",b,2\n3,c,d,4,\n4,c\n5,"a,b",q,7,8,9\n6,1,2,,x\n')
+    df, skipped = readers.read_delimited(spark, str(path))
+    rows = {r.id: r for r in df.collect()}
+    assert sorted(rows) == [1, 2, 4] and df.count() == 3
+    assert rows[1].Name == 'he said "hi", ok' and rows[2].Name == "line1\nline2"
+    assert str(rows[1].wide) == "12345678901234567890" and rows[4]["name.1"] is None
+    assert skipped.first().skipped_rows == 3
+
+
+def test_integers_never_lose_digits(spark, tmp_path):
+    path = tmp_path / "w.csv"
+    lines = [f"123456789012345678{i},9{i}{'0' * 40},{1.5 if i else '12345678901234567'}" for i in range(3)]
+    path.write_text("a,b,c\n" + "\n".join(lines) + "\n")
+    df, _ = readers.read_delimited(spark, str(path))
+    assert [t for _, t in df.drop(ROW_ID).dtypes] == ["bigint", "string", "string"]
+    assert df.select("a").distinct().count() == df.select("b").distinct().count() == 3
+
+
+def test_xml_rows_are_found_and_flattened(spark, tmp_path):
+    path = tmp_path / "x.xml"
+    path.write_text('<?xml version="1.0"?><!-- <no> -->\n<list>\n<rec><a>1</a><b><c> </c><d>2</d></b></rec>\n'
+                    '<rec><a>3</a><b><c>x</c></b></rec></list>')
+    rows = readers.read_xml(spark, str(path)).collect()
+    assert [(r.a, r["b.c"], r["b.d"]) for r in rows] == [(1, None, 2), (3, "x", None)]
+
+
+def test_equal_file_names_and_bad_files_stay_apart(spark, tmp_path):
+    for folder in ("f1", "f2"):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "o.csv").write_text(f"a\n{folder}\n")
+    (tmp_path / "bad.xml").write_text("<only/>")
+    found, status = readers.read_folder(
+        spark, [str(tmp_path / p) for p in ("f1/o.csv", "f2/o.csv", "bad.xml")])
+    assert {n: df.first().a for n, df in found.items()} == {"f1/o.csv": "f1", "f2/o.csv": "f2"}
+    assert {r.dataset: r.status for r in status.collect()} == {
+        "f1/o.csv": "loaded", "f2/o.csv": "loaded", "bad.xml": "failed"}
