@@ -20,6 +20,7 @@ DATE_MISSING = [
 ]
 MIN_YEAR, MAX_YEAR = 1900, 2100
 
+# Month names and the accepted shapes of dates.
 _MONTH = (
     "jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?"
     "|sep(?:tember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?"

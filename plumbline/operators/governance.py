@@ -14,7 +14,7 @@ from plumbline.storage import local_table
 # Fixed value: issues with at least this many changes get one summary row.
 ROW_DETAIL_LIMIT = 50
 
-# platform -> dictionary column
+# Platform -> dictionary column.
 DICTIONARY_LABELS = {
     "power_bi": "power_bi_role", "tableau": "tableau_role", "alteryx": "alteryx_role",
     "excel": "excel_relevance", "looker": "looker_role", "looker_studio": "looker_studio_role",
