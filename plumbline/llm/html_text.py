@@ -46,6 +46,8 @@ _SKIP_NAMES = {
     "widget"}
 _KEEP_NAMES = {"article", "content", "main", "post", "story", "entry", "body"}
 _PASSING = {"p", "pre", "blockquote", "li", "dt", "dd", "td", "th"}
+#: How sure it is that a subtree is furniture: a name may also describe a whole layout.
+_BY_NAME = 2
 _HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 #: What an opening tag closes implicitly, up to the nearest element of the second set.
 _CLOSES = {
@@ -75,7 +77,7 @@ class Node:
     __slots__ = ("tag", "parent", "children", "names", "skip", "score", "length", "linked")
 
     def __init__(self, tag: str, parent: "Node | None", names: frozenset = frozenset(),
-                 skip: bool = False):
+                 skip: int = 0):
         self.tag, self.parent, self.names, self.skip = tag, parent, names, skip
         self.children: list = []
         self.score, self.length, self.linked = 0.0, 0, 0
@@ -86,7 +88,7 @@ def _attributes(text: str) -> dict[str, str]:
             for m in _ATTR.finditer(text)}
 
 
-def _furniture(tag: str, attrs: dict[str, str], parent: Node) -> tuple[frozenset, bool]:
+def _furniture(tag: str, attrs: dict[str, str], parent: Node) -> tuple[frozenset, int]:
     names = frozenset(_NAME.findall(
         re.sub(r"([a-z])([A-Z])", r"\1 \2", f"{attrs.get('class', '')} {attrs.get('id', '')}")
         .lower().replace("_", "-")))
@@ -98,8 +100,10 @@ def _furniture(tag: str, attrs: dict[str, str], parent: Node) -> tuple[frozenset
         while node is not None and node.tag not in ("article", "main"):
             node = node.parent
         skip = node is None
-    if names and tag not in ("html", "body", "article", "main") and tag not in _HEADINGS:
-        skip = skip or bool(names & _SKIP_NAMES and not (names & _KEEP_NAMES and tag == "header"))
+    if not skip and tag not in ("html", "body", "article", "main") and tag not in _HEADINGS:
+        found = names & _SKIP_NAMES
+        if found and not (found == {"header"} and names & _KEEP_NAMES):
+            return names, _BY_NAME
     return names, skip
 
 
@@ -170,8 +174,11 @@ def _close(node: Node, closed: set, stops: set) -> Node:
     return last.parent if last is not None else node
 
 
-def blocks(top: Node) -> list[tuple[Node, str, int]]:
-    """(block element, its text, how much of it is link text) in page order."""
+def blocks(top: Node, names_count: bool = True) -> list[tuple[Node, str, int]]:
+    """(block element, its text, how much of it is link text) in page order.
+
+    Without ``names_count`` class names leave nothing out.
+    """
     found: list[tuple[Node, str, int]] = []
     text: list[str] = []
     linked = 0
@@ -207,7 +214,7 @@ def blocks(top: Node) -> list[tuple[Node, str, int]]:
                 linked += len(" ".join(child.split()))
         elif child.tag in ("br", "wbr", "img", "input"):
             text.append(" " if child.tag == "br" else "")
-        elif not child.skip:
+        elif not child.skip or (child.skip == _BY_NAME and not names_count):
             if child.tag not in _INLINE:
                 flush()
                 owner = child
@@ -221,7 +228,7 @@ def main_text(page: str) -> str:
     if not page:
         return ""
     root = parse(page)
-    found = blocks(root)
+    found = blocks(root) or blocks(root, names_count=False)
     if not found:
         return ""
     scored: list[Node] = []

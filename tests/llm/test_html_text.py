@@ -52,6 +52,13 @@ def test_small_pages(html, text):
     assert main_text(html) == text
 
 
+def test_names_of_layouts_and_titles():
+    assert main_text(f"<body class='menu'><div class='page has-sidebar'><p>{PROSE}</p></div></body>") == ONE
+    html = page(f"<div class='post'><div class='post-header'><h1>T</h1></div><p>{PROSE}</p></div>"
+                "<div class='site-header'>S</div><div class='user-comments'><p>c, c, c</p></div>")
+    assert main_text(html) == f"T\n\n{ONE}"
+
+
 def test_deep_and_long_pages():
     assert main_text("<div>" * 5000 + "deep" + "</div>" * 5000) == "deep"
     assert main_text("<p>" + "word " * 200_000 + "</p>").count("word") == 200_000
