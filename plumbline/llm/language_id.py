@@ -6,8 +6,9 @@ and learned transitions between neighbours, so that a text that switches languag
 word by word. A document's language is the one with the largest mean marginal, its score that
 mean.
 
-Training takes a bounded sample: per label the ``per_label`` labelled documents with the smallest
-hash of their identifier, of each at most ``sample_chars`` characters. Training chains mix
+Training takes a bounded sample: of each of the ``max_labels`` most frequent labels at most
+``per_label`` documents, drawn by a hash of their identifier, of each at most ``sample_chars``
+characters. Training chains mix
 stretches of documents of different languages, which teaches the transitions. The model's size
 follows the number of labels and ``_DIMENSIONS``, not the data; it is broadcast. Prediction reads
 whole texts; a text is cut into chains of ``CHAIN`` words.
@@ -31,9 +32,11 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 UNKNOWN = "und"
 PER_LABEL = 600
 SAMPLE_CHARS = 1500
+MAX_LABELS = 500
 CHAIN = 128
 REMEMBERED_WORDS = 200_000
 _DIMENSIONS = 1 << 16
+_HASHES = 1 << 40
 _LEXICON_COUNT = 4
 _STEPS = 60
 _WORD = re.compile(r"[^\W\d_]+")
@@ -217,15 +220,24 @@ def held_out(id_col: str) -> Column:
 
 
 def training_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str,
-                    per_label: int = PER_LABEL, sample_chars: int = SAMPLE_CHARS) -> DataFrame:
+                    per_label: int = PER_LABEL, sample_chars: int = SAMPLE_CHARS,
+                    max_labels: int = MAX_LABELS) -> DataFrame:
     """At most ``per_label`` labelled documents of each label, none of them held out."""
+    rows = docs.where(
+        F.col(id_col).isNotNull() & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()
+        & ~held_out(id_col)).select(
+        F.col(lang_col).cast("string").alias("label"), F.col(id_col).cast("string").alias("id"),
+        F.xxhash64(F.col(id_col).cast("string")).alias("h"),
+        F.substring(text_col, 1, sample_chars).alias("text"))
+    counts = (rows.groupBy("label").agg(F.count("*").alias("n"))
+              .orderBy(F.desc("n"), "label").limit(max_labels).collect())
+    if not counts:
+        return rows.limit(0).withColumn("k", F.lit(0))
+    # a label of n documents sends about twice the sample to the sort, whatever n is
+    share = F.create_map(*[F.lit(x) for r in counts for x in (
+        r.label, min(_HASHES, 2 * per_label * _HASHES // r.n + 1))])
     order = Window.partitionBy("label").orderBy("h", "id")
-    return (docs.where(F.col(id_col).isNotNull() & F.col(lang_col).isNotNull()
-                       & F.col(text_col).isNotNull() & ~held_out(id_col))
-            .select(F.col(lang_col).cast("string").alias("label"),
-                    F.col(id_col).cast("string").alias("id"),
-                    F.xxhash64(F.col(id_col).cast("string")).alias("h"),
-                    F.substring(text_col, 1, sample_chars).alias("text"))
+    return (rows.where(F.pmod("h", F.lit(_HASHES)) < share[F.col("label")])
             .withColumn("k", F.row_number().over(order)).where(F.col("k") <= per_label)
             .select("label", "text", "k"))
 
