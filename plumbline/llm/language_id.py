@@ -30,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 UNKNOWN = "und"
+#: Documents of a lower score are rejected; switched languages and short texts stay above it.
+LEAST_SCORE = 0.3
 PER_LABEL = 600
 SAMPLE_CHARS = 1500
 MAX_LABELS = 500
@@ -281,7 +283,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id",
 
 
 def keep_identified(docs: DataFrame, model: Model, text_col: str = "text",
-                    least_score: float = 0.5) -> DataFrame:
+                    least_score: float = LEAST_SCORE) -> DataFrame:
     """The rows of ``docs`` whose language is found with at least ``least_score``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = docs.schema

@@ -34,7 +34,7 @@ def test_stages_keep_columns_and_rows_of_their_input(steps):
 def test_language_keeps_clean_documents(spark, steps):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     found = language_id.identify(docs, language_id.train(docs)).toPandas()
-    sure = set(found[(found.lang_pred != "und") & (found.score >= 0.5)].doc_id)
+    sure = set(found[(found.lang_pred != "und") & (found.score >= language_id.LEAST_SCORE)].doc_id)
     assert set(steps[1].doc_id) == sure
 
 
