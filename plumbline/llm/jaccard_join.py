@@ -6,11 +6,18 @@ whose hash falls into the counted part of the hash space are ordered by how many
 them, all others after them by hash. Only shingles that several documents hold can join, so what
 is left of a prefix is short and mostly empty.
 
-Sets with the same size and the same joinable prefix form a group. Groups that share a prefix
-shingle are filtered by size and by how much they can still overlap after their first common
-shingle. A pair of groups is then expanded in two steps: the groups' first members are compared
-with each other and with their own group, and only members that this leaves in different
-components are compared one by one. No link between different texts is lost in the components.
+Sets with the same size and the same joinable prefix form a group, and groups that share a prefix
+shingle are candidates. They are joined in two steps. First each group is paired with the first
+group of each of its shingles, and each member with the first of its group: as many pairs as
+there are prefix shingles. What these links leave in different components is grouped again, now
+by size, prefix and component, and all pairs of groups of different components that share a
+prefix shingle are filtered, expanded to their members and verified. So no link between different
+texts is lost in the components, and members of one component are not compared with each other.
+
+Pairs of groups are filtered by size, by how much they can still overlap from the shared shingle
+on, and by a bitmap. A set's bitmap has a bit for each of ``BITS`` parts of the hash space, set
+where it has an odd number of shingles; two sets differ in at least as many shingles as bits. A
+group compares only bits in which all its members agree.
 
 Copies are one set: they join nothing and take the set's component. Counting combines on the map
 side and joins on hot keys are ones that Spark may split.
@@ -38,6 +45,9 @@ PERCENT = 90
 #: The part of the hash space whose shingles are counted, as a multiple of a prefix's share: a
 #: document joins by a passage that others hold only where it has too few rare shingles.
 COUNTED = 1.6
+#: Bits of a set's bitmap.
+BITS = 256
+_WORDS = [f"b{k}" for k in range(BITS // 64)]
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> Iterator[np.ndarray]:
@@ -69,7 +79,14 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("body"))
 
 
-_PROFILE = "id long, n long, d1 long, d2 long, counted int, head array<long>"
+_PROFILE = ("id long, n long, d1 long, d2 long, counted int, head array<long>, "
+            + ", ".join(f"{w} long" for w in _WORDS))
+
+
+def bitmap(shingles: np.ndarray) -> np.ndarray:
+    """Parity of the number of shingles in each part, as 64-bit words."""
+    odd = np.bincount((shingles & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
 def _profiles(size: int, percent: int, counted: float):
@@ -82,7 +99,7 @@ def _profiles(size: int, percent: int, counted: float):
             flat, offsets = repeats.binary_views(batch.column(1))
             for low, high in repeats.slices(offsets, 1 << 21):
                 begin = int(offsets[low])
-                n, d1, d2, among, heads = [], [], [], [], []
+                n, d1, d2, among, heads, maps = [], [], [], [], [], []
                 for s in shingle_sets(flat[begin:int(offsets[high])], offsets[low:high + 1] - begin,
                                       size):
                     inside = int(np.searchsorted(s, limit))
@@ -90,16 +107,19 @@ def _profiles(size: int, percent: int, counted: float):
                     d1.append(mix(s).sum(dtype=np.uint64))
                     d2.append(mix(s ^ np.uint64(0x9E3779B97F4A7C15)).sum(dtype=np.uint64))
                     among.append(inside)
+                    maps.append(bitmap(s))
                     heads.append(s[:max(inside, prefix_length(len(s), percent) if len(s) else 0)])
                 at = np.concatenate([[0], np.cumsum([len(h) for h in heads])]).astype(np.int32)
+                words = np.array(maps, np.int64).reshape(-1, len(_WORDS))
                 yield pa.RecordBatch.from_arrays(
                     [ids.slice(low, high - low), pa.array(n, pa.int64()),
                      pa.array(np.array(d1, np.uint64).view(np.int64)),
                      pa.array(np.array(d2, np.uint64).view(np.int64)),
                      pa.array(among, pa.int32()),
                      pa.ListArray.from_arrays(
-                         pa.array(at), pa.array(np.concatenate(heads).view(np.int64)))],
-                    names=["id", "n", "d1", "d2", "counted", "head"])
+                         pa.array(at), pa.array(np.concatenate(heads).view(np.int64))),
+                     *(pa.array(words[:, k]) for k in range(len(_WORDS)))],
+                    names=["id", "n", "d1", "d2", "counted", "head", *_WORDS])
 
     return run
 
@@ -142,27 +162,81 @@ def _prefixes(profiles: DataFrame, percent: int) -> DataFrame:
             .where("size(prefix) > 0").select("id", "n", "prefix"))
 
 
-def _group_pairs(groups: DataFrame, percent: int) -> DataFrame:
-    """Pairs of groups (g < h) that pass the size and the overlap filter."""
-    index = groups.select("g", "n", F.inline("prefix"))
-    left = index.select("token", F.col("g"), F.col("n"), F.col("rank"))
-    right = index.select("token", F.col("g").alias("h"), F.col("n").alias("m"),
-                         F.col("rank").alias("rank2"))
-    sized = (f"g < h AND 100 * n >= {percent} * m AND 100 * m >= {percent} * n")
+def _differ(left: list[str], right: list[str], mask: list[str] | None = None) -> str:
+    """SQL for the number of bits that differ."""
+    masks = [f" & {m}" for m in mask] if mask else [""] * len(left)
+    return " + ".join(f"bit_count(({x} ^ {y}){m})" for x, y, m in zip(left, right, masks))
+
+
+def _close(mine: str, theirs: str, percent: int, masks: bool = False) -> str:
+    """SQL for what two sizes and bitmaps allow; prefixes name the two sides' columns."""
+    bits = " + ".join(
+        f"bit_count(({mine}v{k} ^ {theirs}v{k})"
+        + (f" & {mine}a{k} & {theirs}a{k})" if masks else ")") for k in range(len(_WORDS)))
+    n, m = f"{mine}n", f"{theirs}n"
+    return (f"100 * {n} >= {percent} * {m} AND 100 * {m} >= {percent} * {n}"
+            f" AND {bits} <= floor({100 - percent} * ({n} + {m}) / {100 + percent}.0)")
+
+
+def _first_pairs(members: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b): a group's first member and the first of a shingle or of the own group."""
+    groups = members.groupBy("n", "prefix").agg(F.min("node").alias("g"))
+    index = groups.select("g", F.explode("prefix.token").alias("token"))
+    heads = materialise(index.groupBy("token").agg(F.min("g").alias("head"), F.count("*").alias("m"))
+                        .where("m > 1").select("token", "head"))
+    across = index.join(heads, "token").where("head < g").selectExpr("head AS a", "g AS b")
+    inside = members.join(groups, ["n", "prefix"]).where("g < node").selectExpr("g AS a", "node AS b")
+    sides = members.select("node", "n", *(F.col(w).alias(f"v{k}") for k, w in enumerate(_WORDS)))
+    x = sides.toDF("a", *(f"x_{c}" for c in sides.columns[1:]))
+    y = sides.toDF("b", *(f"y_{c}" for c in sides.columns[1:]))
+    return (across.unionByName(inside).distinct().join(x, "a").join(y, "b")
+            .where(_close("x_", "y_", percent)).select("a", "b"))
+
+
+def _other_pairs(members: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of members of different components that the filters let pass."""
+    placed = materialise(
+        members.join(parts, "node", "left")
+        .withColumn("part", F.coalesce("component", "node")).drop("component"))
+    key = ["n", "prefix", "part"]
+    groups = placed.groupBy(*key).agg(
+        F.min("node").alias("g"),
+        *(F.bit_and(w).alias(f"v{k}") for k, w in enumerate(_WORDS)),
+        # bits in which all members agree
+        *(F.bitwise_not(F.bit_or(w).bitwiseXOR(F.bit_and(w))).alias(f"a{k}")
+          for k, w in enumerate(_WORDS)))
+    index = groups.select("g", "n", "part", F.inline("prefix"),
+                          *(f"{c}{k}" for c in "va" for k in range(len(_WORDS))))
+    # shingles that only one component holds pair nothing
+    mixed = materialise(index.groupBy("token").agg(F.min("part").alias("low"), F.max("part").alias("high"))
+                        .where("low < high").select("token"))
+    index = materialise(index.join(mixed, "token"))
     # overlap needed: ceil(percent (n + m) / (100 + percent)); possible from this shingle on
-    needed = f"ceil({percent} * (n + m) / {100 + percent}.0)"
-    return (left.join(right, "token").where(sized)
-            .where(f"least(n - rank, m - rank2) >= {needed}")
-            .select("g", "h").distinct())
-
-
-def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    overlap = (f"least(x.n - x.rank, y.n - y.rank)"
+               f" >= ceil({percent} * (x.n + y.n) / {100 + percent}.0)")
+    pairs = (index.alias("x").join(index.alias("y"), F.col("x.token") == F.col("y.token"))
+             .where(f"x.part < y.part AND {overlap} AND {_close('x.', 'y.', percent, masks=True)}")
+             .selectExpr("x.g AS g", "y.g AS h").distinct())
+    inside = placed.join(groups.select(*key, "g"), key).select(
+        "g", "node", "n", *(F.col(w).alias(f"v{k}") for k, w in enumerate(_WORDS)))
+    x = inside.toDF("g", "a", *(f"x_{c}" for c in inside.columns[2:]))
+    y = inside.toDF("h", "b", *(f"y_{c}" for c in inside.columns[2:]))
+    return (pairs.join(x, "g").join(y, "h").where(_close("x_", "y_", percent)).select("a", "b"))
+
+
+def _links(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
     """Those of the pairs (a, b) of nodes whose sets are similar enough."""
+    pairs = materialise(pairs)
+    nodes = materialise(
+        pairs.selectExpr("a AS id").unionByName(pairs.selectExpr("b AS id")).distinct())
+    sets = materialise(texts.join(nodes, "id").mapInArrow(
+        _full_sets(shingle), "node long, shingles array<long>"))
     one = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
     two = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
     both = pairs.join(one, "a").join(two, "b").withColumn(
         "common", F.size(F.array_intersect("x", "y")))
-    return both.where(f"100 * common >= {percent} * (size(x) + size(y) - common)").select("a", "b")
+    return materialise(
+        both.where(f"100 * common >= {percent} * (size(x) + size(y) - common)").select("a", "b"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -175,43 +249,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = _texts(docs, id_col, text_col)
     profiles = materialise(texts.mapInArrow(_profiles(shingle, percent, counted), _PROFILE))
     sets = profiles.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("id").alias("node"))
-    # one node per distinct set with a joinable prefix; g: the group's smallest node
+    # one node per distinct set with a joinable prefix
     members = materialise(
-        _prefixes(profiles, percent).join(profiles.select("id", "d1", "d2"), "id")
-        .groupBy("n", "d1", "d2", "prefix").agg(F.min("id").alias("node")))
-    groups = members.groupBy("n", "prefix").agg(
-        F.min("node").alias("g"), F.count("*").alias("size"))
-    groups = materialise(groups)
-    inside = members.join(groups.where("size > 1"), ["n", "prefix"]).select("g", "node")
-    inside = materialise(inside)
-    pairs = materialise(_group_pairs(groups, percent))
-    # first members against each other and against their own group
-    first = (pairs.selectExpr("g AS a", "h AS b")
-             .unionByName(inside.where("g <> node").selectExpr("g AS a", "node AS b")))
-    first = materialise(first)
-    involved = pairs.selectExpr("g").unionByName(pairs.selectExpr("h AS g")).distinct()
-    nodes = materialise(
-        first.selectExpr("a AS id").unionByName(first.selectExpr("b AS id")).distinct())
-    found = materialise(texts.join(nodes, "id").mapInArrow(
-        _full_sets(shingle), "node long, shingles array<long>"))
-    links = materialise(_links(first, found, percent))
+        _prefixes(profiles, percent).join(profiles.drop("n", "counted", "head"), "id")
+        .groupBy("n", "d1", "d2", "prefix", *_WORDS).agg(F.min("id").alias("node")))
+    links = _links(_first_pairs(members, percent), texts, shingle, percent)
     parts = components(links)
-    # members of groups (alone in it or not) with the component they have so far
-    placed = (inside.unionByName(involved.selectExpr("g", "g AS node")).distinct()
-              .join(parts, "node", "left")
-              .select("g", "node", F.coalesce("component", "node").alias("part")))
-    placed = materialise(placed)
-    whole = placed.groupBy("g").agg(F.min("part").alias("low"), F.max("part").alias("high"))
-    every = (pairs.unionByName(inside.selectExpr("g", "g AS h").distinct())
-             .join(whole, "g")
-             .join(whole.selectExpr("g AS h", "low AS low2", "high AS high2"), "h")
-             .where("low <> high OR low2 <> high2 OR low <> low2").select("g", "h"))
-    rest = (every.join(placed.selectExpr("g", "node AS a", "part AS p"), "g")
-            .join(placed.selectExpr("g AS h", "node AS b", "part AS q"), "h")
-            .where("p <> q AND a <> b").selectExpr("least(a, b) AS a", "greatest(a, b) AS b")
-            .distinct().join(first.selectExpr("least(a, b) AS a", "greatest(a, b) AS b"),
-                             ["a", "b"], "left_anti"))
-    later = materialise(_links(materialise(rest), found, percent))
+    later = _links(_other_pairs(members, parts, percent), texts, shingle, percent)
     if not later.isEmpty():
         parts = components(links.unionByName(later))
     rows = profiles.select("id", "n", "d1", "d2").join(sets, ["n", "d1", "d2"], "left")
