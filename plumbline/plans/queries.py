@@ -206,8 +206,9 @@ def header_checks(spark, sf_dir):
     found = None
     for name in MESSY_HEADERS:
         path = _messy_file(spark, sf_dir, name)
-        rows = readers.read_delimited(spark, path)[0].agg(F.count("*").alias("row_count"))
-        one = columns.header_checks(readers.raw_headers(spark, path, name)).crossJoin(rows)
+        rows = readers.read_delimited(spark, path)[0].agg(
+            F.lit(name).alias("dataset"), F.count("*").alias("row_count"))
+        one = columns.header_checks(readers.raw_headers(spark, path, name)).join(rows, "dataset")
         found = one if found is None else found.unionByName(one)
     return found
 
