@@ -26,7 +26,8 @@ _MAX_LISTING_BYTES = 256 << 20
 _INTEGER, _DECIMAL = r"^[+-]?[0-9]+$", r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"
 # Whole numbers of more digits than a double holds; they become integers, decimals or stay text.
 _WIDE = r"^[+-]?[0-9]{16,}$"
-QUOTED = '"([^"]|"")*"'
+# A doubled quote ends one match and starts the next; a group of alternatives would recurse per character.
+QUOTED = '"[^"]*"'
 FORMATS = {
     ".csv": "csv", ".tsv": "tsv", ".txt": "csv", ".json": "json", ".parquet": "parquet",
     ".feather": "feather", ".xml": "xml",

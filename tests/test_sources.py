@@ -126,3 +126,12 @@ def test_equal_file_names_and_bad_files_stay_apart(spark, tmp_path):
     assert {n: df.first().a for n, df in found.items()} == {"f1/o.csv": "f1", "f2/o.csv": "f2"}
     assert {r.dataset: r.status for r in status.collect()} == {
         "f1/o.csv": "loaded", "f2/o.csv": "loaded", "bad.xml": "failed"}
+
+
+def test_ragged_rows_next_to_long_quoted_cells(spark, tmp_path):
+    path = tmp_path / "long.csv"
+    long = '"' + 'a,""b""' * 15_000 + '"'
+    path.write_text(f"id,t,u\n1,{long}\n2,{long},x,y\n3,{long},z\n")
+    df, skipped = readers.read_delimited(spark, str(path))
+    assert {r.id: (len(r.t), r.u) for r in df.collect()} == {1: (75_000, None), 3: (75_000, "z")}
+    assert skipped.first().skipped_rows == 1
