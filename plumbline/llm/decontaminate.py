@@ -1,8 +1,12 @@
 """Benchmark decontamination by spaced-seed hashing.
 
-Texts are lower-cased and cut into words of letters and digits. A document is contaminated by an
-item where ``window`` consecutive words (or a shorter item as a whole) agree in all but a fifth
-of the places. Fixed masks ignore selected places: a window of 13 words may differ in two, so its
+Texts are lower-cased and cut into words of letters and digits; a run in a script without spaces
+gives its overlapping pairs of characters as words. A document is contaminated by an item where
+``window`` consecutive words (or a shorter item as a whole) agree in all but a fifth of the places.
+Items of fewer than ``min_words`` words are matched as a whole and without differences if they
+have ``min_chars`` letters and digits; shorter ones occur anywhere.
+
+Fixed masks ignore selected places: a window of 13 words may differ in two, so its
 places fall into four interleaved groups and each of six masks ignores two of them. Whatever two
 places differ, one mask ignores both, so equal masked hashes find every such window. Hits are
 joined with the benchmark, the windows compared word by word, and verified windows that overlap
@@ -13,8 +17,9 @@ The benchmark's hashes serve as a filter before the shuffle while they are few
 follows it are the same either way, and Spark may split it where one item is everywhere.
 
 Defined cases: null texts have no words and match nothing; items of fewer than ``min_words``
-words are not matched; a null identifier stays null; rows that repeat are one document, items
-that repeat are one item; empty tables give an empty result; other columns are not read.
+words and ``min_chars`` letters and digits are not matched; a null identifier stays null; rows
+that repeat are one document, items that repeat are one item; empty tables give an empty result;
+other columns are not read.
 """
 
 from __future__ import annotations
@@ -33,9 +38,16 @@ from plumbline.storage import materialise
 WINDOW = 13
 SIMILARITY = 0.8
 MIN_WORDS = 5
+MIN_CHARS = 20
 MAX_FILTER_HASHES = 4_000_000
 _SLICE = 1 << 16
 _TABLE_BITS = 23
+_OTHER = r"[^\p{L}\p{N}]+"
+#: Letters of scripts that are written without spaces; the last is the mark of long vowels.
+_UNSPACED = (r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
+             r"\p{IsTibetan}\u30FC&&[\p{L}\p{N}]]")
+#: Where the first of these scripts begins; texts below it are not looked at character by character.
+_HIGH = r"[\u0E00-\x{10FFFF}]"
 
 
 def tolerance(length: int, similarity: float) -> int:
@@ -72,7 +84,12 @@ def seeds(words: np.ndarray, length: int, similarity: float) -> list[np.ndarray]
 
 def _normal(table: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    plain = F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " ")
+    plain = F.regexp_replace(F.lower(text), _OTHER, " ")
+    # abc becomes ab bc c, and then loses the character that its last pair has already
+    apart = F.regexp_replace(plain, f"({_UNSPACED}+)", " $1 ")
+    pairs = F.regexp_replace(apart, f"({_UNSPACED})(?=({_UNSPACED}))", "$1$2 ")
+    pairs = F.regexp_replace(pairs, f"(?<={_UNSPACED}{{2}} ){_UNSPACED}(?= )", "")
+    plain = F.when(text.rlike(_HIGH), pairs).otherwise(plain)
     return table.select(
         F.coalesce(F.col(id_col).cast("long"), F.lit(repeats.NO_ID)).alias("id"),
         F.xxhash64(text).alias("tag"), plain.cast("binary").alias("body"))
@@ -81,10 +98,11 @@ def _normal(table: DataFrame, id_col: str, text_col: str) -> DataFrame:
 _SEEDS = "id long, tag long, at long, n int, key long, words array<long>"
 
 
-def _seed_rows(lengths: list[int], similarity: float, wanted, whole_below: int):
+def _seed_rows(lengths: list[int], similarity: dict[int, float], wanted, whole_below: int):
     """Masked hashes as rows. ``wanted``: a broadcast sorted array that holds the useful ones.
 
-    With ``whole_below`` texts of fewer words give one window, the whole text.
+    ``similarity`` is given by window length. With ``whole_below`` texts of fewer words give one
+    window, the whole text.
     """
     def emit(ids, tags, doc, at, words, place, length, key):
         picked = np.lib.stride_tricks.sliding_window_view(words, length)[place]
@@ -124,7 +142,7 @@ def _seed_rows(lengths: list[int], similarity: float, wanted, whole_below: int):
                                 sizes = below[doc + 1] - below[doc]
                                 fits &= (sizes == length) | (length == whole_below) & (
                                     sizes > length)
-                            for key in seeds(part, length, similarity):
+                            for key in seeds(part, length, similarity[length]):
                                 hit = fits
                                 if table is not None:
                                     hit = fits & table[
@@ -147,7 +165,7 @@ def _seed_rows(lengths: list[int], similarity: float, wanted, whole_below: int):
 def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
              text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
              window: int = WINDOW, similarity: float = SIMILARITY, min_words: int = MIN_WORDS,
-             max_filter_hashes: int = MAX_FILTER_HASHES) -> DataFrame:
+             max_filter_hashes: int = MAX_FILTER_HASHES, min_chars: int = MIN_CHARS) -> DataFrame:
     """One row per document and item that overlap.
 
     Returns both identifiers, ``n_windows`` (verified windows, by their places in the document),
@@ -155,11 +173,18 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """
     spark = docs.sparkSession
     lengths = list(range(min_words, window + 1))
+    short = list(range(1, min_words))
+    alike = {n: similarity for n in lengths} | {n: 1.0 for n in short}
+    said = F.length(F.regexp_replace(F.lower(F.col(item_text_col).cast("string")), _OTHER, ""))
+    found = _normal(benchmark, item_col, item_text_col).mapInArrow(
+        _seed_rows(lengths, alike, None, window), _SEEDS)
+    if short:
+        found = found.unionByName(
+            _normal(benchmark.where(said >= min_chars), item_col, item_text_col).mapInArrow(
+                _seed_rows(short, alike, None, window), _SEEDS))
     items = materialise(
-        _normal(benchmark, item_col, item_text_col)
-        .mapInArrow(_seed_rows(lengths, similarity, None, window), _SEEDS)
-        .select(F.col("id").alias("item"), F.col("at").alias("item_at"), "n", "key",
-                F.col("words").alias("item_words")).distinct())
+        found.select(F.col("id").alias("item"), F.col("at").alias("item_at"), "n", "key",
+                     F.col("words").alias("item_words")).distinct())
     present = sorted(r.n for r in items.select("n").distinct().collect())   # at most ``window`` rows
     if not present:
         present = [window]
@@ -171,10 +196,10 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
             known = np.zeros(1, np.uint64)
         wanted = spark.sparkContext.broadcast(known)
     hits = _normal(docs, id_col, text_col).mapInArrow(
-        _seed_rows(present, similarity, wanted, 0), _SEEDS)
+        _seed_rows(present, alike, wanted, 0), _SEEDS)
     agree = F.size(F.filter(F.zip_with("words", "item_words", lambda a, b: a == b), lambda x: x))
     # the number of places that may differ, by window length
-    allowed = F.create_map(*[F.lit(x) for n in lengths for x in (n, tolerance(n, similarity))])
+    allowed = F.create_map(*[F.lit(x) for n in alike for x in (n, tolerance(n, alike[n]))])
     verified = (hits.join(items.withColumnRenamed("n", "item_n"), "key")
                 .where((F.col("n") == F.col("item_n")) & (F.col("n") - agree <= allowed[F.col("n")]))
                 .select("id", "tag", "item", "at", "n", "item_at"))

@@ -82,3 +82,19 @@ def test_empty_tables(make, tables):
     assert d.overlaps(make([]), bench).count() == 0
     assert d.overlaps(make(docs), bench.limit(0)).count() == 0
     assert d.remove_contaminated(make(docs), bench.limit(0)).count() == len(docs)
+
+
+def test_short_items_and_scripts_without_spaces(make):
+    chinese = "\u4eca\u5929\u7684\u5929\u6c14\u975e\u5e38\u597d\u6211\u4eec\u51fa\u53bb\u8d70\u8d70\u5427"
+    items = make([(1, "Photosynthesis requires chlorophyll!"), (2, chinese), (3, "It is so"),
+                  (4, "Photosynthesis")]).withColumnRenamed("doc_id", "item_id")
+    other = chinese[:7] + "\u574f" + chinese[8:]              # one character in the middle
+    docs = make([
+        (10, "we know photosynthesis requires CHLOROPHYLL in plants, and it is so"),
+        (11, "we know photosynthesis needs chlorophyll"), (12, "\u4ed6\u8bf4" + chinese + "\u3002ok"),
+        (13, other), (14, chinese[:6] + " " + chinese[9:]), (15, "chinese " + chinese + "x"), (16, chinese[:5])])
+    found = {(r.doc_id, r.item_id): r for r in d.overlaps(docs, items).collect()}
+    assert set(found) == {(10, 1), (12, 2), (13, 2), (15, 2)}
+    assert tuple(found[10, 1])[2:] == (1, 2, 4)
+    assert tuple(found[12, 2])[2:] == (2, 2, 15)
+    assert {r.doc_id for r in d.remove_contaminated(docs, items).collect()} == {11, 14, 16}
