@@ -6,12 +6,13 @@ and learned transitions between neighbours, so that a text that switches languag
 word by word. A document's language is the one with the largest mean marginal, its score that
 mean.
 
-Training takes a bounded sample: of each of the ``max_labels`` most frequent labels at most
-``per_label`` documents, drawn by a hash of their identifier, of each at most ``sample_chars``
-characters. Training chains mix
+Training takes a bounded sample: of each label (of the ``max_labels`` most frequent ones, where
+that is given) at most ``per_label`` documents, drawn by a hash of their identifier, of each at
+most ``sample_chars`` characters. Training chains mix
 stretches of documents of different languages, which teaches the transitions. The model's size
 follows the number of labels and ``_DIMENSIONS``, not the data; it is broadcast. Prediction reads
-whole texts; a text is cut into chains of ``CHAIN`` words.
+whole texts; a text is cut into chains of ``CHAIN`` words. A run of more than ``LONGEST`` letters,
+as in scripts without spaces, is cut into consecutive words of a chain.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0; without any labelled
 document everything is ``und``; a null identifier is not held out and not learned from; rows that
@@ -34,14 +35,14 @@ UNKNOWN = "und"
 LEAST_SCORE = 0.3
 PER_LABEL = 600
 SAMPLE_CHARS = 1500
-MAX_LABELS = 500
+LONGEST = 40
 CHAIN = 128
 REMEMBERED_WORDS = 200_000
 _DIMENSIONS = 1 << 16
 _HASHES = 1 << 40
 _LEXICON_COUNT = 4
 _STEPS = 60
-_WORD = re.compile(r"[^\W\d_]+")
+_WORD = re.compile(rf"[^\W\d_]{{1,{LONGEST}}}")
 
 
 def features(word: str, lexicon: set[str]) -> list[int]:
@@ -56,7 +57,7 @@ def features(word: str, lexicon: set[str]) -> list[int]:
 
 def _padded(words: list[str], lexicon: set[str]) -> np.ndarray:
     """Feature ids per word; the last dimension is empty and pads short words."""
-    found = [features(w[:40], lexicon) for w in words]
+    found = [features(w, lexicon) for w in words]
     width = max(map(len, found), default=1)
     table = np.full((len(found), width), _DIMENSIONS, np.int64)
     for i, ids in enumerate(found):
@@ -223,16 +224,19 @@ def held_out(id_col: str) -> Column:
 
 def training_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str,
                     per_label: int = PER_LABEL, sample_chars: int = SAMPLE_CHARS,
-                    max_labels: int = MAX_LABELS) -> DataFrame:
-    """At most ``per_label`` labelled documents of each label, none of them held out."""
+                    max_labels: int | None = None) -> DataFrame:
+    """At most ``per_label`` labelled documents of each label, none of them held out.
+
+    ``max_labels`` leaves out all but that many of the most frequent labels.
+    """
     rows = docs.where(
         F.col(id_col).isNotNull() & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()
         & ~held_out(id_col)).select(
         F.col(lang_col).cast("string").alias("label"), F.col(id_col).cast("string").alias("id"),
         F.xxhash64(F.col(id_col).cast("string")).alias("h"),
         F.substring(text_col, 1, sample_chars).alias("text"))
-    counts = (rows.groupBy("label").agg(F.count("*").alias("n"))
-              .orderBy(F.desc("n"), "label").limit(max_labels).collect())
+    counts = rows.groupBy("label").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label")
+    counts = (counts if max_labels is None else counts.limit(max_labels)).collect()
     if not counts:
         return rows.limit(0).withColumn("k", F.lit(0))
     # a label of n documents sends about twice the sample to the sort, whatever n is
@@ -245,8 +249,10 @@ def training_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str,
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-          per_label: int = PER_LABEL, sample_chars: int = SAMPLE_CHARS) -> Model:
-    rows = training_sample(docs, id_col, text_col, lang_col, per_label, sample_chars).collect()
+          per_label: int = PER_LABEL, sample_chars: int = SAMPLE_CHARS,
+          max_labels: int | None = None) -> Model:
+    rows = training_sample(
+        docs, id_col, text_col, lang_col, per_label, sample_chars, max_labels).collect()
     return fit([(r.label, r.text) for r in sorted(rows, key=lambda r: (r.label, r.k, r.text))])
 
 

@@ -85,3 +85,23 @@ def test_without_labels_everything_is_unknown(spark):
     assert [tuple(r)[2:] for r in lid.identify(table, lid.train(table)).collect()] == [("und", 0.0)]
     empty = table.limit(0)
     assert lid.identify(empty, lid.train(empty)).count() == 0
+
+
+def test_runs_without_spaces_are_judged_whole(model):
+    rng = random.Random(4)
+    run = "".join(prose(rng, "aa", 30))[:40] + "".join(prose(rng, "bb", 200))
+    assert lid.Labeller(model).label([run])[0][0] == "bb"
+    assert sum(map(len, lid._WORD.findall(run))) == len(run)
+
+
+def test_rare_labels_are_learned_unless_a_limit_is_given(spark):
+    table = spark.createDataFrame(
+        [(i, f"text of {i}", f"l{i % 600}") for i in range(2400)],
+        "doc_id long, text string, lang string")
+    args = "doc_id", "text", "lang"
+    taken = {r.label for r in lid.training_sample(table, *args).select("label").collect()}
+    known = {r.lang for r in table.where(~lid.held_out("doc_id")).select("lang").collect()}
+    assert taken == known and len(known) > 500
+    small = table.where("doc_id % 600 < 3")
+    assert len(lid.train(small, max_labels=2).labels) == 2
+    assert len(lid.train(small).labels) == 3
