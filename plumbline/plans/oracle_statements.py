@@ -806,6 +806,8 @@ WHERE run_id = '1998'""",
   count(*) FILTER (p_partkey % 10 = 3) AS skipped_rows FROM part""",
         "scan_json": "SELECT n_nationkey::BIGINT AS n_nationkey, n_name, n_regionkey::BIGINT AS n_regionkey FROM nation",
         "scan_xml": "SELECT p_partkey, p_name, p_brand, p_type, p_size::BIGINT AS p_size, p_retailprice FROM part",
+        "scan_foreign_xml": """SELECT p_partkey::BIGINT AS key, p_name AS name, NULL::BIGINT AS v FROM part
+UNION ALL SELECT NULL, NULL, 1 FROM range(2)""",
         "scan_feather": "SELECT * FROM part",
         "scan_folder": """SELECT * FROM (VALUES
   ('nation.parquet', 'parquet', 'loaded', (SELECT count(*) FROM nation)),

@@ -560,6 +560,24 @@ def scan_xml(spark, sf_dir):
     return readers.read_xml(spark, path, "part").drop(ROW_ID)
 
 
+def scan_foreign_xml(spark, sf_dir):
+    """Files under a foreign tag that begin with another element, read without a tag."""
+    path = f"{_folder(spark)}/foreign.xml"
+
+    def write(batches):
+        import pyarrow as pa
+
+        yield pa.RecordBatch.from_pydict({"value": ["<export><info><v>1</v></info>"]})
+        yield from batches
+        yield pa.RecordBatch.from_pydict({"value": ["</export>"]})
+
+    cell = "replace(replace(p_name, '&', '&amp;'), '<', '&lt;')"
+    spark.read.parquet(f"{sf_dir}/part.parquet").repartition(2).selectExpr(
+        f"concat('<rec><key>', p_partkey, '</key><name>', {cell}, '</name></rec>') AS value"
+    ).mapInArrow(write, "value string").write.text(path)
+    return readers.read_xml(spark, path).select("key", "name", "v")
+
+
 def scan_feather(spark, sf_dir):
     """Feather files written by tasks, one per partition, and read back."""
     import os
@@ -707,7 +725,7 @@ def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "drift_findings": drift_findings, "drift_summary": drift_summary,
         "history_latest": history_latest,
         "scan_csv": scan_csv, "scan_ragged_csv": scan_ragged_csv, "scan_json": scan_json,
-        "scan_xml": scan_xml, "scan_feather": scan_feather, "scan_folder": scan_folder,
+        "scan_xml": scan_xml, "scan_foreign_xml": scan_foreign_xml, "scan_feather": scan_feather, "scan_folder": scan_folder,
         "row_id_scan": row_id_scan, "sink_roundtrip": sink_roundtrip, "log_append": log_append,
         "table_fingerprint": table_fingerprint, "file_fingerprint": file_fingerprint,
     }

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from pathlib import PurePosixPath
@@ -16,7 +17,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from plumbline.functions import text
 from plumbline.operators.columns import ROW_ID
-from plumbline.storage import local_table
+from plumbline.storage import checkpoint_dir, local_table
 
 # Rows a single file may hold in the row id; the file number takes the bits above.
 _ROW_BITS = 40
@@ -205,21 +206,88 @@ def read_json(spark: SparkSession, path: str, lines: bool | None = None) -> Data
     return df.withColumn(ROW_ID, F.monotonically_increasing_id())
 
 
-def _first_child(spark: SparkSession, path: str) -> str:
-    """The tag of the first element inside a document's root element."""
-    head = "\n".join(r.value for r in spark.read.text(path).limit(200).collect())
-    tags = re.findall(r"<([A-Za-z_][^\s/>]*)", re.sub(r"<!--.*?-->", "", head, flags=re.S))
-    if len(tags) < 2:
-        raise ValueError("XML without elements inside its root")
-    return tags[1]
+_ROW_TAG = "_plumbline_row"
+#: How markup begins and how it ends; all else is a tag.
+_MARKUP = (("<!--", "-->"), ("<![CDATA[", "]]>"), ("<?", "?>"))
+
+
+def _child_elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The elements inside each file's root, as texts under one tag.
+
+    Rows are (file, value), in file order; a value is a file's text up to the next ``>``.
+    """
+    def rows(found: list[str]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({"value": pa.array(found, pa.string())})
+
+    file, depth, pending, parts = None, 0, "", []
+    yield rows(["<rows>"])                                    # the parser reads one root per file
+    for batch in batches:
+        found = []
+        for name, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            if name != file:
+                if depth:
+                    raise ValueError("XML ends inside an element")
+                file, pending, parts = name, "", []
+            pending += value + ">"
+            at = pending.find("<")
+            if at < 0:
+                parts.append(pending)
+                pending = ""
+                continue
+            tag = pending[at:]
+            end = next((e for b, e in _MARKUP if tag.startswith(b)), None)
+            if end:
+                if not tag.endswith(end) or len(tag) < (7 if end == "-->" else 0):
+                    continue
+            elif tag.startswith("<!"):
+                if tag.count("[") != tag.count("]"):
+                    continue
+            elif re.sub("\"[^\"]*\"|'[^']*'", "", tag).count('"') or re.sub(
+                    "\"[^\"]*\"|'[^']*'", "", tag).count("'"):
+                continue                                      # a > inside an attribute
+            text_before, pending = pending[:at], ""
+            if end or tag.startswith("<!"):
+                parts += [text_before, tag if end == "]]>" else ""]
+                continue
+            closes, empty = tag.startswith("</"), tag.endswith("/>")
+            if not closes and depth == 1:
+                parts, tag = [], re.sub(r"^<[^\s/>]+", f"<{_ROW_TAG}", tag)
+            elif closes and depth == 2:
+                tag = f"</{_ROW_TAG}>"
+            if depth > 1:
+                parts.append(text_before)
+            parts.append(tag)
+            before, depth = depth, depth + (0 if empty else -1 if closes else 1)
+            if (closes and depth == 1) or (empty and before == 1):
+                found.append("".join(parts))
+                parts = []
+        yield rows(found)
+    if depth:
+        raise ValueError("XML ends inside an element")
+    yield rows(["</rows>"])
+
+
+def _rows_of_root(spark: SparkSession, path: str) -> str:
+    """A folder with every element inside the roots, whatever its tag, as one kind of element."""
+    pieces = spark.read.option("lineSep", ">").text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("value"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("place"))
+    rows = pieces.repartition("file").sortWithinPartitions("file", "block", "place").select(
+        "file", "value").mapInArrow(_child_elements, "value string")
+    folder = f"{checkpoint_dir(spark)}/xml-{uuid.uuid4().hex}"
+    rows.write.text(folder)
+    return folder
 
 
 def read_xml(spark: SparkSession, path: str, row_tag: str | None = None) -> DataFrame:
-    """A repeated element as rows, nested values flattened; its tag is found unless given."""
-    tag = row_tag or _first_child(spark, path)
-    df = spark.read.format("xml").option("rowTag", tag).load(path)
+    """A repeated element as rows, nested values flattened; every element inside the root is a
+    row unless a tag is given."""
+    source, tag = (path, row_tag) if row_tag else (_rows_of_root(spark, path), _ROW_TAG)
+    df = spark.read.format("xml").option("rowTag", tag).load(source)
     if not df.columns:
-        raise ValueError(f"no <{tag}> element with content")
+        raise ValueError(f"no <{tag}> element with content" if row_tag
+                         else "XML without elements inside its root")
     return blanks_to_null(flatten(df)).withColumn(ROW_ID, F.monotonically_increasing_id())
 
 

@@ -135,3 +135,12 @@ def test_ragged_rows_next_to_long_quoted_cells(spark, tmp_path):
     df, skipped = readers.read_delimited(spark, str(path))
     assert {r.id: (len(r.t), r.u) for r in df.collect()} == {1: (75_000, None), 3: (75_000, "z")}
     assert skipped.first().skipped_rows == 1
+
+
+def test_xml_children_of_all_tags_are_rows(spark, tmp_path):
+    path = tmp_path / "m.xml"
+    path.write_text("<!-- x > -->\n" * 300 + '<export><info><v>1</v><rec>no</rec></info><rec k="a>b"><a>2</a></rec>'
+                    "<rec><a><![CDATA[<3>]]></a></rec>\n<!-- <rec><a>4</a></rec> --><other><a>5</a></other></export>")
+    rows = readers.read_xml(spark, str(path)).collect()
+    assert [(r.v, r.rec, r.a, r._k) for r in rows] == [
+        (1, "no", None, None), (None, None, "2", "a>b"), (None, None, "<3>", None), (None, None, "5", None)]
