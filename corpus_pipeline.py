@@ -48,7 +48,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [("language", language), ("exact dedup", exact), ("near duplicates", near),
           ("benchmark decontamination", leaks), ("packing", pack)]
 
-#: Language labels and token ids have no SQL form; tests/llm/test_pipeline.py checks the job.
+#: Language labels and token ids have no SQL form; tests/llm/test_corpus_pipeline.py checks the job.
 ORACLE_SQL = None
 
 
