@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from plumbline.llm import (
     automaton_dedup, chat, decontaminate, exact_dedup, html_text, jaccard_join, language_id,
-    line_dedup, packing, suffix_dedup)
+    line_dedup, packing, ranked_search, suffix_dedup)
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -69,6 +69,11 @@ def op10_pack(spark, sf_dir):
                                   tokenizer_path(packing.TOKENIZER))
 
 
+def op13_ranked_search(spark, sf_dir):
+    return ranked_search.rank_documents(_read(spark, sf_dir, "documents"),
+                                        _read(spark, sf_dir, "benchmark"))
+
+
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_suffix_dedup": op1_suffix_dedup,
@@ -81,6 +86,7 @@ def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_language_id": op8_language_id,
         "op9_exact_dedup": op9_exact_dedup,
         "op10_pack": op10_pack,
+        "op13_ranked_search": op13_ranked_search,
     }
 
 
@@ -92,6 +98,7 @@ def statements() -> dict[str, str]:
         "op6_jaccard_join": _JACCARD_JOIN,
         "op7_decontaminate": _DECONTAMINATE,
         "op9_exact_dedup": _EXACT_DEDUP,
+        "op13_ranked_search": _RANKED_SEARCH,
     }
 
 
@@ -250,3 +257,37 @@ SELECT s.doc_id, len(s.shingles)::BIGINT AS n_shingles,
 FROM sets s LEFT JOIN distinct_sets d ON len(s.shingles) > 0 AND list_sort(s.shingles) = d.shingles
      LEFT JOIN parts p ON p.node = d.node
 """
+
+_RANKED_SEARCH = r"""
+WITH held AS (
+    SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+           'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+    FROM documents
+), wanted AS (
+    SELECT item_id, term, count(*) AS times FROM (
+        SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+               'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+        FROM benchmark) GROUP BY item_id, term
+), sizes AS (
+    SELECT doc_id, count(*) AS n FROM held GROUP BY doc_id
+), totals AS (
+    SELECT count(*) AS docs, sum(n)::BIGINT AS terms FROM sizes
+), counted AS (
+    SELECT doc_id, term, count(*) AS tf FROM held
+    WHERE term IN (SELECT term FROM wanted) GROUP BY doc_id, term
+), weights AS (
+    SELECT term, floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1)))::BIGINT AS w
+    FROM counted, totals GROUP BY term, docs
+), measures AS (
+    SELECT doc_id, 100 - 75 + (75 * n * docs) // terms AS m FROM sizes, totals
+), scored AS (
+    SELECT item_id, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+    FROM counted JOIN wanted USING (term) JOIN weights USING (term) JOIN measures USING (doc_id)
+    GROUP BY item_id, doc_id
+), ranked AS (
+    SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank,
+           doc_id, score
+    FROM scored WHERE score > 0
+)
+SELECT * FROM ranked WHERE rank <= 10
+"""
