@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from plumbline.llm import (
     automaton_dedup, chat, decontaminate, exact_dedup, html_text, jaccard_join, language_id,
-    line_dedup, packing, periodic_runs, ranked_search, suffix_dedup)
+    line_dedup, packing, periodic_runs, ranked_search, robust_quality,
+    suffix_dedup)
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -69,6 +70,10 @@ def op10_pack(spark, sf_dir):
                                   tokenizer_path(packing.TOKENIZER))
 
 
+def op11_robust_quality(spark, sf_dir):
+    return robust_quality.judge(_read(spark, sf_dir, "documents"))
+
+
 def op12_periodic_runs(spark, sf_dir):
     return periodic_runs.digests(periodic_runs.periodic_runs(
         _read(spark, sf_dir, "documents"), text=periodic_runs.repeat_some()))
@@ -91,6 +96,7 @@ def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_language_id": op8_language_id,
         "op9_exact_dedup": op9_exact_dedup,
         "op10_pack": op10_pack,
+        "op11_robust_quality": op11_robust_quality,
         "op12_periodic_runs": op12_periodic_runs,
         "op13_ranked_search": op13_ranked_search,
     }
