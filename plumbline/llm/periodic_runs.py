@@ -329,8 +329,10 @@ def repeat_some(id_col: str = "doc_id", text_col: str = "text") -> Column:
     g = F.floor(h / 10)
     a = (g % n).cast("int")
     p = (F.lit(1) + F.floor((n - a) / (3 + g % 8))).cast("int")
-    changed = F.transform(words, lambda w, i: F.when(i < a, w).otherwise(
-        F.get(words, a + (i - a) % p)))
+    # whole periods, cut to the old length; a word is not looked up one by one
+    rest = F.slice(F.flatten(F.array_repeat(
+        F.slice(words, a + 1, p), F.ceil((n - a) / p).cast("int"))), F.lit(1), n - a)
+    changed = F.concat(F.slice(words, F.lit(1), a), rest)
     return F.when((h % 10 == 0) & (n > 0), F.array_join(changed, " ")).otherwise(text)
 
 
