@@ -52,3 +52,29 @@ def leading_tokens(tokens: str) -> str:
     """The rarest tokens; two similar names must share at least one of theirs."""
     return (f"slice({tokens}, 1, size({tokens})"
             f" - cast(ceil(size({tokens}) * {LEAST_SHARE}D - 1e-9D) AS int) + 1)")
+
+
+def fewest_matches(a: str, b: str) -> str:
+    """How many characters two texts of these lengths must have in common to be similar."""
+    return f"cast(ceil({NAME_THRESHOLD / 2}D * ({a} + {b}) - 1e-9D) AS int)"
+
+
+def character_bits(c: str) -> str:
+    """``bits`` marks the first and second occurrence of a text's characters, in 32 classes;
+    ``more`` counts all further ones. Texts share at most as many characters as they share bits,
+    and the smaller of their further ones."""
+    counts = f"""aggregate(filter(split({c}, ''), x -> x != ''),
+        named_struct('bits', 0L, 'more', 0),
+        (s, x) -> named_struct(
+            'bits', s.bits | IF((s.bits & shiftleft(1L, ascii(x) % 32 * 2)) = 0,
+                shiftleft(1L, ascii(x) % 32 * 2), shiftleft(2L, ascii(x) % 32 * 2)),
+            'more', s.more + IF((s.bits & shiftleft(2L, ascii(x) % 32 * 2)) = 0, 0, 1)))"""
+    return counts
+
+
+def similar_bound(a: str, b: str) -> str:
+    """Necessary conditions for the similarity of names, on columns with these suffixes."""
+    least = fewest_matches(f"len{a}", f"len{b}")
+    return (f"least(len{a}, len{b}) >= {least}"
+            f" AND bit_count(bits{a} & bits{b}) + least(more{a}, more{b}) >= {least}"
+            f" AND levenshtein(name{a}, name{b}, len{a} + len{b} - 2 * {least}) >= 0")

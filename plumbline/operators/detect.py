@@ -14,13 +14,17 @@ from plumbline.functions import text
 from plumbline.operators.columns import first_named
 from plumbline.operators.facts import Facts
 from plumbline.operators.frequencies import signal
-from plumbline.operators.neardup import near_duplicates
+from plumbline.operators.neardup import near_duplicates, pair_evidence
 from plumbline.storage import local_table
 
 ISSUE_SCHEMA = (
     "dataset string, column string, issue_type string, severity string, "
     "affected_count bigint, description string"
 )
+EVIDENCE_SCHEMA = (
+    "dataset string, row_a bigint, row_b bigint, similarity double, matching_fields array<string>, "
+    "conflicting_fields array<string>, confidence string, recommended_action string"
+)
 EXAMPLES = 5
 
 _TEXT = "kind = 'text'"
@@ -160,6 +164,19 @@ def near_duplicate_issues(facts: Facts) -> DataFrame:
     return found if found is not None else local_table(facts.spark, [], ISSUE_SCHEMA)
 
 
+def near_duplicate_evidence(facts: Facts) -> DataFrame:
+    """The records behind the near-duplicate issues: rows, similarity, fields that agree or
+    differ, confidence and action, per dataset."""
+    found = None
+    for dataset, df in facts.frames.items():
+        person, email, phone = contact_columns([c["column"] for c in facts.of(dataset)])
+        if person is None:
+            continue
+        one = pair_evidence(df, person, email, phone).selectExpr(f"{text.literal(dataset)} AS dataset", "*")
+        found = one if found is None else found.unionByName(one)
+    return found if found is not None else local_table(facts.spark, [], EVIDENCE_SCHEMA)
+
+
 def detect_issues(
     facts: Facts, required: dict[str, Iterable[str]] | None = None,
     near_duplicate_search: bool = True,

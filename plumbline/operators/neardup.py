@@ -6,9 +6,16 @@ phones are equal or their names are similar. Instead of building every pair of a
 * identical contacts collapse to one record with a count before anything is joined;
 * equal e-mails and phones are reported as groups with their exact number of pairs, so a
   value shared by a third of all rows is one result row;
-* similar names are found by joining on rare characters. Two names at or above the
-  threshold share so many characters that their rarest ones must overlap, so no similar
-  pair is lost. Hot join keys are cut into a grid of bounded cells.
+* similar names of a large block are found by a segment index. The blocks that the ratio matches
+  are in order in both names, so a ratio of 0.82 leaves at most ``d`` characters of the two names
+  unmatched. Of ``d + 1`` segments of the longer name one is therefore whole in the shorter name,
+  moved by no more places than characters are unmatched; names are joined on block, both
+  lengths, segment and its text. Where a segment is as common as a family name, the rest of the
+  longer name is cut into ``d + 1`` segments in turn, and one of those must be there as well.
+  Small blocks are compared directly, and names beyond ``LONGEST`` characters are joined on rare
+  characters: two similar names share so many that their rarest ones must overlap. Whatever meets
+  passes exact bounds (lengths, shared characters, edit distance) before its ratio is taken, so no
+  similar pair is lost. Hot join keys are cut into a grid of bounded cells.
 """
 
 from __future__ import annotations
@@ -16,12 +23,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from plumbline.functions.similarity import (
-    NAME_THRESHOLD, character_tokens, leading_tokens, name_ratio)
-from plumbline.functions.text import block_key, column, email_key, phone_key, strip
+    LEAST_SHARE, NAME_THRESHOLD, character_bits, character_tokens, fewest_matches, leading_tokens,
+    name_ratio, similar_bound)
+from plumbline.functions.text import block_key, column, email_key, literal, phone_key, strip
 from plumbline.operators.columns import ROW_ID, data_columns
+from plumbline.storage import materialise
 
 # Names meeting in one task cell of a hot join key.
 CELL_NAMES = 2000
+# Blocks of up to this many names are compared directly.
+DIRECT_NAMES = 48
+# Characters of the longest name in the segment index; its number of keys grows with the cube.
+LONGEST = 32
+# Pairs that a segment may bring together before the rest of the name is looked at, too.
+COMMON_PAIRS = 4096
+
+# Fixed values of the evidence.
+CONFIDENCE = "LOW"
+ACTION = "Review manually; do not auto-merge or delete."
 
 RESULT_COLUMNS = [
     "kind", "block", "key", "name_a", "name_b", "first_row_a", "first_row_b",
@@ -97,7 +116,82 @@ def equal_groups(found: DataFrame) -> DataFrame:
     return by_email.unionByName(by_phone).unionByName(by_name).where("pair_count > 0")
 
 
-def _candidates(names: DataFrame, cell_names: int) -> DataFrame:
+def _sides(names: DataFrame, *keep: str) -> tuple[DataFrame, DataFrame]:
+    """Two copies of rows for a self-join, their name columns told apart."""
+    columns = ["name", "first_row", "len", "bits", "more"]
+    return tuple(names.selectExpr(*keep, *(f"{c} AS {c}_{side}" for c in columns)) for side in "ab")
+
+
+def _direct(names: DataFrame) -> DataFrame:
+    a, b = _sides(names, "block")
+    return a.join(b, "block").where(f"name_a < name_b AND {similar_bound('_a', '_b')}")
+
+
+def _segments(names: DataFrame, longer: bool) -> DataFrame:
+    """Segments of names as the longer name of a pair, or where they may lie in a shorter one.
+
+    ``la`` and ``lb`` are the lengths of the shorter and the longer name, ``d`` how many of their
+    characters may be unmatched, ``low`` and ``high`` how far a segment may have moved.
+    """
+    share = f"{LEAST_SHARE}D"
+    if longer:
+        sized = names.where("len > 1").selectExpr(
+            "*", "len AS lb", f"explode(sequence(cast(ceil(len * {share} - 1e-9D) AS int), len)) AS la")
+    else:
+        sized = names.where("len > 0").selectExpr(
+            "*", "len AS la", f"explode(sequence(len, cast(floor(len / {share} + 1e-9D) AS int))) AS lb"
+        ).where(f"lb <= {LONGEST}")
+    # equal lengths without an unmatched character are equal names
+    sized = sized.selectExpr("*", f"{fewest_matches('la', 'lb')} AS m").selectExpr(
+        "*", "la + lb - 2 * m AS d", "m - lb AS low", "la - m AS high").where("d > 0 AND la >= m")
+    return sized.selectExpr("*", "explode(sequence(0, d)) AS segment").selectExpr(
+        "*", "cast(segment * lb DIV (d + 1) AS int) AS start",
+        "cast((segment + 1) * lb DIV (d + 1) AS int) AS stop")
+
+
+def _texts(rows: DataFrame, key: str, start: str, size: str, longer: bool) -> DataFrame:
+    """``k``: the hash of ``key`` and of the text there, for the shorter name at every place it
+    may have moved to."""
+    if longer:
+        return rows.selectExpr("*", f"xxhash64({key}, substring(name, {start} + 1, {size})) AS k")
+    places = f"sequence(greatest(0, {start} + low), least(la - {size}, {start} + high))"
+    return rows.where(f"greatest(0, {start} + low) <= least(la - {size}, {start} + high)").selectExpr(
+        "*", f"explode(array_distinct(transform({places}, p -> xxhash64({key},"
+        f" substring(name, p + 1, {size}))))) AS k")
+
+
+def _segment_pairs(names: DataFrame, common_pairs: int) -> DataFrame:
+    key, size = "block, la, lb, segment", "(stop - start)"
+    longer, shorter = (_texts(_segments(names, side), key, "start", size, side) for side in (True, False))
+    counts = [rows.groupBy("k").agg(F.count("*").alias(n)) for rows, n in ((longer, "n"), (shorter, "m"))]
+    met = counts[0].join(counts[1], "k")
+    met = materialise(met.selectExpr("k", f"n * m > {common_pairs} AS common"))
+    longer, shorter = (rows.join(met, "k") for rows in (longer, shorter))
+    columns = ["block", "name", "first_row", "len", "bits", "more"]
+
+    def pairs(one: DataFrame, two: DataFrame) -> DataFrame:
+        a = one.selectExpr("k", *(f"{c} AS {c}_a" for c in columns))
+        b = two.selectExpr("k", *(f"{c} AS {c}_b" for c in columns))
+        # a hash that names two texts only costs time
+        return a.join(b, "k").where(
+            "block_a = block_b AND (len_a > len_b OR (len_a = len_b AND name_a < name_b))"
+            f" AND {similar_bound('_a', '_b')}").selectExpr(
+            "block_a AS block", "name_a", "name_b", "first_row_a", "first_row_b")
+
+    # the rest of the longer name in d + 1 parts; one over the segment ends before it
+    rest = f"(lb - {size})"
+    begin, end = f"(part * {rest} DIV (d + 1))", f"((part + 1) * {rest} DIV (d + 1))"
+    fine = [
+        _texts(rows.where("common").withColumnRenamed("k", "whole").selectExpr(
+            "*", "explode(sequence(0, d)) AS part").selectExpr(
+            "*", f"cast({begin} + IF({begin} >= start, {size}, 0) AS int) AS at",
+            f"cast(IF({begin} < start AND {end} > start, start, {end}) - {begin} AS int) AS width"),
+            "whole, part", "at", "width", side)
+        for rows, side in ((longer, True), (shorter, False))]
+    return pairs(longer.where("NOT common"), shorter.where("NOT common")).unionByName(pairs(*fine))
+
+
+def _rare_characters(names: DataFrame, cell_names: int) -> DataFrame:
     """Pairs of distinct names of a block that share a rare character and enough others."""
     tokens = names.selectExpr("*", f"{character_tokens('name')} AS tokens")
     keyed = tokens.selectExpr("*", f"{leading_tokens('tokens')} AS leading").selectExpr(
@@ -107,30 +201,43 @@ def _candidates(names: DataFrame, cell_names: int) -> DataFrame:
         .where(f"size > {cell_names}")
         .selectExpr("block", "token", f"cast(ceil(size / {cell_names}) AS int) AS side"))
     placed = keyed.join(sizes, ["block", "token"], "left").selectExpr(
-        "block", "token", "name", "first_row", "tokens", "leading",
+        "block", "token", "name", "first_row", "len", "bits", "more", "leading",
         "coalesce(side, 1) AS side",
         "cast(pmod(xxhash64(name), coalesce(side, 1)) AS int) AS cell")
     # cell (p, q) of the grid joins the names of part p with those of part q
-    a = placed.selectExpr(
-        "block", "token", "cell AS p", "explode(sequence(cell, side - 1)) AS q",
-        "name AS name_a", "first_row AS first_a", "tokens AS tokens_a", "leading AS leading_a")
-    b = placed.selectExpr(
-        "block", "token", "explode(sequence(0, cell)) AS p", "cell AS q",
-        "name AS name_b", "first_row AS first_b", "tokens AS tokens_b", "leading AS leading_b")
-    total = "(size(tokens_a) + size(tokens_b))"
+    a, b = _sides(placed, "block", "token", "side", "cell", "leading")
+    a = a.selectExpr("*", "cell AS p", "explode(sequence(cell, side - 1)) AS q").drop("cell", "side")
+    b = b.selectExpr("*", "explode(sequence(0, cell)) AS p", "cell AS q").drop("cell", "side")
     return (
-        a.join(b, ["block", "token", "p", "q"])
-        .where("p < q OR name_a < name_b")
-        .where(f"2 * least(size(tokens_a), size(tokens_b)) >= {NAME_THRESHOLD}D * {total} - 1e-9D")
+        a.withColumnRenamed("leading", "leading_a")
+        .join(b.withColumnRenamed("leading", "leading_b"), ["block", "token", "p", "q"])
+        .where(f"p < q OR name_a < name_b").where(f"greatest(len_a, len_b) > {LONGEST}")
+        .where(similar_bound("_a", "_b"))
         # a pair meets under every shared token: keep its rarest one only
-        .where("array_intersect(leading_a, leading_b)[0] = token")
-        .where(f"2 * size(array_intersect(tokens_a, tokens_b)) >= {NAME_THRESHOLD}D * {total} - 1e-9D")
-        .selectExpr(
-            "block",
-            "CASE WHEN first_a <= first_b THEN name_a ELSE name_b END AS name_a",
-            "CASE WHEN first_a <= first_b THEN name_b ELSE name_a END AS name_b",
-            "least(first_a, first_b) AS first_row_a",
-            "greatest(first_a, first_b) AS first_row_b"))
+        .where("array_intersect(leading_a, leading_b)[0] = token"))
+
+
+def candidates(names: DataFrame, cell_names: int = CELL_NAMES, direct_names: int = DIRECT_NAMES,
+               common_pairs: int = COMMON_PAIRS) -> DataFrame:
+    """Pairs of distinct names of a block that may be similar, the one that appears first first."""
+    names = names.selectExpr("block", "name", "first_row", "length(name) AS len",
+                             f"inline(array({character_bits('name')}))")
+    sizes = names.groupBy("block").agg(F.count("*").alias("size"))
+    large = materialise(sizes.where(f"size > {direct_names}").select("block"))
+    small = materialise(sizes.where(f"size > 1 AND size <= {direct_names}").select("block"))
+    inside = materialise(names.join(large, "block", "left_semi"))
+    columns = ["block", "name_a", "name_b", "first_row_a", "first_row_b"]
+    found = (
+        _direct(names.join(small, "block", "left_semi")).select(*columns)
+        .unionByName(_segment_pairs(inside.where(f"len <= {LONGEST}"), common_pairs).select(*columns))
+        .unionByName(_rare_characters(
+            inside.where(f"len >= floor({LONGEST} * {LEAST_SHARE}D)"), cell_names).select(*columns)))
+    return found.selectExpr(
+        "block",
+        "CASE WHEN first_row_a <= first_row_b THEN name_a ELSE name_b END AS name_a",
+        "CASE WHEN first_row_a <= first_row_b THEN name_b ELSE name_a END AS name_b",
+        "least(first_row_a, first_row_b) AS first_row_a",
+        "greatest(first_row_a, first_row_b) AS first_row_b").distinct()
 
 
 def similar_names(found: DataFrame, cell_names: int = CELL_NAMES) -> DataFrame:
@@ -141,8 +248,8 @@ def similar_names(found: DataFrame, cell_names: int = CELL_NAMES) -> DataFrame:
     """
     names = found.where("name != ''").groupBy("block", "name").agg(
         F.expr("sum(n) AS n"), F.expr("min(first_row) AS first_row"))
-    similar = (
-        _candidates(names, cell_names)
+    similar = materialise(
+        candidates(names, cell_names)
         .withColumn("similarity", name_ratio("name_a", "name_b"))
         .where(f"similarity >= {NAME_THRESHOLD}D"))
     counts = names.select("block", "name", "n")
@@ -180,3 +287,51 @@ def near_duplicates(
     groups = equal_groups(found)
     pairs = similar_names(found, cell_names)
     return groups.unionByName(pairs, allowMissingColumns=True).select(*RESULT_COLUMNS)
+
+
+def pair_evidence(
+    df: DataFrame, person: str | None, email: str | None, phone: str | None,
+    cell_names: int = CELL_NAMES,
+) -> DataFrame:
+    """Pairs of records to review, with what agrees and what differs.
+
+    ``row_a`` and ``row_b`` (the earlier row first), ``similarity`` of the names, the names of
+    ``matching_fields`` (a similar, not equal name is marked with ``~``) and of
+    ``conflicting_fields``, ``confidence`` and ``recommended_action``. A record stands for all
+    with its name, e-mail and phone. Records of one e-mail, phone or name are linked to the first
+    of them instead of to each other, so a shared mailbox gives a row per record; similar names
+    are linked by their first records.
+    """
+    found = materialise(contacts(df, person or email or phone, email, phone))
+    links = None
+    for key in ("email", "phone", "name"):
+        held = found.where(f"coalesce({key}, '') != ''")
+        first = held.groupBy("block", key).agg(F.min("first_row").alias("row_a"), F.count("*").alias("m"))
+        one = held.join(first.where("m > 1"), ["block", key]).where("row_a < first_row").selectExpr(
+            "row_a", "first_row AS row_b")
+        links = one if links is None else links.unionByName(one)
+    similar = similar_names(found, cell_names).selectExpr("first_row_a AS row_a", "first_row_b AS row_b")
+    sides = [found.selectExpr(f"first_row AS row_{x}", *(f"{c} AS {c}_{x}" for c in ("name", "email", "phone")))
+             for x in "ab"]
+    pairs = links.unionByName(similar).distinct().join(sides[0], "row_a").join(sides[1], "row_b")
+    # records that are equal in all three but not in the rest of their columns
+    alike = found.where("n * (n - 1) DIV 2 > identical_pairs").selectExpr(
+        "first_row AS row_a", "first_row AS row_b", *(
+            f"{c} AS {c}_{x}" for x in "ab" for c in ("name", "email", "phone")))
+    named = "(name_a != '' AND name_b != '')"
+    pairs = pairs.unionByName(alike).withColumn("ratio", name_ratio("name_a", "name_b")).selectExpr(
+        "*", f"IF({named}, ratio, 0D) AS similarity")
+    fields = [(c, name) for c, name in (("email", email), ("phone", phone)) if name]
+    agree = [f"IF({c}_a = {c}_b, {literal(name)}, null)" for c, name in fields]
+    differ = [f"IF({c}_a != {c}_b, {literal(name)}, null)" for c, name in fields]
+    if person:
+        close = f"similarity >= {NAME_THRESHOLD}D"
+        agree.append(f"CASE WHEN NOT {named} THEN null WHEN name_a = name_b THEN {literal(person)}"
+                     f" WHEN {close} THEN {literal(person + '~')} END")
+        differ.append(f"IF({named} AND name_a != name_b AND NOT {close}, {literal(person)}, null)")
+    kept = "filter(array({}), x -> x IS NOT NULL)"
+    return pairs.selectExpr(
+        "row_a", "row_b", "bround(similarity, 3) AS similarity",
+        f"{kept.format(', '.join(agree))} AS matching_fields",
+        f"{kept.format(', '.join(differ))} AS conflicting_fields",
+        f"{literal(CONFIDENCE)} AS confidence", f"{literal(ACTION)} AS recommended_action")

@@ -633,6 +633,21 @@ UNION ALL SELECT 'orders', run_id, old, 'distribution_drift_std', col, 'low',
   round_even(round(s0, 4), 2)::VARCHAR, round_even(round(s1, 4), 2)::VARCHAR FROM f WHERE s0 <> 0 AND abs(s1 - s0) / abs(s0) > 0.2)"""
 
 
+def _close_names() -> str:
+    """All pairs of names of a block, by brute force."""
+    return f"""WITH contacts AS ({inputs.CONTACTS}), keyed AS (
+    SELECT lower(trim(full_name)) AS name, lower(trim(email)) AS e,
+           regexp_replace(phone, '[^0-9]', '', 'g') AS p FROM contacts
+), names AS (
+    SELECT DISTINCT CASE WHEN e <> '' THEN 'email:' || e[1:3] ELSE 'phone:' || right(p, 6) END AS block, name
+    FROM keyed WHERE name <> '' AND (e <> '' OR p <> '')
+)
+SELECT a.block, a.name AS name_a, b.name AS name_b
+FROM names a JOIN names b ON a.block = b.block AND a.name < b.name
+WHERE 2 * levenshtein(a.name, b.name)
+      <= length(a.name) + length(b.name) - 2 * ceil(0.41 * (length(a.name) + length(b.name)) - 1e-9)"""
+
+
 def statements() -> dict[str, str]:
     return {
         "numeric_profile": _typed("""
@@ -787,6 +802,7 @@ SELECT 'orders.csv' AS dataset, 'customer_id' AS "column", 'customers.csv' AS "r
   (SELECT customer_id::VARCHAR AS k FROM orphans ORDER BY k LIMIT 5)) AS orphan_examples"""),
         "relationship_readiness": _linked_scores(),
         "near_duplicate_groups": f"{WITH},\n{_pairs('dirty_customer', 'customer_id')}",
+        "close_names": _close_names(),
         "near_duplicate_contacts": f"WITH contacts AS ({inputs.CONTACTS}),\n{_pairs('contacts', 'contact_id')}",
         "lineage": f"WITH {_LINEAGE}\n{_lineage_rows()}",
         "data_dictionary": _dictionary(),

@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from plumbline.functions import dates, numbers, text
+from plumbline.functions.similarity import fewest_matches
 from plumbline.operators import (
     cleaning, columns, detect, drift, governance, neardup, policy, readiness, relationships,
     scoring, validation)
@@ -396,6 +397,26 @@ def similar_names(spark, sf_dir):
     return neardup.similar_names(found).drop("first_row_a", "first_row_b")
 
 
+def close_names(spark, sf_dir):
+    """Names of a block within half the edits that a similar name may have: pairs that the
+    segment index must not miss, in a form that SQL can state."""
+    found = neardup.contacts(table(spark, sf_dir, "contacts"), "full_name", "email", "phone")
+    names = found.where("name != ''").groupBy("block", "name").agg(
+        F.min("first_row").alias("first_row"))
+    spare = f"length(name_a) + length(name_b) - 2 * {fewest_matches('length(name_a)', 'length(name_b)')}"
+    pairs = neardup.candidates(names).where(f"2 * levenshtein(name_a, name_b) <= {spare}")
+    return pairs.selectExpr("block", "least(name_a, name_b) AS name_a", "greatest(name_a, name_b) AS name_b")
+
+
+def near_duplicate_pairs(spark, sf_dir):
+    """What agrees and what differs in near-duplicate records, by number of records."""
+    spark.read.parquet(f"{sf_dir}/customer.parquet").createOrReplaceTempView("customer")
+    rows = spark.sql(inputs.CONTACTS).withColumn(ROW_ID, F.col("contact_id"))
+    return detect.near_duplicate_evidence(build_facts({"contacts": rows}, AS_OF)).selectExpr(
+        "row_a", "row_b", "similarity", "array_join(matching_fields, '|') AS matching",
+        "array_join(conflicting_fields, '|') AS conflicting", "confidence", "recommended_action")
+
+
 def near_duplicate_issue(spark, sf_dir):
     known = build_facts(frames(spark, sf_dir, "contacts"), AS_OF)
     return detect.near_duplicate_issues(known)
@@ -721,6 +742,7 @@ def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "near_duplicate_contacts": on(
             near_duplicate_groups, "contacts", "full_name", "email", "phone"),
         "similar_names": similar_names, "near_duplicate_issue": near_duplicate_issue,
+        "close_names": close_names, "near_duplicate_pairs": near_duplicate_pairs,
         "lineage": on(lineage, "dirty_orders"), "data_dictionary": on(data_dictionary, "dirty_orders"),
         "drift_findings": drift_findings, "drift_summary": drift_summary,
         "history_latest": history_latest,
