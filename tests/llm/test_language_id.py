@@ -29,7 +29,7 @@ def model(rows):
 
 
 def test_held_out_accuracy(spark, rows):
-    odd = [(1000, None, "aa"), (1001, "", "bb"), (1002, "12 | 34 !", "cc"), (None, "kalomi", "aa"),
+    odd = [(1000, None, "aa"), (1001, "", "bb"), (1002, "12 | 34 !", "cc"), (1005, "\u00bd \u00b2 \u2167 \u2460 12", "aa"), (None, "kalomi", "aa"),
            (1003, rows[0][1], None), (1003, rows[0][1], None), (1004, "kalo " * 5000, "bb")]
     table = spark.createDataFrame(
         [(i, t, lang, "x", 1.0) for i, t, lang in rows + odd],
@@ -43,11 +43,11 @@ def test_held_out_accuracy(spark, rows):
     right = [r.lang_pred == truth[r.doc_id] for r in found if r.doc_id in truth and r.held_out]
     assert sum(right) >= 0.95 * len(right) and len(right) > 20
     by_id = {r.doc_id: r for r in found}
-    assert all((by_id[i].lang_pred, by_id[i].score) == ("und", 0.0) for i in (1000, 1001, 1002))
+    assert all((by_id[i].lang_pred, by_id[i].score) == ("und", 0.0) for i in (1000, 1001, 1002, 1005))
     assert by_id[None].lang_pred == "aa" and by_id[1003].lang_pred == rows[0][2]
     kept = lid.keep_identified(table, lid.train(table))
     assert kept.columns == table.columns
-    assert not {1000, 1001, 1002} & {r.doc_id for r in kept.collect()}
+    assert not {1000, 1001, 1002, 1005} & {r.doc_id for r in kept.collect()}
 
 
 def test_code_switched_words_get_their_own_labels(model):
@@ -91,7 +91,7 @@ def test_runs_without_spaces_are_judged_whole(model):
     rng = random.Random(4)
     run = "".join(prose(rng, "aa", 30))[:40] + "".join(prose(rng, "bb", 200))
     assert lid.Labeller(model).label([run])[0][0] == "bb"
-    assert sum(map(len, lid._WORD.findall(run))) == len(run)
+    assert sum(map(len, lid.words_of(run))) == len(run)
 
 
 def test_rare_labels_are_learned_unless_a_limit_is_given(spark):
@@ -105,3 +105,31 @@ def test_rare_labels_are_learned_unless_a_limit_is_given(spark):
     small = table.where("doc_id % 600 < 3")
     assert len(lid.train(small, max_labels=2).labels) == 2
     assert len(lid.train(small).labels) == 3
+
+
+def test_switched_languages_are_sure_and_noise_is_not(model):
+    rng = random.Random(6)
+    mixed = " ".join(w for _ in range(20) for lang in SYLLABLES for w in prose(rng, lang, 6))
+    noise = " ".join("".join(rng.choices("qwxzjy", k=rng.randint(2, 9))) for _ in range(200))
+    (_, score, sure), = lid.Labeller(model).label([mixed])
+    assert score < 0.6 and sure > 0.85
+    assert lid.Labeller(model).label([noise])[0][2] < sure
+
+
+def test_many_labels_keep_the_model_bounded(monkeypatch):
+    monkeypatch.setattr(lid, "MODEL_CELLS", 1 << 12)
+    model = lid.fit([(f"l{k}", f"{chr(97 + k)}{chr(97 + k)}x word" * 3) for k in range(20)])
+    assert len(model.labels) == 20 and model.weights.size <= 1 << 12
+
+
+def test_training_memory_follows_the_block():
+    import tracemalloc
+
+    rng = random.Random(7)
+    texts = [(lang, " ".join(w + "".join(rng.choices("abc", k=3)) for w in prose(rng, lang, 200)) + " " + "x" * 40)
+             for lang in SYLLABLES for _ in range(200)]
+    tracemalloc.start()
+    lid.fit(texts, epochs=1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 250e6
