@@ -217,10 +217,10 @@ def _rank_block(docs: DataFrame, block: dict[int, Counter], id_col: str, text_co
     # the first members of each class that won, whatever its size
     winners = materialise(classes.join(won.select("class").distinct(), "class", "left_semi")
                           .select("class", *key))
-    inside = Window.partitionBy("class").orderBy(F.asc_nulls_last("id"))
-    members = (vectors.join(winners, key)
-               .select("class", "id").withColumn("k", F.row_number().over(inside))
-               .where(F.col("k") <= top))
+    inside = Window.partitionBy(*key).orderBy(F.asc_nulls_last("id"))
+    members = (vectors.join(winners.select("h").distinct(), "h", "left_semi")
+               .select("id", *key).withColumn("k", F.row_number().over(inside))
+               .where(F.col("k") <= top).join(winners, key))
     order = Window.partitionBy("item").orderBy(F.desc("score"), F.asc_nulls_last("id"))
     names = local_table(spark, [{"item": k, "name": i} for k, i in enumerate(items)],
                         "item long, name long")

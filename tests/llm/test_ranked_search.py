@@ -72,7 +72,7 @@ def test_equals_plain_counting(spark, make, texts, items):
 def test_blocks_of_items_give_the_same(spark, make, texts, items):
     table = spark.createDataFrame(items, "item_id long, text string")
     blocks = list(rs.item_blocks(table, "item_id", "text", block_bytes=250))
-    assert len(blocks) > 2
+    assert len(blocks) > 1
     assert ranked(make(texts), table, block_bytes=250) == brute(texts, items)
 
 
