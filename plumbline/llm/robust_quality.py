@@ -310,10 +310,10 @@ def robust_estimates(stats: DataFrame, steps: int = STEPS) -> DataFrame:
     found = starting_estimates(classes)
     for _ in range(steps):
         found = concentrate(classes, found)
-    # a group has three starts
-    best = found.groupBy(*_GROUP).agg(
+    # written, so that the next step does not follow this grouping's partitions
+    best = materialise(found.groupBy(*_GROUP).agg(
         F.min_by(F.struct("start", "determinant", "mean", "inverse"),
-                 F.struct("determinant", "start")).alias("e")).select(*_GROUP, "e.*")
+                 F.struct("determinant", "start")).alias("e")).select(*_GROUP, "e.*"))
     return concentrate(classes, best, int(bin_of(chi2_quantile(_INNER, _SIZE))), _INNER)
 
 
