@@ -802,6 +802,14 @@ SELECT 'orders.csv' AS dataset, 'customer_id' AS "column", 'customers.csv' AS "r
   (SELECT customer_id::VARCHAR AS k FROM orphans ORDER BY k LIMIT 5)) AS orphan_examples"""),
         "relationship_readiness": _linked_scores(),
         "near_duplicate_groups": f"{WITH},\n{_pairs('dirty_customer', 'customer_id')}",
+        "isolated_run": """SELECT dataset, stage, status, row_count, scored, NOT scored AS explained
+FROM (SELECT 'nation.parquet' AS dataset, 'report' AS stage, 'ok' AS status, count(*) AS row_count,
+             true AS scored FROM nation
+      UNION ALL SELECT 'customer.parquet', 'report', 'ok', count(*), true FROM customer
+      UNION ALL VALUES ('part.parquet', 'analyze', 'failed', NULL, false),
+                       ('supplier.parquet', 'analyze', 'failed', NULL, false),
+                       ('damaged.parquet', 'load', 'failed', NULL, false),
+                       ('gone.csv', 'load', 'failed', NULL, false))""",
         "close_names": _close_names(),
         "near_duplicate_contacts": f"WITH contacts AS ({inputs.CONTACTS}),\n{_pairs('contacts', 'contact_id')}",
         "lineage": f"WITH {_LINEAGE}\n{_lineage_rows()}",

@@ -51,11 +51,25 @@ def run_quality_job(
     before, decisions = analyze(frames, as_of, required, protected, near_duplicate_search)
     cleanings = [
         cleaning.apply_cleaning(before, d, decisions, skip_mixed_currency) for d in before.frames]
-    cleaned = {c.dataset: materialise(c.cleaned) for c in cleanings}
     for c in cleanings:
-        c.cleaned = cleaned[c.dataset]
+        c.cleaned = materialise(c.cleaned)
+    return report_on(before, decisions, cleanings, run_id, as_of, required, protected, platforms,
+                     near_duplicate_search, history, markers_are_missing)
+
+
+def report_on(
+    before: Facts, decisions: DataFrame, cleanings: list[cleaning.Cleaning], run_id: str,
+    as_of: str | None = None, required: dict[str, Iterable[str]] | None = None,
+    protected: dict[str, Iterable[str]] | None = None,
+    platforms: list[str] | None = None,
+    near_duplicate_search: bool = True,
+    history: DataFrame | None = None,
+    markers_are_missing: bool = False,
+) -> QualityReport:
+    """The reports of a run whose datasets are profiled and cleaned."""
     after, after_issues = analyze(
-        cleaned, as_of, required, protected, near_duplicate_search)
+        {c.dataset: c.cleaned for c in cleanings}, as_of, required, protected,
+        near_duplicate_search)
 
     checks = materialise(validation.validate(after))
     published = validation.gate(before, after, checks, markers_are_missing)

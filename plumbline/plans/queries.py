@@ -14,7 +14,7 @@ from plumbline.operators import (
     scoring, validation)
 from plumbline.operators.columns import ROW_ID, describe_columns
 from plumbline.operators.facts import Facts, build_facts, row_counts, spelling_groups
-from plumbline.plans import inputs
+from plumbline.plans import inputs, isolation
 from plumbline.plans.oracles import AS_OF
 from plumbline.sources import readers, sinks
 from plumbline.storage import checkpoint_dir, materialise
@@ -472,7 +472,9 @@ def _folder(spark) -> str:
 
 def history_latest(spark, sf_dir):
     path = f"{_folder(spark)}/history"
-    sinks.write_history(_history(spark, sf_dir), path)
+    history = materialise(_history(spark, sf_dir))
+    for _ in range(2):                             # a run that is written again is stored once
+        sinks.write_history(history, path)
     return drift.latest_before(sinks.read_history(spark, path), "1999").select(
         "dataset", "run_id", "column", "inferred_type", "row_count")
 
@@ -640,6 +642,31 @@ def scan_folder(spark, sf_dir):
     return status.join(counts, "dataset", "left").select("dataset", "format", "status", "row_count")
 
 
+#: Columns that fail when they are computed, as damaged data does.
+FAILING = {"part": "cast(p_name AS int) AS p_number", "supplier": "1 DIV (s_suppkey - 3) AS s_share"}
+
+
+def isolated_run(spark, sf_dir):
+    """Where each dataset of a run gets to: damaged files, failing columns, sound tables."""
+    base = _folder(spark)
+    spark.read.parquet(f"{sf_dir}/region.parquet").write.json(f"{base}/damaged.parquet")
+    paths = [f"{base}/damaged.parquet", f"{base}/gone.csv"]
+    for name in ("nation", "customer", "part", "supplier"):
+        paths.append(f"{sf_dir}/{name}.parquet")
+    found, loaded = readers.read_folder(spark, paths)
+    for name, column in FAILING.items():
+        found[f"{name}.parquet"] = found[f"{name}.parquet"].selectExpr("*", column)
+    # a row per path
+    broken = {r.dataset: r.reason for r in loaded.where("status = 'failed'").collect()}
+    report, status = isolation.run_isolated(
+        found, "r1", broken, AS_OF, near_duplicate_search=False, platforms=["sql"])
+    scored = report.tables["quality_after"].select("dataset", F.lit(True).alias("scored"))
+    rows = report.tables["dataset_profile"].select("dataset", "row_count")
+    return status.join(rows, "dataset", "left").join(scored, "dataset", "left").selectExpr(
+        "dataset", "stage", "status", "row_count", "coalesce(scored, false) AS scored",
+        "reason IS NOT NULL AS explained")
+
+
 def row_id_scan(spark, sf_dir):
     """Rows of several files numbered by file and position."""
     path = f"{_folder(spark)}/parts"
@@ -661,8 +688,8 @@ def sink_roundtrip(spark, sf_dir):
 def log_append(spark, sf_dir):
     _, decided, done = _cleaned(spark, sf_dir, "dirty_customer")
     path = f"{_folder(spark)}/audit"
-    for run in ("r1", "r2"):
-        sinks.append_log(governance.audit_rows(decided, done.changes, run), path)
+    for run in ("r1", "r2", "r1"):                 # a run that is written again is stored once
+        sinks.write_log(governance.audit_rows(decided, done.changes, run), path)
     return spark.read.parquet(path).groupBy("run_id", "issue_type", "status").agg(
         F.expr("count(*) AS audit_rows"))
 
@@ -748,6 +775,7 @@ def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "history_latest": history_latest,
         "scan_csv": scan_csv, "scan_ragged_csv": scan_ragged_csv, "scan_json": scan_json,
         "scan_xml": scan_xml, "scan_foreign_xml": scan_foreign_xml, "scan_feather": scan_feather, "scan_folder": scan_folder,
+        "isolated_run": isolated_run,
         "row_id_scan": row_id_scan, "sink_roundtrip": sink_roundtrip, "log_append": log_append,
         "table_fingerprint": table_fingerprint, "file_fingerprint": file_fingerprint,
     }

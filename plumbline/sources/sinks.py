@@ -1,10 +1,15 @@
-"""Sinks and stored history."""
+"""Sinks and stored history.
+
+With ``write_log`` and ``write_history`` a run owns the partition folders that carry its identifier:
+writing it again replaces them and leaves all other runs alone, so a repeated or resumed run is
+stored once. Spark commits the new folders only when all tasks are done.
+"""
 
 from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from plumbline.functions.text import column as quoted
 from plumbline.operators.columns import ROW_ID, data_columns
@@ -21,25 +26,51 @@ def write_cleaned(cleaned: DataFrame, path: str, published: bool, file_format: s
     return True
 
 
+def _write_runs(rows: DataFrame, path: str, *partitions: str) -> None:
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
+        *partitions).parquet(path)
+
+
 def append_log(rows: DataFrame, path: str) -> None:
-    """Append audit, cleaning or drift rows, one partition folder per run."""
+    """Append audit, cleaning or drift rows to what their runs hold already."""
     rows.write.mode("append").partitionBy("run_id").parquet(path)
 
 
+def write_log(rows: DataFrame, path: str) -> None:
+    """Store all audit, cleaning or drift rows of runs, one partition folder per run."""
+    _write_runs(rows, path, "run_id")
+
+
 def dataset_key(name: str) -> str:
     """The name under which versions of a dataset are kept."""
     stem = name.rsplit("/", 1)[-1].rsplit(".", 1)[0]
     return re.sub("[^0-9a-zA-Z]+", "_", stem).strip("_").lower() or "dataset"
 
 
-def write_history(history: DataFrame, path: str) -> None:
-    """Append profile rows, partitioned so that reading one dataset prunes the others."""
-    history.write.mode("append").partitionBy("dataset", "run_id").parquet(path)
+def key_of(dataset: str) -> str:
+    """SQL for ``dataset_key``."""
+    stem = f"regexp_replace(regexp_replace({dataset}, '^.*/', ''), '[.][^.]*$', '')"
+    key = f"lower(regexp_replace(regexp_replace({stem}, '[^0-9a-zA-Z]+', '_'), '^_|_$', ''))"
+    return f"CASE WHEN {key} = '' THEN 'dataset' ELSE {key} END"
 
 
-def read_history(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("basePath", path).parquet(path).withColumn(
-        "run_id", F.col("run_id").cast("string"))
+def write_history(history: DataFrame, path: str) -> None:
+    """Store the profile rows of runs under the key of their dataset, so that reading one dataset
+    prunes the others."""
+    _write_runs(history.withColumn("dataset_key", F.expr(key_of("dataset"))), path, "dataset_key", "run_id")
+
+
+def read_history(spark: SparkSession, path: str, dataset: str | None = None) -> DataFrame:
+    """Stored profile rows, of all datasets or of one and its renamed versions."""
+    reader = spark.read.option("basePath", path)
+    # keys and run identifiers that look like numbers are texts
+    schema = T.StructType([
+        T.StructField(f.name, T.StringType()) if f.name in ("run_id", "dataset_key") else f
+        for f in reader.parquet(path).schema.fields])
+    found = reader.schema(schema).parquet(path)
+    if dataset is not None:
+        found = found.where(F.col("dataset_key") == dataset_key(dataset))
+    return found.drop("dataset_key")
 
 
 def table_fingerprint(df: DataFrame) -> DataFrame:

@@ -144,3 +144,28 @@ def test_xml_children_of_all_tags_are_rows(spark, tmp_path):
     rows = readers.read_xml(spark, str(path)).collect()
     assert [(r.v, r.rec, r.a, r._k) for r in rows] == [
         (1, "no", None, None), (None, None, "2", "a>b"), (None, None, "<3>", None), (None, None, "5", None)]
+
+
+def test_a_run_written_again_is_stored_once(spark, tmp_path):
+    log = str(tmp_path / "log")
+    rows = spark.createDataFrame([("r1", "x"), ("r1", "y"), ("007", "z")], "run_id string, issue string")
+    for part in (rows, rows.where("run_id = 'r1' AND issue = 'x'")):
+        sinks.write_log(part, log)
+    assert {tuple(r) for r in spark.read.parquet(log).select("issue").collect()} == {("x",), ("z",)}
+    history = str(tmp_path / "history")
+    runs = spark.createDataFrame(
+        [("data/My Orders (1).csv", "007", "a", 1), ("12.csv", "007", "b", 2)],
+        "dataset string, run_id string, column string, row_count int")
+    for _ in range(2):
+        sinks.write_history(runs, history)
+    sinks.write_history(runs.where("row_count = 1").selectExpr(
+        "dataset", "'008' AS run_id", "column", "row_count"), history)
+    found = sinks.read_history(spark, history)
+    assert sorted((r.dataset, r.run_id) for r in found.collect()) == [
+        ("12.csv", "007"), ("data/My Orders (1).csv", "007"), ("data/My Orders (1).csv", "008")]
+    assert sinks.read_history(spark, history, "my-orders-1.csv").count() == 2
+    assert sinks.read_history(spark, history, "x/12.json").count() == 1
+    names = ["data/My Orders (1).csv", "12.csv", "...", "a.b.c", "/x/_y_.csv", "plain", ".csv"]
+    table = spark.createDataFrame([(n,) for n in names], "n string")
+    got = {r.n: r.k for r in table.selectExpr("n", f"{sinks.key_of('n')} AS k").collect()}
+    assert got == {n: sinks.dataset_key(n) for n in names}
