@@ -602,7 +602,7 @@ def scan_foreign_xml(spark, sf_dir):
 
 
 def scan_feather(spark, sf_dir):
-    """Feather files written by tasks, one per partition, and read back."""
+    """Feather files written by tasks, one per partition, and read back by their footers."""
     import os
 
     path = _folder(spark)
@@ -612,17 +612,21 @@ def scan_feather(spark, sf_dir):
 
     def write(batches):
         import pyarrow as pa
-        import pyarrow.feather as feather
         from pyspark import TaskContext
-        taken = list(batches)
-        if taken:
-            os.makedirs(mounted, exist_ok=True)
-            name = os.path.join(mounted, f"part-{TaskContext.get().partitionId()}.feather")
-            feather.write_feather(pa.Table.from_batches(taken), name, compression="uncompressed")
-        yield pa.RecordBatch.from_pydict({"files": pa.array([len(taken)], pa.int64())})
-
-    source.repartition(4).mapInArrow(write, "files bigint").collect()
-    return readers.read_feather(spark, path, source.schema).drop(ROW_ID)
+
+        writer = None
+        for batch in batches:
+            if writer is None:
+                os.makedirs(mounted, exist_ok=True)
+                name = os.path.join(mounted, f"part-{TaskContext.get().partitionId()}.feather")
+                writer = pa.ipc.new_file(name, batch.schema)
+            writer.write_batch(batch)
+        if writer is not None:
+            writer.close()
+        yield pa.RecordBatch.from_pydict({"files": pa.array([int(writer is not None)], pa.int64())})
+
+    source.repartition(4).mapInArrow(write, "files bigint").write.format("noop").mode("overwrite").save()
+    return readers.read_feather(spark, path).drop(ROW_ID)
 
 
 def scan_folder(spark, sf_dir):

@@ -6,17 +6,17 @@ import json
 import re
 import uuid
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator, Mapping
+from concurrent.futures import ThreadPoolExecutor
 from pathlib import PurePosixPath
 from urllib.parse import unquote
 
 import pyarrow as pa
-import pyarrow.feather as feather
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
-from pyspark.sql.pandas.types import to_arrow_schema
 
 from plumbline.functions import text
 from plumbline.operators.columns import ROW_ID
+from plumbline.sources.arrow_files import read_arrow_files
 from plumbline.storage import checkpoint_dir, local_table
 
 # Rows a single file may hold in the row id; the file number takes the bits above.
@@ -291,21 +291,9 @@ def read_xml(spark: SparkSession, path: str, row_tag: str | None = None) -> Data
     return blanks_to_null(flatten(df)).withColumn(ROW_ID, F.monotonically_increasing_id())
 
 
-def read_feather(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
-    """Arrow files, one task per file; each task streams the record batches of its files."""
-    schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
-    target = to_arrow_schema(schema)
-
-    def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for content in batch.column("content"):
-                source = pa.BufferReader(content.as_buffer())
-                table = feather.read_table(source, columns=target.names, memory_map=False)
-                yield from table.cast(target).to_batches(max_chunksize=10_000)
-
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    rows = files.select("content").mapInArrow(read, schema)
-    return rows.withColumn(ROW_ID, F.monotonically_increasing_id())
+def read_feather(spark: SparkSession, path: str, schema: str | T.StructType | None = None) -> DataFrame:
+    """Arrow files, read batch by batch; the schema is that of the first file unless given."""
+    return read_arrow_files(spark, path, schema).withColumn(ROW_ID, F.monotonically_increasing_id())
 
 
 def dataset_names(paths: list[str]) -> list[str]:
@@ -322,36 +310,52 @@ def dataset_names(paths: list[str]) -> list[str]:
             depth[i] += 1
 
 
+def _load(spark: SparkSession, path: str, kind: str | None, options: Mapping[str, str]) -> DataFrame:
+    """One dataset; its header, type and schema jobs run here."""
+    if kind is None:
+        raise ValueError("unsupported or unrecognized file type")
+    if kind in ("csv", "tsv"):
+        return read_delimited(spark, path, **{"sep": "\t" if kind == "tsv" else ",", **options})[0]
+    if kind == "json":
+        return read_json(spark, path, **options)
+    if kind == "parquet":
+        return read_parquet(spark, path, **options)
+    if kind == "xml":
+        return read_xml(spark, path, **options)
+    return read_feather(spark, path, **options)
+
+
 def read_folder(
     spark: SparkSession, paths: list[str], feather_schemas: dict[str, str] | None = None,
-    xml_row_tag: str | None = None,
+    xml_row_tag: str | None = None, options: Mapping[str, Mapping[str, str]] | None = None,
+    workers: int = 8,
 ) -> tuple[dict[str, DataFrame], DataFrame]:
     """Every file or table folder of a run as a dataset, failures kept apart.
 
-    Returns the readable datasets by name and one (dataset, format, status, reason) row per
-    path. Unknown extensions are rejected, never guessed.
+    ``options`` gives a path's reader its arguments, such as ``sep`` and ``encoding``. Returns the
+    readable datasets by name and one (dataset, format, status, reason) row per path. Unknown
+    extensions are rejected, never guessed. The small jobs that find headers and types of several
+    datasets run side by side.
     """
-    frames: dict[str, DataFrame] = {}
-    status = []
     names = dataset_names(paths)
-    for path, name in zip(paths, names):
-        kind = FORMATS.get(PurePosixPath(path).suffix.lower())
+    kinds = [FORMATS.get(PurePosixPath(p).suffix.lower()) for p in paths]
+
+    def load(path: str, name: str, kind: str | None) -> DataFrame | Exception:
+        given = dict((options or {}).get(path, {}))
+        if kind == "xml" and xml_row_tag:
+            given.setdefault("row_tag", xml_row_tag)
+        if kind == "feather" and name in (feather_schemas or {}):
+            given.setdefault("schema", feather_schemas[name])
         try:
-            if kind is None:
-                raise ValueError("unsupported or unrecognized file type")
-            if kind in ("csv", "tsv"):
-                frames[name], _ = read_delimited(spark, path, "\t" if kind == "tsv" else ",")
-            elif kind == "json":
-                frames[name] = read_json(spark, path)
-            elif kind == "parquet":
-                frames[name] = read_parquet(spark, path)
-            elif kind == "xml":
-                frames[name] = read_xml(spark, path, xml_row_tag)
-            else:
-                frames[name] = read_feather(spark, path, (feather_schemas or {})[name])
-            status.append({"dataset": name, "format": kind, "status": "loaded"})
+            return _load(spark, path, kind, given)
         except Exception as error:  # one bad file must not stop the others
-            status.append({"dataset": name, "format": kind, "status": "failed",
-                           "reason": str(error).splitlines()[0]})
-    return frames, local_table(
+            return error
+
+    with ThreadPoolExecutor(max_workers=workers) as pool:
+        found = list(pool.map(load, paths, names, kinds))
+    status = [{"dataset": name, "format": kind,
+               "status": "failed" if isinstance(one, Exception) else "loaded",
+               "reason": str(one).splitlines()[0] if isinstance(one, Exception) else None}
+              for one, name, kind in zip(found, names, kinds)]
+    return {n: f for n, f in zip(names, found) if not isinstance(f, Exception)}, local_table(
         spark, status, "dataset string, format string, status string, reason string")

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from plumbline.functions.text import column as quoted
 from plumbline.operators.columns import ROW_ID, data_columns
+from plumbline.sources.arrow_files import hash_files
 
 
 def write_cleaned(cleaned: DataFrame, path: str, published: bool, file_format: str = "parquet") -> bool:
@@ -85,6 +86,5 @@ def table_fingerprint(df: DataFrame) -> DataFrame:
 
 
 def file_fingerprints(spark: SparkSession, path: str) -> DataFrame:
-    """(path, sha256) of whole files."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).selectExpr(
-        "path", "sha2(content, 256) AS sha256")
+    """(path, sha256) of whole files of any size."""
+    return hash_files(spark, path)

@@ -1,8 +1,10 @@
+import hashlib
+
 import pyarrow as pa
 import pyarrow.feather as feather
 
 from plumbline.operators.columns import ROW_ID, column_table, describe_columns, header_checks
-from plumbline.sources import readers, sinks
+from plumbline.sources import arrow_files, readers, sinks
 
 
 def test_only_empty_cells_are_missing(spark, tmp_path):
@@ -41,6 +43,42 @@ def test_feather(spark, tmp_path):
     assert sorted(r.id for r in df.collect()) == [0, 1, 2, 10, 11, 12]
 
 
+def test_arrow_files_are_split_by_batches_and_typed_by_their_footer(spark, tmp_path):
+    table = pa.table({"id": list(range(1000)), "s": [f"x{i}" if i % 3 else None for i in range(1000)],
+                      "l": [[i, None] for i in range(1000)]})
+    with pa.ipc.new_file(str(tmp_path / "a.arrow"), table.schema) as writer:
+        for batch in table.to_batches(max_chunksize=50):
+            writer.write_batch(batch)
+    (tmp_path / "_SUCCESS").write_text("")
+    df = arrow_files.read_arrow_files(spark, str(tmp_path), split_bytes=1)
+    assert df.dtypes == [("id", "bigint"), ("s", "string"), ("l", "array<bigint>")]
+    assert df.rdd.getNumPartitions() == 20
+    assert arrow_files.read_arrow_files(spark, str(tmp_path)).rdd.getNumPartitions() == 1
+    rows = sorted(df.collect())
+    assert [tuple(r) for r in rows] == [(i, f"x{i}" if i % 3 else None, [i, None]) for i in range(1000)]
+    some = readers.read_feather(spark, str(tmp_path / "a.arrow"), "s string, id double")
+    assert some.drop(ROW_ID).dtypes == [("s", "string"), ("id", "double")] and some.count() == 1000
+
+
+def test_whole_files_are_hashed_block_by_block(spark, tmp_path, monkeypatch):
+    contents = {"a.bin": b"", "b.bin": b"x" * 3_000_001, "c d.bin": bytes(range(256)) * 10}
+    for name, content in contents.items():
+        (tmp_path / name).write_bytes(content)
+    found = {r.path.rsplit("/", 1)[-1]: r.sha256 for r in sinks.file_fingerprints(spark, str(tmp_path)).collect()}
+    assert found == {n: hashlib.sha256(c).hexdigest() for n, c in contents.items()}
+
+
+def test_folder_options_and_feather_without_a_schema(spark, tmp_path):
+    (tmp_path / "semi.txt").write_bytes("a;b\ncaf\u00e9;2\n".encode("latin-1"))
+    feather.write_feather(pa.table({"id": [1, 2]}), str(tmp_path / "t.feather"))
+    paths = [str(tmp_path / n) for n in ("semi.txt", "t.feather", "gone.feather")]
+    frames, status = readers.read_folder(
+        spark, paths, options={paths[0]: {"sep": ";", "encoding": "ISO-8859-1"}})
+    assert frames["semi.txt"].drop(ROW_ID).first().asDict() == {"a": "caf\u00e9", "b": 2}
+    assert frames["t.feather"].count() == 2
+    assert {r.dataset: r.status for r in status.collect()}["gone.feather"] == "failed"
+
+
 def test_row_ids_follow_files_and_positions(spark, tmp_path):
     path = str(tmp_path / "p")
     spark.range(100).repartition(4).write.parquet(path)
