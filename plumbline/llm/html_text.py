@@ -1,12 +1,16 @@
 """Main text of web pages by tree scoring.
 
 A page is parsed into a tree (implied end tags closed, scripts and styles skipped as raw text).
-Subtrees that are page furniture by element, role or class name are left out. Every block of
+Subtrees that are page furniture by element, role or class name are left out; a name counts only
+as a whole, if it says nothing but furniture and layout ("related-posts", not "related-work").
+Every block of
 text passes points for its length and its commas to its ancestors, halved with each level; an
 ancestor's points are discounted by the share of its text that is link text. The best container
-is kept together with its siblings that score well or are headings and plain paragraphs.
+is kept together with its siblings that score well or are headings and plain paragraphs; an article
+is kept together with articles beside it that score half as much or more.
 
 Runs per page inside tasks; nothing is shuffled and one page is in memory as a tree at a time.
+Parsing is linear in the page, unmatched tags included.
 
 Defined cases: a null or empty page gives the empty text; a page without markup is one block;
 rows that repeat give repeated results; an empty table gives an empty result; other columns are
@@ -17,6 +21,7 @@ from __future__ import annotations
 
 import html as html_module
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -45,6 +50,13 @@ _SKIP_NAMES = {
     "social", "sponsor", "sponsored", "subscribe", "subscription", "tags", "toolbar", "topbar",
     "widget"}
 _KEEP_NAMES = {"article", "content", "main", "post", "story", "entry", "body"}
+#: Words that may stand beside furniture in a compound name without changing what it says.
+_LAYOUT_NAMES = {
+    "area", "articles", "bar", "block", "bottom", "box", "btn", "button", "buttons", "col", "column",
+    "container", "content", "div", "entries", "form", "global", "group", "id", "inner", "item", "items",
+    "js", "left", "link", "links", "list", "main", "media", "nav", "outer", "page", "panel", "post",
+    "posts", "primary", "right", "row", "secondary", "section", "site", "slot", "stories", "top", "unit",
+    "user", "wrap", "wrapper"}
 _PASSING = {"p", "pre", "blockquote", "li", "dt", "dd", "td", "th"}
 #: How sure it is that a subtree is furniture: a name may also describe a whole layout.
 _BY_NAME = 2
@@ -65,11 +77,12 @@ _SCOPE = {"article", "section", "main", "body", "div", "td", "th", "li", "blockq
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*?)(?:/?>|\Z)",
+    # a quote opens a value only after an equals sign
+    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*?)(?:/?>|\Z)",
     re.S)
-_ATTR = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_ATTR = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _HIDDEN_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
-_NAME = re.compile(r"[a-z]+(?:-box)?")
+_PART = re.compile(r"[a-z]+")
 _COMMAS = re.compile("[,\u060c\u3001\uff0c]")
 
 
@@ -88,10 +101,22 @@ def _attributes(text: str) -> dict[str, str]:
             for m in _ATTR.finditer(text)}
 
 
+def _names(value: str) -> list[str]:
+    """Class names or identifiers, in lower case, their parts separated by hyphens."""
+    return re.sub(r"([a-z])([A-Z])", r"\1-\2", value).lower().replace("_", "-").split()
+
+
+def _says_furniture(name: str) -> bool:
+    if name in _SKIP_NAMES:
+        return True
+    parts = _PART.findall(name)
+    return any(p in _SKIP_NAMES for p in parts) and all(
+        p in _SKIP_NAMES or p in _LAYOUT_NAMES for p in parts)
+
+
 def _furniture(tag: str, attrs: dict[str, str], parent: Node) -> tuple[frozenset, int]:
-    names = frozenset(_NAME.findall(
-        re.sub(r"([a-z])([A-Z])", r"\1 \2", f"{attrs.get('class', '')} {attrs.get('id', '')}")
-        .lower().replace("_", "-")))
+    given = _names(f"{attrs.get('class', '')} {attrs.get('id', '')}")
+    names = frozenset(p for n in given for p in _PART.findall(n))
     skip = tag in _SKIP or "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true"
     skip = skip or bool(_HIDDEN_STYLE.search(attrs.get("style", "")))
     skip = skip or bool(_SKIP_ROLES & set(attrs.get("role", "").lower().split()))
@@ -101,8 +126,9 @@ def _furniture(tag: str, attrs: dict[str, str], parent: Node) -> tuple[frozenset
             node = node.parent
         skip = node is None
     if not skip and tag not in ("html", "body", "article", "main") and tag not in _HEADINGS:
-        found = names & _SKIP_NAMES
-        if found and not (found == {"header"} and names & _KEEP_NAMES):
+        found = {n for n in given if _says_furniture(n)}
+        of_header = all(not (set(_PART.findall(n)) & _SKIP_NAMES) - {"header"} for n in found)
+        if found and not (of_header and names & _KEEP_NAMES):
             return names, _BY_NAME
     return names, skip
 
@@ -110,6 +136,15 @@ def _furniture(tag: str, attrs: dict[str, str], parent: Node) -> tuple[frozenset
 def parse(page: str) -> Node:
     """The element tree of a page; text is decoded, raw-text elements are empty."""
     root = node = Node("html", None)
+    opened: Counter[str] = Counter()               # open elements by tag
+
+    def climb(target: Node) -> Node:
+        up = node
+        while up is not target:
+            opened[up.tag] -= 1
+            up = up.parent
+        return target
+
     at, size = 0, len(page)
     while at < size:
         found = _TOKEN.search(page, at)
@@ -126,22 +161,23 @@ def parse(page: str) -> Node:
             continue
         tag = tag.lower()
         if found["end"]:
-            if tag == "p" or tag in _INLINE or tag not in _VOID:
+            if opened[tag] and (tag in _INLINE or tag not in _VOID):
                 up = node
-                while up is not None and up.tag != tag:
+                while up.tag != tag or up is root:
                     if tag in _INLINE and up.tag not in _INLINE:
                         up = None                # a stray inline end never closes a block
                         break
                     up = up.parent
-                if up is not None and up.parent is not None:
-                    node = up.parent
+                if up is not None:
+                    node = climb(up.parent)
             continue
         if tag in ("html", "body") and node.tag == tag:
             continue
-        if tag not in _INLINE and tag not in _VOID or tag == "hr":
-            node = _close_paragraph(node)
-        if tag in _CLOSES:
-            node = _close(node, *_CLOSES[tag])
+        if (tag not in _INLINE and tag not in _VOID or tag == "hr") and (
+                opened["p"] or any(opened[h] for h in _HEADINGS)):
+            node = climb(_close_paragraph(node))
+        if tag in _CLOSES and any(opened[t] for t in _CLOSES[tag][0]):
+            node = climb(_close(node, *_CLOSES[tag]))
         attrs = _attributes(found["attrs"]) if found["attrs"] else {}
         names, skip = _furniture(tag, attrs, node)
         child = Node(tag, node, names, skip)
@@ -153,6 +189,7 @@ def parse(page: str) -> Node:
         elif tag not in _VOID and not page.endswith("/>", found.start(), found.end()) \
                 or tag not in _VOID and tag not in ("path", "use"):
             node = child
+            opened[tag] += 1
     return root
 
 
@@ -262,6 +299,9 @@ def main_text(page: str) -> str:
             break
         up = up.parent
     kept = {id(best)}
+    if best.tag == "article" and best.parent is not None:
+        kept |= {id(s) for s in best.parent.children if isinstance(s, Node) and s.tag == "article"
+                 and not s.skip and s.score and 2 * value(s) >= value(best)}
     if best.tag not in ("article", "main", "body", "html") and best.parent is not None:
         least = 0.2 * value(best)
         for sibling in best.parent.children:

@@ -1,5 +1,7 @@
 """Main text of pages."""
 
+import time
+
 import pytest
 
 from plumbline.llm.html_text import extract_main_text, main_text
@@ -59,6 +61,38 @@ def test_names_of_layouts_and_titles():
     assert main_text(html) == f"T\n\n{ONE}"
 
 
+def test_quotes_open_values_only_after_an_equals_sign():
+    assert main_text("<p title=don't>Lost, one?</p>") == "Lost, one?"
+    assert main_text("<p class=it's>Hello there, all.</p><p>You don't lose this, ever.</p>") == (
+        "Hello there, all.\n\nYou don't lose this, ever.")
+    assert main_text("<p ' \" x>a</p><p data-x = 'b>c'>d</p>") == "a\n\nd"
+    assert main_text('<p title="never closed>text</p>') == "text"
+
+
+def test_names_count_only_as_a_whole():
+    article = "<article><h1>T</h1>{}</article>"
+    for name in ("related-work", "notice-free", "social-history", "tagsoup", "shared-memory", "bannerman"):
+        for attribute in ("class", "id"):
+            assert main_text(page(article.format(f"<p>{PROSE}</p><div {attribute}={name}><p>In, here.</p></div>"))
+                             ) == f"T\n\n{ONE}\n\nIn, here."
+    for name in ("related-posts", "cookie-notice", "site_header", "socialLinks", "ad", "user-comments", "share"):
+        assert main_text(page(article.format(f"<p>{PROSE}</p><div class={name}><p>Out, there.</p></div>"))
+                         ) == f"T\n\n{ONE}"
+
+
+def test_articles_side_by_side_stay_and_teasers_go():
+    html = page(f"<article><p>{PROSE}</p></article><article><p>{PROSE} End.</p></article>"
+                "<article><a href=/x>Read, this, too</a></article>")
+    assert main_text(html) == f"{ONE}\n\n{ONE} End."
+
+
+def test_unmatched_tags_take_linear_time():
+    started = time.time()
+    assert main_text("<b>" * 100_000 + "x" + "</i>" * 100_000) == "x"
+    assert main_text("<ul>" * 50_000 + "y" + "</div>" * 50_000 + "</p>" * 50_000) == "y"
+    assert time.time() - started < 8
+
+
 def test_deep_and_long_pages():
     assert main_text("<div>" * 5000 + "deep" + "</div>" * 5000) == "deep"
     assert main_text("<p>" + "word " * 200_000 + "</p>").count("word") == 200_000
