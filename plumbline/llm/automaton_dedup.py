@@ -329,7 +329,7 @@ def earlier_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                        .alias("sure")))
     done = stage.where("body IS NULL").select("id", "n_words", "spans", "kept_sha256")
     return (done.unionByName(pending.mapInArrow(_finish(size), _RESULT))
-            .select(repeats.public_id(id_col), "n_words", "spans", "kept_sha256"))
+            .select(repeats.named_id(id_col), "n_words", "spans", "kept_sha256"))
 
 
 def digests(spans: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -6,8 +6,12 @@ texts' ends in it. Buffers are cut by the callers, so memory follows the slice,
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
+#: Bytes beyond which a word is hashed by a digest.
+LONG_WORD = 64
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _powers = {}
@@ -106,6 +110,23 @@ def lower_ascii(data: np.ndarray) -> np.ndarray:
     return np.where((data >= 65) & (data <= 90), data | 32, data).astype(np.uint8)
 
 
+def _hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash per word. Long words take a digest: the polynomial modulo 2**64 is weak on patterned
+    sequences of hundreds of symbols (two Thue-Morse words of 1,024 letters are equal under it)."""
+    long = np.flatnonzero(end - start > LONG_WORD)
+    if not len(long):
+        return RangeHash(data).ranges(start, end)
+    # a word of many megabytes takes no room in the table of sums
+    short = np.ones(len(data), bool)
+    for a, b in zip(start[long].tolist(), end[long].tolist()):
+        short[a:b] = False
+    place = np.concatenate([[0], np.cumsum(short)])
+    found = RangeHash(data[short]).ranges(place[start], place[end])
+    for k, a, b in zip(long.tolist(), start[long].tolist(), end[long].tolist()):
+        found[k] = int.from_bytes(hashlib.blake2b(data[a:b].tobytes(), digest_size=8).digest(), "little")
+    return found
+
+
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A hash per word of the texts that ``offsets`` cut ``data`` into, and word counts' sums."""
     hashes, counts = [], [0]
@@ -118,18 +139,20 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
         if high - low <= 2 * _PIECE:
             part = data[low:high]
             start, end = word_bounds(part, offsets[first:last + 1] - low)
-            hashes.append(RangeHash(part).ranges(start, end))
+            hashes.append(_hashes(part, start, end))
             below = np.searchsorted(start, offsets[first + 1:last + 1] - low, "left")
             counts.extend((counts[-1] + below).tolist())
         else:                                   # one long text, piece by piece
             at, total = low, 0
             while at < high:
                 until = min(high, at + _PIECE)
-                while until < high and _IS_WORD[data[until]] and until - at < 16 * _PIECE:
-                    until += 1                  # a piece ends between words
+                while until < high and _IS_WORD[data[until]]:
+                    # a piece ends between words, however long they are
+                    rest = np.flatnonzero(~_IS_WORD[data[until:min(high, until + _PIECE)]])
+                    until = until + int(rest[0]) if len(rest) else min(high, until + _PIECE)
                 part = data[at:until]
                 start, end = word_bounds(part, np.zeros(0, np.int64))
-                hashes.append(RangeHash(part).ranges(start, end))
+                hashes.append(_hashes(part, start, end))
                 total += len(start)
                 at = until
             counts.append(counts[-1] + total)

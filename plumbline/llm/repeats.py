@@ -14,7 +14,10 @@ goes on to the operator's exact step, window by window. Nothing is compared pair
 grouping combines on the map side first and every join back is one that Spark may split.
 
 ``p`` is a document's position key: 24 bits that tell texts of one identifier apart, 32 bits of
-the first window's start, 8 bits of the number of windows less one.
+the first window's start, 8 bits of the number of windows less one. The 24 bits come from a hash of
+the text under the first seed that gives different texts of one identifier different bits; that is
+checked over all rows. Rows without an identifier get one of their own from their text, below all
+others, so that any number of them can be told apart.
 """
 
 from __future__ import annotations
@@ -33,19 +36,50 @@ _MASK = {"tag": (1 << 24) - 1, "start": (1 << 32) - 1, "more": 255}
 ANCHORS = "id long, p long, f long, e long"
 
 
+#: Rows without an identifier lie below this one, by a hash of their text.
+_UNNAMED = -(1 << 62)
+_MOST_SEEDS = 64
+
+
+def _tag(seed: int) -> Column:
+    return F.xxhash64(F.lit(seed), "one", "two").bitwiseAND(F.lit(_MASK["tag"])).alias("tag")
+
+
 def bodies(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``id``, ``tag`` and ``body`` (UTF-8) of every row; null text is empty."""
+    """``id``, ``tag`` and ``body`` (UTF-8) of every row; null text is empty.
+
+    Identifiers must lie above -2**62. One that is shared by more than about ten thousand different
+    texts raises an error.
+    """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return docs.select(
-        F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"),
-        F.xxhash64(text).bitwiseAND(F.lit(_MASK["tag"])).alias("tag"),
-        text.cast("binary").alias("body"))
+    one, two = F.xxhash64(text).alias("one"), F.xxhash64(F.lit("two"), text).alias("two")
+    unnamed = F.lit(NO_ID) + F.xxhash64(F.lit("unnamed"), text).bitwiseAND(F.lit((1 << 62) - 1))
+    identity = F.coalesce(F.col(id_col).cast("long"), unnamed).alias("id")
+    # only identifiers that carry several texts can clash; they are few or none
+    rows = docs.select(identity, one, two)
+    shared = materialise(
+        rows.groupBy("id").agg(F.min("one").alias("low"), F.max("one").alias("high"))
+        .where("low <> high").select("id"))
+    seed = 0
+    if not shared.isEmpty():
+        texts = materialise(rows.join(shared, "id").distinct())
+        while not texts.groupBy("id", _tag(seed)).count().where("count > 1").isEmpty():
+            seed += 1
+            if seed == _MOST_SEEDS:
+                raise ValueError("one identifier is shared by too many different texts; number the rows")
+    return docs.select(identity, one, two, text.cast("binary").alias("body")).select(
+        "id", _tag(seed), "body")
 
 
 def public_id(name: str) -> Column:
     return F.when(F.col("id") != NO_ID, F.col("id")).alias(name)
 
 
+def named_id(name: str) -> Column:
+    """The identifier of rows of ``bodies``."""
+    return F.when(F.col("id") >= _UNNAMED, F.col("id")).alias(name)
+
+
 def tag_of(p: str) -> Column:
     return F.shiftrightunsigned(p, 40)
 

@@ -3,10 +3,11 @@
 import hashlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from plumbline.llm import (
-    automaton_dedup, exact_dedup, jaccard_join, line_dedup, queries, suffix_dedup)
+    automaton_dedup, exact_dedup, jaccard_join, kernels, line_dedup, queries, repeats, suffix_dedup)
 from plumbline.llm.components import components
 
 
@@ -201,5 +202,55 @@ def test_empty_tables(make):
 
 def test_every_operator_is_registered():
     names = queries.registered()
-    assert {n.split("_")[0] for n in names} == {f"op{k}" for k in range(1, 11)}
+    assert {n.split("_")[0] for n in names} == {f"op{k}" for k in range(1, 14)}
     assert set(queries.statements()) <= set(names)
+
+
+@pytest.fixture(scope="module")
+def crowded(corpus):
+    """Identifiers with several texts, and many rows without one."""
+    texts = [t for _, t in corpus if t and len(t) > 200]
+    rows = [(7, texts[0]), (7, texts[1][:150]), (7, texts[2]), (7, texts[3]), (9, texts[0][:60]), (9, texts[4])]
+    return rows + [(None, f"{k} {texts[k % 20][:400]} {k}") for k in range(60)] + [(i, t) for i, t in corpus if i]
+
+
+@pytest.mark.parametrize("bits", [24, 4])
+def test_texts_of_one_identifier_are_told_apart(make, crowded, bits, monkeypatch):
+    monkeypatch.setitem(repeats._MASK, "tag", (1 << bits) - 1)
+    found = suffix_dedup.digests(suffix_dedup.repeated_spans(make(crowded), size=100, spread=30))
+    assert rows_of(found) == Counter(brute_bytes(crowded, 100))
+    # which of several texts without an order comes first is open, what is unique to one is not
+    spans = automaton_dedup.earlier_spans(make(crowded))
+    whole = {(r.doc_id, r.n_words) for r in spans.collect()}
+    assert whole == {(i, len((t or "").encode().split())) for i, t in crowded}
+
+
+def test_ten_thousand_rows_without_an_identifier(spark):
+    rows = spark.range(10_000).selectExpr(
+        "CAST(NULL AS bigint) AS doc_id", "concat_ws(' ', transform(sequence(1, 30), k -> id * 31 + k)) AS text")
+    found = automaton_dedup.digests(automaton_dedup.earlier_spans(rows))
+    assert found.where("n_words = 30 AND doc_id IS NULL").count() == 10_000
+    lost = found.where("n_removed > 0").count()
+    assert lost == 0
+
+
+def thue_morse(n, letters):
+    return "".join(letters[bin(k).count("1") % 2] for k in range(n))
+
+
+def test_patterned_long_words_are_not_taken_for_each_other(make):
+    one, two = thue_morse(1024, "ab"), thue_morse(1024, "ba")
+    same = " ".join(f"w{k}" for k in range(19))
+    rows = [(1, f"{same} {one}"), (2, f"{same} {two}"), (3, f"{same} {one}")]
+    found = {r.doc_id: r.n_removed for r in automaton_dedup.digests(automaton_dedup.earlier_spans(make(rows))).collect()}
+    assert found == {1: 0, 2: 0, 3: 20}
+    parts = {r.doc_id: r.component_id for r in jaccard_join.near_duplicates(make([(1, one), (2, two), (3, one)])).collect()}
+    assert parts == {1: 1, 2: 2, 3: 1}
+
+
+def test_words_of_many_megabytes_count_once():
+    data = (b"a " + b"x" * (3 << 20) + b" b " + b"y" * 100 + b" ") * 2 + b"z" * (5 << 20)
+    flat = np.frombuffer(data, np.uint8)
+    words, below = kernels.word_hashes(flat, np.array([0, len(flat)]))
+    assert len(words) == below[-1] == 9 and len(set(words.tolist())) == 5
+    assert words[:4].tolist() == words[4:8].tolist()
