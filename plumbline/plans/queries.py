@@ -496,7 +496,7 @@ def scan_quoted_csv(spark, sf_dir):
         "concat('say \"', doc_id, '\", ', text, '\n,\"') AS Text", "lang AS text_2").write.options(
         header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False,
         ignoreTrailingWhiteSpace=False).csv(path)
-    return readers.read_delimited(spark, path)[0].selectExpr(
+    return readers.read_delimited(spark, path, split_bytes=256 << 10)[0].selectExpr(
         "doc_id", "cast(wide_id AS string) AS wide_id", "md5(Text) AS text_md5", "text_2 AS lang")
 
 

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from plumbline.functions import text
 from plumbline.operators.columns import ROW_ID
 from plumbline.sources.arrow_files import read_arrow_files
+from plumbline.sources.split_csv import SPLITTABLE_ENCODINGS, split_records
 from plumbline.storage import checkpoint_dir, local_table
 
 # Rows a single file may hold in the row id; the file number takes the bits above.
@@ -129,9 +130,19 @@ def raw_headers(
         f"{text.literal(dataset)} AS dataset", f"posexplode(array({cells})) AS (position, column)")
 
 
+def _worth_splitting(spark: SparkSession, path: str, encoding: str, split_bytes: int | None) -> bool:
+    if encoding.lower() not in SPLITTABLE_ENCODINGS:
+        return False
+    limit = f"{split_bytes}b" if split_bytes else spark.conf.get("spark.sql.files.maxPartitionBytes")
+    sizes = spark.read.format("binaryFile").load(path).select("length")
+    # one number comes back
+    largest = sizes.agg(F.max("length")).first()[0] or 0
+    return largest > spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(limit)
+
+
 def read_delimited(
     spark: SparkSession, path: str, sep: str = ",", encoding: str = "UTF-8",
-    strict_reference: bool = False, splittable: bool = False,
+    strict_reference: bool = False, splittable: bool = False, split_bytes: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """A delimited file with a header, and the number of rows skipped for extra fields.
 
@@ -139,8 +150,10 @@ def read_delimited(
     missing; short rows are padded, rows with too many fields (empty ones included) are left
     out and counted. Headers that are equal but for case get a numbered suffix.
 
-    A file is read by one task, as a line end inside quotes cannot be told from its middle;
-    ``splittable`` promises that no cell holds one and splits large files.
+    Files beyond ``split_bytes`` (the session's size of a split unless given) are read by several
+    tasks, line ends inside quotes included; see ``split_csv``. Encodings in which a line end is
+    not one byte are read by one task per file. ``splittable`` promises that no cell holds a line
+    end, which saves a pass.
     """
     reader = (spark.read.option("sep", sep).option("encoding", encoding)
               .option("quote", '"').option("escape", '"').option("multiLine", not splittable)
@@ -163,10 +176,19 @@ def read_delimited(
     # the source wants its columns referenced beside the record it hands over
     read = f"length(concat_ws('', {', '.join(map(text.column, names))})) >= 0"
     extra = f"_corrupt_record IS NOT NULL AND {fields} > {len(names)} AND {read}"
+    if not splittable and _worth_splitting(spark, path, encoding, split_bytes):
+        ddl = ", ".join(f"{text.column(f.name)} STRING" for f in schema.fields)
+        cells = F.from_csv("value", ddl, {
+            "sep": sep, "quote": '"', "escape": '"', "mode": "PERMISSIVE", "nullValue": "", "emptyValue": "",
+            "columnNameOfCorruptRecord": "_corrupt_record"})
+        parsed = split_records(spark, path, sep, encoding, split_bytes).select(
+            cells.alias("cells")).select("cells.*")
+    else:
+        parsed = (
+            reader.option("header", True).option("enforceSchema", True).option("mode", "PERMISSIVE")
+            .option("nullValue", "").option("emptyValue", "").schema(schema).csv(path))
     rows = (
-        reader.option("header", True).option("enforceSchema", True).option("mode", "PERMISSIVE")
-        .option("nullValue", "").option("emptyValue", "").schema(schema).csv(path)
-        .withColumn(ROW_ID, F.monotonically_increasing_id())
+        parsed.withColumn(ROW_ID, F.monotonically_increasing_id())
         .withColumn("_extra", F.expr(f"coalesce({extra}, false)")))
     data = blanks_to_null(rows.where("NOT _extra").drop("_corrupt_record", "_extra"))
     skipped = rows.agg(F.expr("count_if(_extra) AS skipped_rows"))
