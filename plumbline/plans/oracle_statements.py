@@ -162,28 +162,28 @@ def _amount_text(c: str) -> str:
 
 
 # The fixes in order, one column per step.
-_ORDER_STEPS = f"""s1 AS (SELECT DISTINCT * EXCLUDE (empty_note) FROM dirty_orders),
-s2 AS (SELECT *, CASE WHEN lower(trim(order_date_text)) <> 'n/a' THEN order_date_text END AS date1,
+_ORDER_STEPS = f"""s1 AS MATERIALIZED (SELECT DISTINCT * EXCLUDE (empty_note) FROM dirty_orders),
+s2 AS MATERIALIZED (SELECT *, CASE WHEN lower(trim(order_date_text)) <> 'n/a' THEN order_date_text END AS date1,
   CASE WHEN lower(trim(amount_text)) <> 'not available' THEN amount_text END AS amount1,
   {collapse('priority')} AS priority1 FROM s1),
-s3 AS (SELECT *, CASE WHEN lower(priority1) <> 'unknown' THEN priority1 END AS priority2 FROM s2),
-counts AS (SELECT priority2 AS v, count(*) AS k FROM s3 WHERE priority2 IN
+s3 AS MATERIALIZED (SELECT *, CASE WHEN lower(priority1) <> 'unknown' THEN priority1 END AS priority2 FROM s2),
+counts AS MATERIALIZED (SELECT priority2 AS v, count(*) AS k FROM s3 WHERE priority2 IN
   (SELECT DISTINCT priority FROM dirty_orders) GROUP BY priority2),
-best AS (SELECT v, first_value(v) OVER (PARTITION BY lower(v) ORDER BY k DESC, v) AS b FROM counts),
-s4 AS (SELECT s3.*, coalesce(best.b, priority2) AS priority3,
+best AS MATERIALIZED (SELECT v, first_value(v) OVER (PARTITION BY lower(v) ORDER BY k DESC, v) AS b FROM counts),
+s4 AS MATERIALIZED (SELECT s3.*, coalesce(best.b, priority2) AS priority3,
   {convention('s3', 'date1')} AS conv FROM s3 LEFT JOIN best ON best.v = priority2),
-s5 AS (SELECT *, CASE {date_status('date1', 'conv')} WHEN 'invalid' THEN NULL
+s5 AS MATERIALIZED (SELECT *, CASE {date_status('date1', 'conv')} WHEN 'invalid' THEN NULL
   WHEN 'parsed' THEN {date_iso('date1', 'conv')} ELSE date1 END AS date2,
   CASE WHEN amount1 IS NOT NULL AND {money_high('amount1')} THEN {_amount_text('amount1')} ELSE amount1 END
   AS amount2 FROM s4)"""
 _CLEAN_ORDERS = """SELECT DISTINCT order_id, customer_id, date2 AS order_date_text, amount2 AS amount_text,
   qty_text, priority3 AS priority, age, quantity, subtotal, tax, total, const_flag FROM s5"""
 
-_CUSTOMER_STEPS = f"""t1 AS (SELECT *, {collapse('full_name')} AS name1,
+_CUSTOMER_STEPS = f"""t1 AS MATERIALIZED (SELECT *, {collapse('full_name')} AS name1,
   CASE WHEN lower(segment) <> 'n/a' THEN segment END AS segment1 FROM dirty_customer),
-tcounts AS (SELECT segment1 AS v, count(*) AS k FROM t1 WHERE segment1 IS NOT NULL GROUP BY segment1),
-tbest AS (SELECT v, first_value(v) OVER (PARTITION BY lower(v) ORDER BY k DESC, v) AS b FROM tcounts),
-t2 AS (SELECT t1.*, coalesce(tbest.b, segment1) AS segment2 FROM t1 LEFT JOIN tbest ON tbest.v = segment1)"""
+tcounts AS MATERIALIZED (SELECT segment1 AS v, count(*) AS k FROM t1 WHERE segment1 IS NOT NULL GROUP BY segment1),
+tbest AS MATERIALIZED (SELECT v, first_value(v) OVER (PARTITION BY lower(v) ORDER BY k DESC, v) AS b FROM tcounts),
+t2 AS MATERIALIZED (SELECT t1.*, coalesce(tbest.b, segment1) AS segment2 FROM t1 LEFT JOIN tbest ON tbest.v = segment1)"""
 _CLEAN_CUSTOMERS = """SELECT DISTINCT customer_id, name1 AS full_name, email, phone, segment2 AS segment,
   zip_code, balance FROM t2"""
 
@@ -221,7 +221,7 @@ _ORDER_COLUMNS = [c for c in TABLES["dirty_orders"] if c[0] != "empty_note"]
 def _cleaning_log() -> str:
     return f"""{WITH},
 {_ORDER_STEPS},
-changes AS ({_ORDER_CHANGES}),
+changes AS MATERIALIZED ({_ORDER_CHANGES}),
 applied("column", issue_type, confidence) AS (VALUES ('empty_note', 'empty_column', 'HIGH'),
   (NULL, 'duplicate_rows', 'HIGH'), ('priority', 'whitespace_formatting', 'HIGH'),
   ('order_date_text', 'missing_value_placeholder', 'MEDIUM'),
@@ -240,7 +240,7 @@ def _audit_counts() -> str:
     return f"""{typed_facts('dirty_customer')},
 {issues_cte('dirty_customer')},
 {_CUSTOMER_STEPS},
-changes AS ({_CUSTOMER_CHANGES}),
+changes AS MATERIALIZED ({_CUSTOMER_CHANGES}),
 sums AS (SELECT issue_type, "column", sum(n)::BIGINT AS n FROM changes GROUP BY ALL),
 audited AS (SELECT i."column", i.issue_type, CASE WHEN i.issue_type IN ('whitespace_formatting',
     'missing_value_placeholder', 'category_inconsistency') THEN 'applied' ELSE 'flagged_for_review' END AS status,
