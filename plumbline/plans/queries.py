@@ -190,15 +190,25 @@ MESSY_HEADERS = {
 }
 
 
+def _write_under(header: str, lines: DataFrame, path: str) -> None:
+    """Write texts as lines, one file per partition, each under the header line."""
+    def write(batches):
+        import pyarrow as pa
+
+        yield pa.RecordBatch.from_pydict({"value": [header]})
+        for batch in batches:                      # the lines may be declared as never null
+            yield pa.RecordBatch.from_arrays([batch.column(0)], names=["value"])
+
+    lines.mapInArrow(write, "value string").write.text(path)
+
+
 def _messy_file(spark, sf_dir, name: str) -> str:
-    """One file: a header line and then the rows of a given table."""
+    """The rows of a given table under a header line of its own."""
     headers, columns = MESSY_HEADERS[name]
     path = f"{_folder(spark)}/{name}.csv"
     cells = ", ".join(f"cast({c} AS string)" for c in columns)
     lines = spark.read.parquet(f"{sf_dir}/{name}.parquet").selectExpr(f"concat_ws(',', {cells}) AS value")
-    lines.write.text(f"{path}.rows")
-    header = spark.range(1).select(F.lit(",".join(headers)).alias("value"))
-    header.unionByName(spark.read.text(f"{path}.rows")).coalesce(1).write.text(path)
+    _write_under(",".join(headers), lines, path)
     return path
 
 
@@ -559,8 +569,7 @@ def scan_ragged_csv(spark, sf_dir):
         "CASE WHEN p_partkey % 10 = 3 THEN concat_ws(',', p_partkey, p_brand, p_type, 'extra')"
         " WHEN p_partkey % 10 = 4 THEN concat_ws(',', p_partkey, p_brand)"
         " ELSE concat_ws(',', p_partkey, p_brand, p_type) END AS value")
-    header = spark.range(1).selectExpr("'p_partkey,p_brand,p_type' AS value")
-    header.unionByName(lines).coalesce(1).write.text(path)
+    _write_under("p_partkey,p_brand,p_type", lines.repartition(3), path)
     data, skipped = readers.read_delimited(spark, path)
     return data.agg(*map(F.expr, [
         "count(*) AS row_count", "count(p_type) AS with_type", "sum(p_partkey) AS key_sum"])
