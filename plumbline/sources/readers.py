@@ -242,6 +242,7 @@ def _child_elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         return pa.RecordBatch.from_pydict({"value": pa.array(found, pa.string())})
 
     file, depth, pending, parts = None, 0, "", []
+    held, until = [], None                                    # a comment or section still open, and its end
     yield rows(["<rows>"])                                    # the parser reads one root per file
     for batch in batches:
         found = []
@@ -249,8 +250,14 @@ def _child_elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             if name != file:
                 if depth:
                     raise ValueError("XML ends inside an element")
-                file, pending, parts = name, "", []
-            pending += value + ">"
+                file, pending, parts, held, until = name, "", [], [], None
+            if until:                                         # a ">" inside; only its last piece is looked at
+                held.append(value + ">")
+                if not held[-1].endswith(until):
+                    continue
+                pending, held, until = "".join(held), [], None
+            else:
+                pending += value + ">"
             at = pending.find("<")
             if at < 0:
                 parts.append(pending)
@@ -260,6 +267,7 @@ def _child_elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             end = next((e for b, e in _MARKUP if tag.startswith(b)), None)
             if end:
                 if not tag.endswith(end) or len(tag) < (7 if end == "-->" else 0):
+                    held, until, pending = [pending], end, ""
                     continue
             elif tag.startswith("<!"):
                 if tag.count("[") != tag.count("]"):

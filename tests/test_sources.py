@@ -1,4 +1,5 @@
 import hashlib
+import time
 
 import pyarrow as pa
 import pyarrow.feather as feather
@@ -207,3 +208,13 @@ def test_a_run_written_again_is_stored_once(spark, tmp_path):
     table = spark.createDataFrame([(n,) for n in names], "n string")
     got = {r.n: r.k for r in table.selectExpr("n", f"{sinks.key_of('n')} AS k").collect()}
     assert got == {n: sinks.dataset_key(n) for n in names}
+
+
+def test_long_comments_and_sections_take_linear_time(spark, tmp_path):
+    path = tmp_path / "c.xml"
+    many = "a > b " * 200_000
+    path.write_text(f"<!--> {many}--><list><!----><r><v><![CDATA[{many}]]></v></r><!-- {many} --><r><v>2</v></r></list>")
+    started = time.time()
+    rows = readers.read_xml(spark, str(path)).collect()
+    assert [len(r.v) for r in rows] == [len(many.strip()), 1] or [len(r.v) for r in rows] == [len(many), 1]
+    assert time.time() - started < 60
