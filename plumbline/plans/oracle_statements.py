@@ -802,6 +802,9 @@ SELECT 'orders.csv' AS dataset, 'customer_id' AS "column", 'customers.csv' AS "r
   (SELECT customer_id::VARCHAR AS k FROM orphans ORDER BY k LIMIT 5)) AS orphan_examples"""),
         "relationship_readiness": _linked_scores(),
         "near_duplicate_groups": f"{WITH},\n{_pairs('dirty_customer', 'customer_id')}",
+        "cleaning_rows": f"""{WITH},\n{_audit_counts()}
+SELECT 'r1' AS run_id, "column", issue_type, confidence, audit_rows AS log_rows
+FROM audited WHERE status = 'applied'""",
         "isolated_run": """SELECT dataset, stage, status, row_count, scored, NOT scored AS explained
 FROM (SELECT 'nation.parquet' AS dataset, 'report' AS stage, 'ok' AS status, count(*) AS row_count,
              true AS scored FROM nation

@@ -305,6 +305,13 @@ def audit(spark, sf_dir):
         F.expr("count_if(row_reference LIKE '%aggregated%') AS aggregated_rows"))
 
 
+def cleaning_rows(spark, sf_dir):
+    """The changes that were made, as the cleaning log of a run lists them."""
+    _, decided, done = _cleaned(spark, sf_dir, "dirty_customer")
+    rows = governance.cleaning_rows(governance.audit_rows(decided, done.changes, "r1"))
+    return rows.groupBy("run_id", "column", "issue_type", "confidence").agg(F.expr("count(*) AS log_rows"))
+
+
 # validation, scores
 
 def validation_checks(spark, sf_dir, *names):
@@ -766,7 +773,7 @@ def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "cleaned_customers": on(cleaned_rows, "dirty_customer"),
         "change_log_orders": on(change_log, "dirty_orders"),
         "change_log_customers": on(change_log, "dirty_customer"),
-        "cleaning_log": cleaning_log, "audit_rows": audit,
+        "cleaning_log": cleaning_log, "audit_rows": audit, "cleaning_rows": cleaning_rows,
         "scan_quoted_csv": scan_quoted_csv, "scan_blank_cells": scan_blank_cells,
         "odd_headers": odd_headers, "long_cells": long_cells,
         "validation_checks": on(validation_checks, *SCORED), "business_rules": business_rules,
