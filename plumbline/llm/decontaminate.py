@@ -191,7 +191,8 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     keys = items.select("key").distinct()
     wanted = None
     if keys.limit(max_filter_hashes + 1).count() <= max_filter_hashes:
-        known = np.sort(np.array([r.key for r in keys.collect()], np.int64).view(np.uint64))
+        # eight bytes each, never a row object
+        known = np.sort(keys.toArrow().column(0).to_numpy().view(np.uint64))
         if not len(known):
             known = np.zeros(1, np.uint64)
         wanted = spark.sparkContext.broadcast(known)

@@ -8,8 +8,10 @@ rows, the windows still open are closed without padding: pieces are cut freely t
 the brim, and the last incomplete one is cut into powers of two, which need no padding.
 
 Nothing is shuffled: windows of different tasks are independent and numbered by task. The state
-of a task is the level array and the pieces (not the tokens) of its open windows, which the
-method keeps few. The same input split gives the same windows again after a lost executor.
+of a task is the level array and the pieces of its open windows with their token ids, as these may
+be cut again at the end. The method keeps open windows few, but where nothing fits together (all
+rests just over half a window) they are all of the task's input. The same input split gives the
+same windows again after a lost executor.
 
 Defined cases: a null text is empty and yields the end token only; a null identifier stays null;
 rows that repeat are packed as often as they occur; an empty table gives an empty result; other
