@@ -188,6 +188,18 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             f"n_words < {LEAST_WORDS} OR 100 * n_repeat_words > {MOST_REPEATED} * n_words"))
 
 
+#: Rows of a table of groups that is small enough to be sent to all tasks, about 300 bytes each.
+_FEW_GROUPS = 50_000
+
+
+def _per_group(table: DataFrame) -> DataFrame:
+    """Write a table with a few rows per group; it is broadcast if it is small, which is checked.
+
+    A join by group would deal a hot group's rows to one task."""
+    table = materialise(table)
+    return F.broadcast(table) if table.count() <= _FEW_GROUPS else table
+
+
 _MOMENTS = ["w", *(f"s{i}" for i in range(_SIZE)), *(f"p{i}{j}" for i, j in _PAIRS)]
 _ESTIMATE = "start int, determinant double, mean array<double>, inverse array<double>"
 ESTIMATES = f"lang string, source string, {_ESTIMATE}"
@@ -239,10 +251,10 @@ def _starts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def starting_estimates(classes: DataFrame) -> DataFrame:
-    middles = materialise(classes.groupBy(*_GROUP).agg(
+    middles = _per_group(classes.groupBy(*_GROUP).agg(
         *(F.percentile(v, F.lit(0.5), F.col("w")).alias(f"m{k}") for k, v in enumerate(_V))))
     far = classes.join(middles, _GROUP)
-    spreads = materialise(far.groupBy(*_GROUP).agg(*(
+    spreads = _per_group(far.groupBy(*_GROUP).agg(*(
         F.percentile(F.expr(f"abs({v} - m{k})"), F.lit(0.5), F.col("w")).alias(f"d{k}")
         for k, v in enumerate(_V))).select(*_GROUP, *(
             F.greatest(1.4826 * F.col(f"d{k}"), F.lit(UNIT * FLOOR[k])).alias(f"d{k}")
@@ -255,8 +267,8 @@ def starting_estimates(classes: DataFrame) -> DataFrame:
         [c.alias(f"{kind}{name}") for c, name in zip(_moments(values), _MOMENTS)]
         for kind, values in (("plain_", _V), ("squashed_", [f"y{k}" for k in range(_SIZE)])))
     sums = near.groupBy(*_GROUP).agg(*plain, *squashed)
-    return materialise(sums.join(middles, _GROUP).join(spreads, _GROUP)
-                       .mapInPandas(_starts, ESTIMATES))
+    return _per_group(sums.join(middles, _GROUP).join(spreads, _GROUP)
+                      .mapInPandas(_starts, ESTIMATES))
 
 
 def distance() -> Column:
@@ -300,7 +312,7 @@ def concentrate(classes: DataFrame, estimates: DataFrame, most: int | None = Non
     far = classes.join(estimates, _GROUP).withColumn("d", distance())
     bins = far.groupBy(*_GROUP, "start", F.expr(
         "CAST(floor(32 * log2(1 + 16 * greatest(d, 0D))) AS bigint)").alias("bin")).agg(*_moments(_V))
-    return materialise(bins.groupBy(*_GROUP, "start").applyInPandas(_step(most, share), ESTIMATES))
+    return _per_group(bins.groupBy(*_GROUP, "start").applyInPandas(_step(most, share), ESTIMATES))
 
 
 def robust_estimates(stats: DataFrame, steps: int = STEPS) -> DataFrame:
@@ -310,8 +322,7 @@ def robust_estimates(stats: DataFrame, steps: int = STEPS) -> DataFrame:
     found = starting_estimates(classes)
     for _ in range(steps):
         found = concentrate(classes, found)
-    # written, so that the next step does not follow this grouping's partitions
-    best = materialise(found.groupBy(*_GROUP).agg(
+    best = _per_group(found.groupBy(*_GROUP).agg(
         F.min_by(F.struct("start", "determinant", "mean", "inverse"),
                  F.struct("determinant", "start")).alias("e")).select(*_GROUP, "e.*"))
     return concentrate(classes, best, int(bin_of(chi2_quantile(_INNER, _SIZE))), _INNER)
@@ -321,9 +332,9 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
           source_col: str = "source", tail: float = TAIL, steps: int = STEPS) -> DataFrame:
     """The identifier, the counts, ``base_failed``, ``kept`` and the squared ``distance``."""
     stats = materialise(statistics(docs, id_col, text_col, lang_col, source_col))
-    found = robust_estimates(stats, steps).select(*_GROUP, "mean", "inverse")
+    found = robust_estimates(stats, steps)
     far = F.when(~F.col("base_failed"), distance())
     limit = chi2_quantile(1 - tail, _SIZE)
-    return stats.join(found, _GROUP, "left").withColumn("distance", far).select(
+    return stats.join(found.select(*_GROUP, "mean", "inverse"), _GROUP, "left").withColumn("distance", far).select(
         F.col("id").alias(id_col), *_COUNTS, "base_failed",
         F.coalesce(F.col("distance") <= limit, F.lit(False)).alias("kept"), "distance")
