@@ -5,7 +5,9 @@ from difflib import SequenceMatcher
 
 import pytest
 
-from plumbline.operators.neardup import candidates, near_duplicates, pair_evidence
+from plumbline.functions.similarity import character_bits
+from plumbline.operators.neardup import (
+    VARIANTS, _common_texts, _segments, _short_lengths, candidates, near_duplicates, pair_evidence)
 
 
 def _email(v):
@@ -172,3 +174,29 @@ def test_pairs_of_one_hot_block_stay_below_its_square(spark):
         rows = [("one", name, i) for i, name in enumerate(rng.sample(names, n))]
         counts.append(candidates(spark.createDataFrame(rows, "block string, name string, first_row long")).count())
     assert counts[1] < 5 * counts[0] and counts[1] < 2000 * 1999 // 2 * 0.02
+
+
+@pytest.mark.parametrize("variants", [0, 60, 256])
+def test_names_that_meet_by_texts_or_segments_are_all_found(spark, variants):
+    rng = random.Random(11)
+    names = {(b, odd_name(rng)) for b in ("one", "two") for _ in range(150)}
+    names |= {("one", "".join(rng.choices("aab", k=rng.randint(1, 17)))) for _ in range(80)}
+    rows = [(b, n, i) for i, (b, n) in enumerate(sorted(names))]
+    table = spark.createDataFrame(rows, "block string, name string, first_row long")
+    found = candidates(table, direct_names=1, common_pairs=0, variants=variants).collect()
+    pairs = {(r.block, r.name_a, r.name_b) for r in found}
+    wanted = {(a[0], a[1], b[1]) for a, b in itertools.combinations(rows, 2)
+              if a[0] == b[0] and SequenceMatcher(None, a[1], b[1]).ratio() >= 0.82}
+    assert len(pairs) == len(found) and wanted <= pairs and len(wanted) > 100
+
+
+def test_short_names_of_a_hot_block_meet_only_by_what_they_share(spark):
+    # 12 random characters have a segment in common with many names, ten in order with hardly any
+    lengths = _short_lengths(VARIANTS)
+    assert (12, 12, 10) in lengths and (12, 13, 11) in lengths
+    names = spark.range(3000).selectExpr(
+        "'one' AS block", "substr(md5(string(id)), 1, 12) AS name", "id AS first_row")
+    sized = names.selectExpr("*", "length(name) AS len", "array(12) AS lengths",
+                             "inline(array(" + character_bits("name") + "))")
+    assert _segments(sized, False, lengths).isEmpty() and _segments(sized, True, lengths).isEmpty()
+    assert _common_texts(sized, lengths).count() < 30
