@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.operators.columns import ROW_ID
-from plumbline.operators.facts import build_facts
+from plumbline.operators.facts import build_facts, column_statistics
 from plumbline.operators.quantiles import exact_quantiles
 from plumbline.sources.readers import nan_to_null
 
@@ -151,3 +151,25 @@ def test_quantiles_by_narrowing(spark, limit):
     got = exact_quantiles(df, extents, direct_limit=limit)
     for cid, values in series.items():
         assert got[cid] == pytest.approx(list(np.quantile(values, [0.25, 0.5, 0.75])), rel=1e-12)
+
+
+def test_padding_costs_no_trim_per_character_and_numbers_are_not_classified(spark):
+    import io
+    from contextlib import redirect_stdout
+
+    from plumbline.functions.text import strip
+
+    rows = [(i, f"{i % 7},{i}" + " " * 300, i, float(i % 3)) for i in range(50)] + [
+        (50, " \t7,1　 ", 50, None), (51, "\x1f2024-02-01\n", 51, 2.0), (52, "   ", 52, 1.0)]
+    df = spark.createDataFrame(rows, "_row_id long, t string, n long, x double")
+    known = build_facts({"d": df})
+    by_name = {c["column"]: c for c in known.columns}
+    assert (by_name["n"]["mode"], by_name["x"]["mode"]) == (0.0, 1.0)      # 18 ones, 17 twos and zeros
+    assert by_name["t"]["n_blank"] == 1 and by_name["t"]["n_whitespace"] == 53
+    assert by_name["t"]["n_date_parsed"] == 1 and by_name["t"]["n_unicode"] == 3
+    got = df.selectExpr(f"{strip('t')} AS s", "t").collect()
+    assert all(r.s == r.t.strip() for r in got)
+    plan = io.StringIO()
+    with redirect_stdout(plan):
+        column_statistics(known.freq, known.infos).explain()
+    assert "SortAggregate" not in plan.getvalue()
