@@ -89,3 +89,16 @@ def test_one_file_goes_to_many_tasks(spark, tmp_path):
     finally:
         split_csv._open_blocks = kept
     assert notes[0] >= 8 and df.where("b = 'x\\ny'").count() == 8_000
+
+
+def test_blocks_of_a_large_file_are_larger_than_asked_for(spark, tmp_path):
+    path = tmp_path / "large.csv"
+    path.write_text("a,b\n" + "".join(f'{i},"x\n{i}"\n' for i in range(40000)))
+    most = split_csv._BLOCKS_PER_CORE * spark.sparkContext.defaultParallelism
+    size = split_csv.block_bytes(spark, str(path), 1000)
+    assert path.stat().st_size // size <= most + 1 < path.stat().st_size // 1000
+    assert split_csv.block_bytes(spark, str(path), 1 << 20) == 1 << 20
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    rows = split_csv.split_records(spark, str(path), ",", "utf-8", 1000)
+    assert {r.value for r in rows.collect()} == {f'{i},"x\n{i}"' for i in range(40000)}
+    assert spark.conf.get("spark.sql.files.maxPartitionBytes") == before
