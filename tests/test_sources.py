@@ -3,6 +3,7 @@ import time
 
 import pyarrow as pa
 import pyarrow.feather as feather
+from pyspark.sql import DataFrameWriter
 
 from plumbline.operators.columns import ROW_ID, column_table, describe_columns, header_checks
 from plumbline.sources import arrow_files, readers, sinks
@@ -218,3 +219,25 @@ def test_long_comments_and_sections_take_linear_time(spark, tmp_path):
     rows = readers.read_xml(spark, str(path)).collect()
     assert [len(r.v) for r in rows] == [len(many.strip()), 1] or [len(r.v) for r in rows] == [len(many), 1]
     assert time.time() - started < 60
+
+
+def test_xml_without_a_tag_is_read_file_by_file_without_a_sort(spark, tmp_path, monkeypatch):
+    folder = tmp_path / "many.xml"
+    folder.mkdir()
+    for f in range(3):
+        (folder / f"{f}.xml").write_text("<export>" + "".join(
+            f"<rec><key>{f}-{i}</key></rec>" for i in range(3000 * (f + 1))) + "</export>")
+    plans = []
+    write = DataFrameWriter.text
+    monkeypatch.setattr(DataFrameWriter, "text", lambda self, path: (plans.append(
+        self._df._jdf.queryExecution().executedPlan().toString()), write(self, path))[1])
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "5000b")
+    try:
+        rows = readers.read_xml(spark, str(folder)).select("key").collect()
+        assert spark.conf.get("spark.sql.files.maxPartitionBytes") == "5000b"
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before[0])
+    assert spark.conf.get("spark.sql.files.openCostInBytes") == before[1]
+    assert {r.key for r in rows} == {f"{f}-{i}" for f in range(3) for i in range(3000 * (f + 1))}
+    assert len(rows) == 18000 and plans and "Exchange" not in plans[0] and "Sort" not in plans[0]
