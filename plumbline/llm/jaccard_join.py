@@ -3,15 +3,20 @@
 A document is its set of distinct word shingles. Two sets of similarity t share one of the first
 n - ceil(t n) + 1 shingles of each in any common order. Here rare shingles come first: shingles
 whose hash falls into the counted part of the hash space are ordered by how many documents hold
-them, all others after them by hash. Only shingles that several documents hold can join, so what
-is left of a prefix is short and mostly empty.
+them, all others after them by hash. Shingles found common in a part of the documents come last, the
+rarest of them first: a text joins by a passage that many hold only where the passage is nearly all
+of it. Which part is looked at changes the order and so the work, never the links. Only shingles that
+several documents hold can join, so what is left of a prefix is short and mostly empty.
 
 Sets with the same size and the same joinable prefix form a group, and groups that share a prefix
-shingle are candidates. They are joined in two steps. First each group is paired with the first
+shingle are candidates. They are joined in three steps. First each group is paired with the first
 group of each of its shingles, and each member with the first of its group: as many pairs as
 there are prefix shingles. What these links leave in different components is grouped again, now
-by size, prefix and component, and all pairs of groups of different components that share a
-prefix shingle are filtered, expanded to their members and verified. So no link between different
+by size, prefix and component. Second each group is compared with a few others drawn from those of
+each of its shingles, and of each component drawn the most similar one is verified: a large family
+of near copies, whose members are often not similar enough to its first one, meets here without its
+pairs. Third all pairs of groups of components that still differ and share a prefix shingle are
+filtered, expanded to their members and verified. So no link between different
 texts is lost in the components, and members of one component are not compared with each other.
 
 Pairs of groups are filtered by size, by how much they can still overlap from the shared shingle
@@ -45,6 +50,13 @@ PERCENT = 90
 #: The part of the hash space whose shingles are counted, as a multiple of a prefix's share: a
 #: document joins by a passage that others hold only where it has too few rare shingles.
 COUNTED = 1.6
+#: Common shingles are looked for in one of this many documents, ...
+SAMPLE = 16
+#: ... which must hold them so often. At most ``COMMON`` are kept, the most frequent ones.
+OFTEN = 4
+COMMON = 1 << 19
+#: Groups drawn for each shingle in the second step.
+DRAWN = 4
 #: Bits of a set's bitmap.
 BITS = 256
 _WORDS = [f"b{k}" for k in range(BITS // 64)]
@@ -89,7 +101,48 @@ def bitmap(shingles: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
-def _profiles(size: int, percent: int, counted: float):
+def _shingles(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat, offsets = repeats.binary_views(batch.column(1))
+            for low, high in repeats.slices(offsets, 1 << 21):
+                begin = int(offsets[low])
+                for s in shingle_sets(flat[begin:int(offsets[high])], offsets[low:high + 1] - begin, size):
+                    yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64))], names=["token"])
+
+    return run
+
+
+def common_shingles(texts: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of shingles that many of the looked-at documents hold, and their order."""
+    found = (texts.where(f"pmod(xxhash64(id), {SAMPLE}) = 0")
+             .mapInArrow(_shingles(size), "token long")
+             .groupBy("token").agg(F.count("*").alias("docs")).where(f"docs >= {OFTEN}")
+             .orderBy(F.desc("docs"), "token").limit(COMMON).select("token").toArrow())
+    tokens = found.column("token").combine_chunks().to_numpy().view(np.uint64)
+    at = np.argsort(tokens)
+    return tokens[at], (len(tokens) - at).astype(np.int32)
+
+
+def common_last(sets: list[np.ndarray], common: np.ndarray, order: np.ndarray):
+    """Each set with its common shingles at its end, and the number of others."""
+    if not len(common) or not sets:
+        return sets, [len(s) for s in sets]
+    flat = np.concatenate(sets)
+    at = np.searchsorted(common, flat)
+    at[at == len(common)] = 0
+    rank = np.where(common[at] == flat, order[at], 0)
+    moved, others, begin = [], [], 0
+    for s in sets:
+        here = rank[begin:begin + len(s)]
+        begin += len(s)
+        few = len(s) - np.count_nonzero(here)
+        moved.append(s if few == len(s) else s[np.argsort(here, kind="stable")])
+        others.append(few)
+    return moved, others
+
+
+def _profiles(size: int, percent: int, counted: float, shared):
     """Set size, a digest of the set, and the shingles that can be in its prefix."""
     limit = np.uint64(min((1 << 64) - 1, int((1 << 64) * counted * (100 - percent) / 100)))
 
@@ -100,9 +153,10 @@ def _profiles(size: int, percent: int, counted: float):
             for low, high in repeats.slices(offsets, 1 << 21):
                 begin = int(offsets[low])
                 n, d1, d2, among, heads, maps = [], [], [], [], [], []
-                for s in shingle_sets(flat[begin:int(offsets[high])], offsets[low:high + 1] - begin,
-                                      size):
-                    inside = int(np.searchsorted(s, limit))
+                sets = list(shingle_sets(flat[begin:int(offsets[high])],
+                                         offsets[low:high + 1] - begin, size))
+                for s, others in zip(*common_last(sets, *shared.value)):
+                    inside = int(np.searchsorted(s[:others], limit))
                     n.append(len(s))
                     d1.append(mix(s).sum(dtype=np.uint64))
                     d2.append(mix(s ^ np.uint64(0x9E3779B97F4A7C15)).sum(dtype=np.uint64))
@@ -151,11 +205,11 @@ def _prefixes(profiles: DataFrame, percent: int) -> DataFrame:
         F.when(F.col("pos") < F.col("counted"), F.col("docs")).otherwise(F.lit((1 << 62))).alias("docs"),
         "pos", "token")
     live = held.join(often, "token").groupBy("id", "n", "counted").agg(
-        F.array_sort(F.collect_list(entry)).alias("live"))
-    inside = F.size(F.filter("live", lambda x: x["pos"] < F.col("counted")))
+        F.sort_array(F.collect_list(entry)).alias("live"),
+        F.count_if(F.col("pos") < F.col("counted")).alias("inside"))
     ranked = F.transform("live", lambda x, i: F.struct(
         x["token"].alias("token"),
-        F.when(x["pos"] < F.col("counted"), F.col("counted") - inside + i)
+        F.when(x["pos"] < F.col("counted"), F.col("counted") - F.col("inside") + i)
         .otherwise(x["pos"]).cast("int").alias("rank")))
     length = F.expr(f"n - floor(({percent} * n + 99) / 100) + 1")
     return (live.withColumn("prefix", F.filter(ranked, lambda x: x["rank"] < length))
@@ -168,11 +222,12 @@ def _differ(left: list[str], right: list[str], mask: list[str] | None = None) ->
     return " + ".join(f"bit_count(({x} ^ {y}){m})" for x, y, m in zip(left, right, masks))
 
 
-def _close(mine: str, theirs: str, percent: int, masks: bool = False) -> str:
-    """SQL for what two sizes and bitmaps allow; prefixes name the two sides' columns."""
+def _close(mine: str, theirs: str, percent: int, masks: tuple[str, ...] = ()) -> str:
+    """SQL for what two sizes and bitmaps allow; prefixes name the two sides' columns and those of
+    the masks that count."""
     bits = " + ".join(
-        f"bit_count(({mine}v{k} ^ {theirs}v{k})"
-        + (f" & {mine}a{k} & {theirs}a{k})" if masks else ")") for k in range(len(_WORDS)))
+        f"bit_count(({mine}v{k} ^ {theirs}v{k})" + "".join(f" & {m}a{k}" for m in masks) + ")"
+        for k in range(len(_WORDS)))
     n, m = f"{mine}n", f"{theirs}n"
     return (f"100 * {n} >= {percent} * {m} AND 100 * {m} >= {percent} * {n}"
             f" AND {bits} <= floor({100 - percent} * ({n} + {m}) / {100 + percent}.0)")
@@ -193,11 +248,49 @@ def _first_pairs(members: DataFrame, percent: int) -> DataFrame:
             .where(_close("x_", "y_", percent)).select("a", "b"))
 
 
-def _other_pairs(members: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of members of different components that the filters let pass."""
-    placed = materialise(
+def _placed(members: DataFrame, parts: DataFrame) -> DataFrame:
+    """Members with the component they are in, themselves if in none."""
+    return materialise(
         members.join(parts, "node", "left")
         .withColumn("part", F.coalesce("component", "node")).drop("component"))
+
+
+def _mixed(index: DataFrame) -> DataFrame:
+    """The rows of shingles that several components hold; others pair nothing."""
+    mixed = materialise(index.groupBy("token").agg(F.min("part").alias("low"), F.max("part").alias("high"))
+                        .where("low < high").select("token"))
+    return materialise(index.join(mixed, "token"))
+
+
+def _overlap(percent: int) -> str:
+    """SQL: overlap needed, ceil(percent (n + m) / (100 + percent)), and possible from this shingle on."""
+    return (f"least(x.n - x.rank, y.n - y.rank)"
+            f" >= ceil({percent} * (x.n + y.n) / {100 + percent}.0)")
+
+
+def _drawn_pairs(members: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b): a group's first member and, of the groups drawn for its shingles, the first
+    member of the one nearest by bitmap in each other component."""
+    groups = _placed(members, parts).groupBy("n", "prefix", "part").agg(F.min("node").alias("g"))
+    index = _mixed(groups.select("g", "n", "part", F.inline("prefix")))
+    drawn = index.groupBy("token").agg(F.array_distinct(F.array(*(
+        F.min_by(F.struct(F.col("g").alias("h"), "n", "part", "rank"), F.xxhash64("g", "token", F.lit(k)))
+        for k in range(DRAWN)))).alias("drawn")).select("token", F.inline("drawn"))
+    found = (index.alias("x").join(drawn.alias("y"), F.col("x.token") == F.col("y.token"))
+             .where(f"x.part <> y.part AND {_overlap(percent)}")
+             .selectExpr("x.g AS a", "y.h AS b", "y.part AS part").distinct())
+    sides = members.select("node", "n", *(F.col(w).alias(f"v{k}") for k, w in enumerate(_WORDS)))
+    x = sides.toDF("a", *(f"x_{c}" for c in sides.columns[1:]))
+    y = sides.toDF("b", *(f"y_{c}" for c in sides.columns[1:]))
+    words = range(len(_WORDS))
+    differ = _differ([f"x_v{k}" for k in words], [f"y_v{k}" for k in words])
+    return (found.join(x, "a").join(y, "b").where(_close("x_", "y_", percent))
+            .groupBy("a", "part").agg(F.min_by("b", F.expr(differ)).alias("b")).select("a", "b"))
+
+
+def _other_pairs(members: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of members of different components that the filters let pass."""
+    placed = _placed(members, parts)
     key = ["n", "prefix", "part"]
     groups = placed.groupBy(*key).agg(
         F.min("node").alias("g"),
@@ -205,23 +298,20 @@ def _other_pairs(members: DataFrame, parts: DataFrame, percent: int) -> DataFram
         # bits in which all members agree
         *(F.bitwise_not(F.bit_or(w).bitwiseXOR(F.bit_and(w))).alias(f"a{k}")
           for k, w in enumerate(_WORDS)))
-    index = groups.select("g", "n", "part", F.inline("prefix"),
-                          *(f"{c}{k}" for c in "va" for k in range(len(_WORDS))))
-    # shingles that only one component holds pair nothing
-    mixed = materialise(index.groupBy("token").agg(F.min("part").alias("low"), F.max("part").alias("high"))
-                        .where("low < high").select("token"))
-    index = materialise(index.join(mixed, "token"))
-    # overlap needed: ceil(percent (n + m) / (100 + percent)); possible from this shingle on
-    overlap = (f"least(x.n - x.rank, y.n - y.rank)"
-               f" >= ceil({percent} * (x.n + y.n) / {100 + percent}.0)")
+    index = _mixed(groups.select("g", "n", "part", F.inline("prefix"),
+                                 *(f"{c}{k}" for c in "va" for k in range(len(_WORDS)))))
+    columns = ["n", *(f"{c}{k}" for c in "va" for k in range(len(_WORDS)))]
     pairs = (index.alias("x").join(index.alias("y"), F.col("x.token") == F.col("y.token"))
-             .where(f"x.part < y.part AND {overlap} AND {_close('x.', 'y.', percent, masks=True)}")
-             .selectExpr("x.g AS g", "y.g AS h").distinct())
+             .where(f"x.part < y.part AND {_overlap(percent)}"
+                    f" AND {_close('x.', 'y.', percent, masks=('x.', 'y.'))}")
+             .selectExpr("x.g AS g", "y.g AS h", *(f"y.{c} AS h_{c}" for c in columns)).distinct())
     inside = placed.join(groups.select(*key, "g"), key).select(
         "g", "node", "n", *(F.col(w).alias(f"v{k}") for k, w in enumerate(_WORDS)))
     x = inside.toDF("g", "a", *(f"x_{c}" for c in inside.columns[2:]))
     y = inside.toDF("h", "b", *(f"y_{c}" for c in inside.columns[2:]))
-    return (pairs.join(x, "g").join(y, "h").where(_close("x_", "y_", percent)).select("a", "b"))
+    # a member is held against the other group before that group's members take its place
+    return (pairs.join(x, "g").where(_close("x_", "h_", percent, masks=("h_",)))
+            .join(y, "h").where(_close("x_", "y_", percent)).select("a", "b"))
 
 
 def _links(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
@@ -247,7 +337,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Two documents link when ``100 * |intersection| >= percent * |union|`` of their shingle sets.
     """
     texts = _texts(docs, id_col, text_col)
-    profiles = materialise(texts.mapInArrow(_profiles(shingle, percent, counted), _PROFILE))
+    shared = docs.sparkSession.sparkContext.broadcast(common_shingles(texts, shingle))
+    profiles = materialise(texts.mapInArrow(_profiles(shingle, percent, counted, shared), _PROFILE))
     sets = profiles.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("id").alias("node"))
     # one node per distinct set with a joinable prefix
     members = materialise(
@@ -255,9 +346,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .groupBy("n", "d1", "d2", "prefix", *_WORDS).agg(F.min("id").alias("node")))
     links = _links(_first_pairs(members, percent), texts, shingle, percent)
     parts = components(links)
-    later = _links(_other_pairs(members, parts, percent), texts, shingle, percent)
-    if not later.isEmpty():
-        parts = components(links.unionByName(later))
+    for pairs in (_drawn_pairs, _other_pairs):
+        later = _links(pairs(members, parts, percent), texts, shingle, percent)
+        if not later.isEmpty():
+            links = links.unionByName(later)
+            parts = components(links)
     rows = profiles.select("id", "n", "d1", "d2").join(sets, ["n", "d1", "d2"], "left")
     node = F.coalesce("node", "id")
     component = F.coalesce("component", "node")

@@ -149,6 +149,41 @@ def test_jaccard_chains_reach_the_end(make):
     assert [(r.doc_id, r.node, r.tag) for r in kept] == [(0, 3, "t")]
 
 
+def test_a_common_passage_joins_only_texts_that_are_mostly_passage(make, monkeypatch):
+    passage = " ".join(f"p{k}" for k in range(60))
+    rows = [(i, f"{passage} " + " ".join(f"o{i}x{k}" for k in range(60))) for i in range(240)]
+    rows += [(1000 + i, f"{passage} end{i}") for i in range(6)]          # these link
+    joined = []
+    first = jaccard_join._first_pairs
+    monkeypatch.setattr(jaccard_join, "_first_pairs",
+                        lambda members, percent: joined.append(members.count()) or first(members, percent))
+    found = jaccard_join.near_duplicates(make(rows), shingle=5, percent=80)
+    assert rows_of(found) == brute_components(rows, 5, 80)
+    assert joined[0] <= 20
+
+
+def test_a_family_without_its_first_one_is_linked_without_its_pairs(make, monkeypatch):
+    base = [f"w{k}" for k in range(160)]
+
+    def edited(i, places):
+        return " ".join(f"e{i}" if k in places else w for k, w in enumerate(base))
+
+    # the first one holds what all others share but is too long; they link with each other
+    rows = [(0, " ".join(base + [f"more{k}" for k in range(35)]))]
+    rows += [(i, edited(i, {10 + i})) for i in range(1, 121)]
+    verified = []
+    links = jaccard_join._links
+
+    def counted(pairs, *rest):
+        verified.append(pairs.count())
+        return links(pairs, *rest)
+
+    monkeypatch.setattr(jaccard_join, "_links", counted)
+    found = jaccard_join.near_duplicates(make(rows), shingle=5, percent=80)
+    assert rows_of(found) == brute_components(rows, 5, 80)
+    assert sum(verified) <= 30 * len(rows)
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (10, 11), (3, 4), (4, 5), (5, 6), (20, 10), (7, 7)]
     found = components(spark.createDataFrame(edges, "a long, b long"))
