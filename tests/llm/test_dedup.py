@@ -1,6 +1,7 @@
 """Operators that remove repeats, against brute force."""
 
 import hashlib
+import random
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -38,6 +39,18 @@ def test_suffix_dedup(make, corpus, size, spread):
     assert rows_of(found) == Counter(brute_bytes(corpus, size))
 
 
+def test_suffix_dedup_judges_bytes_not_words(make):
+    rng = random.Random(3)
+    prose = lambda n: " ".join("".join(rng.choices("abcdefgh", k=rng.randint(3, 8))) for _ in range(n))
+    short, long = prose(80)[:399], prose(80)[:400]
+    assert min(len(short.split()), len(long.split())) > 50
+    rows = [(k, f"{prose(90)}{k}{p}{k + 4}{prose(90)}") for k, p in enumerate([short, short, long, long])]
+    rows.append((4, prose(300)))
+    found = suffix_dedup.digests(suffix_dedup.repeated_spans(make(rows)))
+    assert rows_of(found) == Counter(brute_bytes(rows, 400))
+    assert {r.doc_id: r.n_removed for r in found.collect()} == {0: 0, 1: 0, 2: 400, 3: 400, 4: 0}
+
+
 def test_suffix_dedup_cuts_long_texts(make, corpus):
     found = suffix_dedup.digests(suffix_dedup.repeated_spans(
         make(corpus), size=100, spread=30, slice_units=500))
